@@ -42,10 +42,15 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     return items.withColumn("n", F.count("*").over(item)).withColumn("need", need).withColumn("sketch", F.row_number().over(item.orderBy("h")) <= F.col("n") - F.col("need") + 1)
 
 
-def search(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, item_id, n_shared, n_shingles, containment`` for every document and item it contains.
+def search(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``doc_id, item_id, n_shared, n_shingles, containment`` for every document and item it contains (see ``pairs``)."""
+    return pairs(docs, items, **options).drop("text_key")
 
-    containment: the share of the item's distinct k-word shingles (A-Z
+
+def pairs(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, text_key, item_id, n_shared, n_shingles, containment`` for every document and item it contains.
+
+    text_key: a hash of the document's text; containment: the share of the item's distinct k-word shingles (A-Z
     lower-cased, words parted by white space) that the document holds; pairs of
     ``threshold`` or more are returned, once per distinct text of a document id
     and an item id.  A text of fewer than k words has one shingle of all its
@@ -67,13 +72,13 @@ def search(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_co
     keys = ["doc_id", "_doc", "item_id", "_item"]
     same = [F.col(f"c.{x}").eqNullSafe(F.col(f"f.{x}")) for x in keys]
     sure = counts.alias("c").join(found.alias("f"), on=(same[0] & same[1] & same[2] & same[3]), how="left_semi")
-    return sure.groupBy("doc_id", "item_id", "_doc", "_item").agg(F.max("n_shared").alias("n_shared"), F.max("n").alias("n_shingles")).select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+    return sure.groupBy("doc_id", "item_id", "_doc", "_item").agg(F.max("n_shared").alias("n_shared"), F.max("n").alias("n_shingles")).select("doc_id", F.col("_doc").alias("text_key"), "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that contain no item, all columns kept."""
-    bad = search(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that contain no item, all columns kept."""
+    bad = pairs(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key")), "left_anti")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

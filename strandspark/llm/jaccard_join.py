@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
@@ -90,7 +90,7 @@ def _class_kernel(k: int):
             sh, b = shingles(h, wb, k)
             k1, k2 = set_keys(sh, b)
             sig = signatures(sh, b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(b).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "k1", "k2", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(b).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "text_key", "k1", "k2", "n", "sig"])
 
     return kernel
 
@@ -199,12 +199,10 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """One row per document, saved: its id and ``k1, k2, n`` (key and size of its shingle set), ``cls`` and ``copies`` of its class.
-
-    cls, the smallest id of the class, stands for it; null ids count as -1.
-    """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return saved(rows.mapInArrow(_class_kernel(k), "doc_id long, k1 long, k2 long, n int, sig binary"))
+    """One row per document, saved: its id (null: -1), a hash of its text, ``k1, k2, n`` (keys and size of its shingle set) and its signature."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return saved(rows.mapInArrow(_class_kernel(k), "doc_id long, text_key long, k1 long, k2 long, n int, sig binary"))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -240,6 +238,23 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     return members, links, marks
 
 
+def grouped(docs: DataFrame, **options) -> DataFrame:
+    """``linked`` with the row's ``text_key`` and ``group``, a key of its class (ids that repeat may share a class_id, not a group)."""
+    members, links, marks = join(docs, **options)
+    weight = marks.select("cls", "rep", "copies")
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = ends.join(weight, ends.b == weight.cls).groupBy("a").agg(F.sum("copies").alias("more"))
+    label = components(links, links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct())
+    named = label.join(weight, label.node == weight.cls)
+    first = named.groupBy("component").agg(F.min("rep").alias("class_id"))
+    group = named.join(first, "component").select("node", "component", "class_id")
+    per = (
+        marks.join(degree, marks.cls == degree.a, "left").join(group, marks.cls == group.node, "left")
+        .select("k1", "k2", "n", F.coalesce("component", "cls").alias("group"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"), F.col("rep").alias("copy_class"))
+    )
+    return members.select("doc_id", "text_key", "k1", "k2", "n").join(per, ["k1", "k2", "n"]).select("doc_id", "text_key", "group", "class_id", "n_links", "copy_class")
+
+
 def linked(docs: DataFrame, **options) -> DataFrame:
     """One row per input row: ``doc_id, class_id, n_links, copy_class``.
 
@@ -253,19 +268,15 @@ def linked(docs: DataFrame, **options) -> DataFrame:
     else.  Repeated rows are copies.  An empty table gives no rows; other
     columns are ignored.
     """
-    members, links, marks = join(docs, **options)
-    weight = marks.select("cls", "rep", "copies")
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(weight, ends.b == weight.cls).groupBy("a").agg(F.sum("copies").alias("more"))
-    label = components(links, links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct())
-    named = label.join(weight, label.node == weight.cls)
-    first = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    group = named.join(first, "component").select("node", "class_id")
-    per = (
-        marks.join(degree, marks.cls == degree.a, "left").join(group, marks.cls == group.node, "left")
-        .select("k1", "k2", "n", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"), F.col("rep").alias("copy_class"))
-    )
-    return members.select("doc_id", "k1", "k2", "n").join(per, ["k1", "k2", "n"]).select("doc_id", "class_id", "n_links", "copy_class")
+    return grouped(docs, **options).select("doc_id", "class_id", "n_links", "copy_class")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with one row of each class left, that of the smallest id (then text hash); all columns kept."""
+    first = grouped(docs, id_col=id_col, text_col=text_col, **options).groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("_f")).select(F.col("_f.doc_id").alias("_id"), F.col("_f.text_key").alias("_key"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    one = keyed.join(first, ["_id", "_key"]).withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0))))
+    return one.filter("_row = 1").select(*docs.columns)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -79,12 +79,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     return placed.select("doc_id", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep or []])
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document's row once for each whole copy taken, the last one if half of it or more is taken."""
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself, all columns kept: each document's row once for each whole copy taken, the last one if half of it or more is taken."""
     names = docs.columns
-    got = mix(docs, keep=[c for c in names if c != "doc_id"], **options)
-    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest(F.col("size"), F.lit(1)))).cast("int")
-    return got.withColumn("_copies", F.when(F.col("size") > 0, copies).otherwise(0)).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col), F.lit(-1)), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    got = mix(keyed, id_col=id_col, text_col=text_col, keep=["_id", "_key"], **options).filter("size > 0")
+    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    total = got.groupBy("_id", "_key").agg(F.sum(copies).alias("_copies")).filter("_copies > 0")
+    # rows of one id and text are the same document again: the first gives all of their copies
+    one = keyed.join(total, ["_id", "_key"]).withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))).filter("_row = 1")
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*names)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

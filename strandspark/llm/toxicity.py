@@ -6,13 +6,15 @@ noisy-or of its sentences, ``1 - prod(1 - p)``, so that the labels of documents
 train the sentences' scores, and the sentences with the highest scores show where the
 offence is.
 
-The words looked at are chosen by counts over all labelled training documents;
-the weights are fitted on the driver on at most ``SAMPLE`` of those (the first
-by a hash of id and text), each reduced to the chosen words.
+The model is fitted on at most ``SAMPLE`` labelled training documents, about
+evenly drawn by a hash of id and text: the words looked at are chosen by counts
+over them, the weights fitted on the driver, where each document is reduced to the
+chosen words of its sentences.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -28,6 +30,10 @@ SAMPLE = 20_000
 VOCABULARY = 2_000
 #: Documents that must hold a word.
 LEAST = 5
+#: Lengths of the words' beginnings that count as features, since stems carry an offence into compounds.
+STEMS = (5, 6, 7, 8)
+#: Weight of a toxic document against a clean one in the fit.
+TOXIC_WEIGHT = 2.0
 #: Where sentences end.
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
@@ -45,12 +51,18 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
+def features(text: str) -> set[str]:
+    """The distinct words of a lower-cased text, and the beginnings of the longer ones (marked ``*``)."""
+    found = set(_TOKEN.findall(text))
+    return found | {f"{w[:n]}*" for w in found for n in STEMS if len(w) > n}
+
+
 def _word_sets(batches):
     """(text, label) -> distinct words with the label, added up for the batch."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500))):
         docs, toxic = {}, {}
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for w in set(_TOKEN.findall((text or "").lower())):
+            for w in features((text or "").lower()):
                 docs[w] = docs.get(w, 0) + 1
                 if label:
                     toxic[w] = toxic.get(w, 0) + 1
@@ -74,7 +86,7 @@ def _bag(text: str, index: dict[str, int]) -> tuple[list[list[int]], int]:
     for s in SENTENCE.split(text.lower()):
         if s and not s.isspace():
             n += 1
-            if found := sorted({index[w] for w in _TOKEN.findall(s) if w in index}):
+            if found := sorted({index[w] for w in features(s) if w in index}):
                 out.append(found)
     return out, n
 
@@ -88,20 +100,21 @@ class Model:
 
     def sentence(self, text: str) -> float:
         """The log-odds of one sentence."""
-        return self.bias + sum(self.weights.get(w, 0.0) for w in set(_TOKEN.findall(text.lower())))
+        return self.bias + math.fsum(self.weights[w] for w in features(text.lower()) if w in self.weights)
 
     def document(self, text: str) -> tuple[float, int, int]:
-        """(score, start, end): the noisy-or of the sentences and where the worst one stands; (prior, 0, 0) for blank texts."""
-        keep, worst, at = 0.0, -np.inf, (0, 0)
+        """(score, start, end): the noisy-or of the sentences and where the worst one stands; (0, 0, 0) for blank texts."""
+        keep, worst, at = 0.0, -math.inf, (0, 0)
+        plain = math.log1p(math.exp(self.bias))
         for a, b in sentences(text):
             z = self.sentence(text[a:b])
-            keep -= np.logaddexp(0.0, z)
+            keep -= plain if z == self.bias else max(z, 0.0) + math.log1p(math.exp(-abs(z)))
             if z > worst:
                 worst, at = z, (a, b)
-        return float(-np.expm1(keep)), *at
+        return -math.expm1(keep), *at
 
 
-def fit(bags: list, n: np.ndarray, label: np.ndarray, size: int, *, rounds: int = 300, rate: float = 0.3, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(bags: list, n: np.ndarray, label: np.ndarray, size: int, *, rounds: int = 300, rate: float = 0.3, l2: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of the labels under the noisy-or, by gradient steps (Adam).
 
     A sentence without chosen words has the bias alone as its log-odds.
@@ -113,7 +126,7 @@ def fit(bags: list, n: np.ndarray, label: np.ndarray, size: int, *, rounds: int
     plain = n - np.bincount(doc, minlength=len(bags))
     w, b = np.zeros(size), -6.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    weight = np.where(label == 1, 1.0, 1.0)
+    weight = np.where(label == 1, TOXIC_WEIGHT, 1.0)
     for step in range(1, rounds + 1):
         z = b + np.bincount(row, w[col], minlength=len(sents))
         soft = np.logaddexp(0, z)
@@ -122,7 +135,7 @@ def fit(bags: list, n: np.ndarray, label: np.ndarray, size: int, *, rounds: int
         # d loglik / d keep: -1 for a clean document is keep itself; for a toxic one exp(keep) / p
         d = weight * np.where(label == 1, -np.exp(keep) / p, 1.0)
         gz = d[doc] * -(1 / (1 + np.exp(-z)))
-        gw = np.bincount(col, gz[row], minlength=size) / len(bags) - l2 * w * 0.05
+        gw = np.bincount(col, gz[row], minlength=size) / len(bags) - l2 * w
         gb = (gz.sum() + (d * plain * -(1 / (1 + np.exp(-b)))).sum()) / len(bags)
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -132,22 +145,25 @@ def fit(bags: list, n: np.ndarray, label: np.ndarray, size: int, *, rounds: int
     return w, b
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from rows with a label of 0 or 1; without both kinds of labels the bias alone is set."""
-    rows = saved(labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1)"))
-    total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = labelled.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)).alias("_h"), text.alias("text"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1)")
+    limit = int(SAMPLE / max(SAMPLE, rows.count()) * (1 << 30))
+    sample = saved(rows.filter(F.col("_h") < limit).limit(SAMPLE).select("text", "toxic") if limit < 1 << 30 else rows.select("text", "toxic"))
+    total, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not total or bad in (0, total):
         return Model([], np.zeros(0), 6.0 if total and bad else -6.0)
-    seen = rows.mapInArrow(_word_sets, "word string, docs long, toxic long").groupBy("word").agg(F.sum("docs").alias("d"), F.sum("toxic").alias("t")).filter(F.col("d") >= LEAST)
-    # the likelihood ratio of a word's presence against the label, over all labelled documents; signed
+    seen = sample.mapInArrow(_word_sets, "word string, docs long, toxic long").groupBy("word").agg(F.sum("docs").alias("d"), F.sum("toxic").alias("t")).filter(F.col("d") >= LEAST)
+    # the likelihood ratio of a word's presence against the label
     d, t = F.col("d").cast("double"), F.col("t").cast("double")
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
     share = float(bad) / float(total)
     g = part(t, d * share) + part(d - t, d * (1 - share)) + part(F.lit(float(bad)) - t, (F.lit(float(total)) - d) * share) + part(F.lit(float(total - bad)) - (d - t), (F.lit(float(total)) - d) * (1 - share))
     words = [r["word"] for r in seen.withColumn("g", g).filter("g > 4").orderBy(F.desc("g"), "word").limit(VOCABULARY).select("word").collect()]
     index = {w: i for i, w in enumerate(words)}
-    sample = rows.withColumn("_h", F.xxhash64("text")).orderBy("_h").limit(SAMPLE) if total > SAMPLE else rows
-    got = sample.select("text", "toxic").mapInArrow(_bags(index), "bags array<array<int>>, n long, toxic int").toPandas()
+    got = sample.mapInArrow(_bags(index), "bags array<array<int>>, n long, toxic int").toPandas()
+    got = got.sort_values(["n", "toxic"], kind="stable")
     w, b = fit([list(map(list, x)) for x in got["bags"]], got["n"].to_numpy(), got["toxic"].to_numpy(), len(words))
     return Model(words, w, b)
 
@@ -175,6 +191,20 @@ def score(docs: DataFrame, model: Model, held_out: Column, *, id_col: str = "doc
     return rows.mapInArrow(_score_kernel(shared), "doc_id long, held_out boolean, score double, predicted int, worst_start int, worst_end int")
 
 
+def clean(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below 0.5, all columns kept; rows and order of columns as they came."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def kernel(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                yield part.filter(pa.array([shared.value.document(t or "")[0] < 0.5 for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kernel, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
