@@ -72,7 +72,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     t = targets(sources, shares, cap).withColumn("_budget", F.round("target").cast("long"))
     t = t.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("_budget") / F.col("source_size"))).otherwise(0).cast("long"))
     t = t.select("_null", "_source", "source_size", "target", "_epochs", (F.col("_budget") - F.col("_epochs") * F.col("source_size")).alias("_rest"), "_n")
-    rows = slim.drop("source").join(t, ["_null", "_source"])
+    # of known size from here on: joined without dealing documents out by source, unless there are very many sources
+    rows = slim.drop("source").join(saved(t), ["_null", "_source"])
     block = F.floor((1 - F.exp(-F.col("_key"))) * F.ceil(F.col("_n") / BLOCK))
     placed = running_before(rows, ["_null", "_source"], block, ["_key", "doc_id", "size"], "size", "_before")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_rest") - F.col("_before")))
