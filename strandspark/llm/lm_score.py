@@ -36,7 +36,7 @@ BITS_PER_ENTRY = 10
 PROBES = 5
 MU = 300.0
 #: Bytes of text counted together in a task before counts are sent.
-CHUNK = 32 << 20
+CHUNK = 24 << 20
 #: Bytes of text for each hash bucket, about.
 BUCKET_BYTES = 8 << 20
 
@@ -92,7 +92,7 @@ def _count_kernel(buckets: int):
                     names=["bucket", "kind", "h", "n"],
                 )
 
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, 0)):
             buf, ends = arrow_flat(batch.column(0))
             tok, bounds = tokens(buf, ends)
             held.append((tok, bigrams(tok, bounds)))
