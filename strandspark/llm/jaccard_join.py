@@ -5,9 +5,13 @@ Class signatures hold ``BANDS * ROWS`` MinHash values; classes that agree on all
 values of a band meet in that band's bucket.  Inside a bucket, pairs are
 compared some MinHash values at a time: after n values of which m agree, a
 pair is dropped once the posterior probability of a similarity of at least the
-threshold, under a uniform prior, is below ``TOLERANCE``.  Pairs that stay
-are verified on their exact shingle sets.  Buckets of many classes are cut
-into blocks and every pair of blocks is a task of its own.
+threshold, under a uniform prior, is below ``TOLERANCE``.  A bucket sends on no
+pairs but a spanning forest of those that stay, so that rows grow with its
+members, not their pairs.  The candidates' components bring texts together once:
+in a component the pairs that the pruning leaves are verified on their exact
+shingle sets, and each class's links are counted where they are found.  Buckets
+and components of many classes are cut into blocks, and every pair of blocks is
+a task of its own.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 #: Values compared between two looks at the posterior.
 STEP = 16
-TOLERANCE = 1e-9
+TOLERANCE = 1e-7
 #: Classes of a bucket that meet in one task.
 BLOCK = 1500
 #: Bytes of text hashed at once.
@@ -104,80 +108,156 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("cls").to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(keys.ravel())], names=["cls", "band", "key"])
 
 
-def _pair_kernel(needs: list[tuple[int, int]]):
-    """Members of a block pair of a bucket -> the pairs that Bayesian pruning leaves, each at the first band they share."""
+def _survivors(row: int, other: np.ndarray, sig: np.ndarray, size: np.ndarray, needs: list[tuple[int, int]], threshold: float) -> np.ndarray:
+    """Of the members ``other`` those that Bayesian pruning leaves as partners of ``row``."""
+    fit = np.minimum(size[other], size[row]) >= threshold * np.maximum(size[other], size[row])  # else no sets of such sizes reach it
+    other = other[fit]
+    at, hits = 0, np.zeros(len(other), dtype=np.int32)
+    for n, m in needs:
+        if len(other) == 0:
+            break
+        hits = hits + (sig[other, at:n] == sig[row, at:n]).sum(axis=1)
+        keep = hits >= m
+        other, hits, at = other[keep], hits[keep], n
+    return other
+
+
+class _Forest:
+    """Components of members as they are joined; keeps the joins that made a difference."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, row: int, others: np.ndarray) -> None:
+        mine = self.label[row]
+        new, first = np.unique(self.label[others], return_index=True)
+        first = first[new != mine]
+        if len(first):
+            self.edges += [(row, int(o)) for o in others[first]]
+            self.label[np.isin(self.label, self.label[others[first]])] = mine
+
+
+def _cells(t: pa.Table, cell: str):
+    """(first row, end, first row of the second block or None) of each cell of a table sorted by cell and side."""
+    key, side = t.column(cell).to_numpy(), t.column("side").to_numpy()
+    edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    for lo, hi in zip(edges, np.append(edges[1:], len(key)), strict=True) if len(key) else ():
+        yield lo, hi, None if side[lo] == 2 else lo + int(np.searchsorted(side[lo:hi], 1))
+
+
+def _candidate_kernel(threshold: float):
+    """Members of a bucket's block pairs -> a spanning forest of the pairs that Bayesian pruning leaves.
+
+    A pair counts in the first band that it shares.
+    """
+    needs = least_matches(threshold)
 
     def kernel(t: pa.Table) -> pa.Table:
-        cls, side, band = t.column("cls").to_numpy(), t.column("side").to_numpy(), t.column("band").to_numpy()
-        size = t.column("n").to_numpy().astype(np.float64)
-        bucket = t.column("bucket").to_numpy()
+        t = t.sort_by([("bucket", "ascending"), ("side", "ascending"), ("cls", "ascending")])
+        cls, band, size = t.column("cls").to_numpy(), t.column("band").to_numpy(), t.column("n").to_numpy().astype(np.float64)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
         keys = np.ascontiguousarray(sig).view(np.int64).reshape(-1, BANDS)
-        by = np.lexsort((cls, side, bucket))
-        cls, side, band, bucket, sig, keys, size = cls[by], side[by], band[by], bucket[by], sig[by], keys[by], size[by]
         out_a, out_b = [], []
-        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        for lo, hi in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-            two = side[lo] != 2  # sides 0 and 1 are two blocks; side 2 is one block with itself
-            for row in range(lo, hi):
-                if two and side[row] != 0:
-                    break
-                first = row + 1 if not two else lo + int(np.searchsorted(side[lo:hi], 1))
-                other = np.arange(first, hi)
-                if len(other) == 0:
-                    continue
-                r = np.minimum(size[other], size[row]) / np.maximum(size[other], size[row])
-                other = other[r >= THRESHOLD]  # sets of such sizes can reach it
-                b = band[row]
-                if b and len(other):
+        for lo, hi, second in _cells(t, "bucket"):
+            forest = _Forest(hi - lo)
+            for row in range(lo, hi if second is None else second):
+                other = np.arange(row + 1 if second is None else second, hi)
+                other = other[forest.label[other - lo] != forest.label[row - lo]]
+                if b := band[row]:
                     other = other[~(keys[other, :b] == keys[row, :b]).any(axis=1)]
-                other = other[cls[other] != cls[row]]
-                at, hits = 0, np.zeros(len(other), dtype=np.int32)
-                for n, m in needs:
-                    if len(other) == 0:
-                        break
-                    hits = hits + (sig[other, at:n] == sig[row, at:n]).sum(axis=1)
-                    keep = hits >= m
-                    other, hits, at = other[keep], hits[keep], n
                 if len(other):
-                    out_a.append(np.full(len(other), cls[row]))
-                    out_b.append(cls[other])
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        a, b = cat(out_a), cat(out_b)
+                    other = _survivors(row, other, sig, size, needs, threshold)
+                if len(other):
+                    forest.join(row - lo, other - lo)
+            for x, y in forest.edges:
+                out_a.append(cls[lo + x])
+                out_b.append(cls[lo + y])
+        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return kernel
 
 
-def _verify_kernel(k: int, threshold: float):
-    """Texts and pairs of one home -> the pairs whose exact Jaccard similarity reaches the threshold.
-
-    A pair's row has ``b`` and no text; a text's row has ``b`` null.
+def _sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and bounds of all texts, hashed some at a time."""
+    parts, sizes, i = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
+    ends = arrow_flat(column)[1]
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + _SLICE, side="right")) - 1)
+        buf, e = arrow_flat(column.slice(i, j - i))
+        _, _, h, wb = words(buf, e)
+        sh, b = shingles(h, wb, k)
+        parts.append(sh)
+        sizes.append(np.diff(b))
+        i = j
+    return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
+
+
+def _common(sh: np.ndarray, bounds: np.ndarray, rows: range, lo: int, hi: int):
+    """For each row, the number of shingles it has in common with the members lo to hi, by their inverted lists."""
+    part = sh[bounds[lo] : bounds[hi]]
+    owner = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
+    by = np.argsort(part, kind="stable")
+    part, owner = part[by], owner[by]
+    for row in rows:
+        mine = sh[bounds[row] : bounds[row + 1]]
+        first, last = np.searchsorted(part, mine), np.searchsorted(part, mine, side="right")
+        n = last - first
+        spots = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield row, np.bincount(owner[spots], minlength=hi - lo)
+
+
+def _verify_kernel(k: int, threshold: float, every: bool):
+    """Classes of a component's block pairs, with texts -> their verified links.
+
+    every: one row ``a, b, jaccard`` per link.  Else, for each class with links,
+    ``a`` and the copies it links to, and ``a, b`` of a spanning forest.
     """
+    needs = least_matches(threshold)
 
     def kernel(t: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        is_text = pc.is_null(t.column("b"))
-        texts, pairs = t.filter(is_text), t.filter(pc.invert(is_text))
-        buf, ends = arrow_flat(texts.column("text"))
-        _, _, h, wb = words(buf, ends)
-        sh, bounds = shingles(h, wb, k)
-        ids = texts.column("a").to_numpy()
-        home = texts.column("home").to_pylist()
-        found = set_keys(sh, bounds)[0].view(np.int64)  # where ids repeat, another text may have come as well
-        place = {key: i for i, key in enumerate(zip(home, ids.tolist(), strict=True)) if found[i] == key[1]}
-        a, b, sim = [], [], []
-        for x, y, g in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), pairs.column("home").to_pylist(), strict=True):
-            i, j = place[g, x], place[g, y]
-            p, q = sh[bounds[i] : bounds[i + 1]], sh[bounds[j] : bounds[j + 1]]
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            s = common / (len(p) + len(q) - common)
-            if s >= threshold:
-                a.append(x)
-                b.append(y)
-                sim.append(s)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(sim, pa.float64())})
+        t = t.combine_chunks()
+        sh, bounds = _sets(t.column("text").combine_chunks(), k)
+        # where ids repeat another text may have come as well, and repeated rows come again
+        right = set_keys(sh, bounds)[0].view(np.int64) == t.column("cls").to_numpy()
+        by = np.lexsort((t.column("cls").to_numpy(), t.column("side").to_numpy(), t.column("cell").to_numpy()))
+        by = by[right[by]]
+        key = np.stack([t.column(c).to_numpy()[by] for c in ("cell", "side", "cls")])
+        by = by[np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))] if len(by) else by
+        sizes = np.diff(bounds)[by]
+        sh = np.concatenate([np.zeros(0, U64), *[sh[bounds[i] : bounds[i + 1]] for i in by]])
+        bounds = np.append(0, np.cumsum(sizes))
+        t = t.drop_columns(["text"]).take(pa.array(by))
+        cls, copies, size = t.column("cls").to_numpy(), t.column("copies").to_numpy(), sizes.astype(np.float64)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+        a, b, sim, more = [], [], [], np.zeros(len(cls), dtype=np.int64)
+        for lo, hi, second in _cells(t, "cell"):
+            forest = _Forest(hi - lo)
+            base = lo if second is None else second
+            for row, common in _common(sh, bounds, range(lo, hi if second is None else second), base, hi):
+                other = _survivors(row, np.arange(row + 1 if second is None else second, hi), sig, size, needs, threshold)
+                both = common[other - base]
+                j = both / (size[other] + size[row] - both)
+                ok = j >= threshold
+                other, j = other[ok], j[ok]
+                if len(other) == 0:
+                    continue
+                if every:
+                    a += [cls[row]] * len(other)
+                    b += cls[other].tolist()
+                    sim += j.tolist()
+                else:
+                    more[row] += copies[other].sum()
+                    more[other] += copies[row]
+                    forest.join(row - lo, other - lo)
+            for x, y in forest.edges:
+                a.append(cls[lo + x])
+                b.append(cls[lo + y])
+        if every:
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(sim, pa.float64())})
+        ends = np.flatnonzero(more)
+        return pa.table({"a": pa.array(np.append(cls[ends], np.array(a, np.int64))), "b": pa.array([None] * len(ends) + b, pa.int64()), "more": pa.array(more[ends].tolist() + [None] * len(a), pa.int64())})
 
     return kernel
 
@@ -205,46 +285,57 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return saved(rows.mapInArrow(_class_kernel(k), "doc_id long, text_key long, k1 long, k2 long, n int, sig binary"))
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, pairs, marks): ``doc_id, k1, k2``; ``a, b, jaccard`` between classes' ids; ``cls, k1, k2, n, copies``."""
+def _blocked(members: DataFrame, crowd: str, name: str, key: list[str]) -> DataFrame:
+    """Deals each group's members into blocks and to a cell for each pair of blocks; side 2: a block with itself."""
+    cut = members.withColumn("_blocks", F.ceil(F.col(crowd) / F.lit(BLOCK)).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least("_mine", o).alias("i"), F.greatest("_mine", o).alias("j"), F.when(o == F.col("_mine"), 2).when(F.col("_mine") < o, 0).otherwise(1).alias("side"))))
+    return cut.withColumn("_cell", cell).withColumns({name: F.xxhash64(*key, "_cell.i", "_cell.j"), "side": F.col("_cell.side")}).drop("_cell", "_blocks", "_mine", crowd)
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, marks).
+
+    members: ``doc_id, text_key, k1, k2, n`` of each row; marks: ``k1, k2, n, rep,
+    copies, cls`` of each class of equal shingle sets, named ``cls``, the
+    smallest id being ``rep``; links between classes: with ``every`` one row
+    ``a, b, jaccard`` each, else ``a, more`` (copies that a links to, to be
+    added up) and ``a, b`` of spanning forests.
+    """
     members = classes(docs, id_col=id_col, text_col=text_col, k=k)
-    # two classes can share their smallest id only if ids repeat; a class is named by its key then as well
     marks = saved(members.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("cls", F.col("k1")))
     kinds = marks.filter("n > 0")
     rows = saved(kinds.select("cls", "sig").mapInArrow(_bands, "cls long, band int, key long"))
     crowd = rows.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    met = rows.join(crowd, ["band", "key"]).withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
-    # block i meets itself and every other block: one bucket for each pair of blocks
-    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least("_mine", o).alias("i"), F.greatest("_mine", o).alias("j"), F.when(o == F.col("_mine"), 2).when(F.col("_mine") < o, 0).otherwise(1).alias("side"))))
-    cells = met.withColumn("_cell", cell).select("cls", "band", F.xxhash64("band", "key", "_cell.i", "_cell.j").alias("bucket"), "_cell.side")
-    spread = max(16, int(met.count() // BLOCK))
-    with_sig = cells.join(kinds.select("cls", "sig", "n"), "cls").withColumn("task", F.pmod("bucket", F.lit(spread)))
-    pairs = saved(with_sig.groupBy("task").applyInArrow(_pair_kernel(least_matches(threshold)), "a long, b long").distinct())
-    # a pair is verified at the home of one of its ends: the smallest partner of theirs; homes of many pairs are cut up
-    ends = pairs.select(F.col("a").alias("x"), F.col("a").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    home = saved(ends.groupBy("x").agg(F.min("y").alias("h")))
-    placed = pairs.join(home.select(F.col("x").alias("a"), F.col("h").alias("ha")), "a").join(home.select(F.col("x").alias("b"), F.col("h").alias("hb")), "b").withColumn("h", F.least("ha", "hb"))
-    heavy = placed.groupBy("h").agg(F.ceil(F.sqrt(F.count("*") / F.lit(50_000.0))).cast("int").alias("s"))
-    placed = saved(placed.join(heavy, "h").select("a", "b", F.xxhash64("h", F.pmod(F.xxhash64("a"), F.col("s")), F.pmod(F.xxhash64("b"), F.col("s"))).alias("home")))
-    wanted = placed.select("home", F.col("a").alias("cls")).unionByName(placed.select("home", F.col("b").alias("cls"))).distinct()
-    # one document of each class gives the text: the first by id (repeated rows give it again, which does no harm)
-    source = wanted.join(marks.select("cls", "k1", "k2", "n", "rep"), "cls").groupBy("cls", "rep").agg(F.collect_list("home").alias("homes"))
-    raw = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("rep"), F.col(text_col).alias("text"))
-    texts = raw.join(source, "rep").select(F.explode("homes").alias("home"), F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    tasks = max(16, int(placed.count() // 50_000))
-    both = texts.unionByName(placed.select("home", "a", "b", F.lit(None).cast("string").alias("text"))).withColumn("task", F.pmod("home", F.lit(tasks * 8)))
-    links = saved(both.groupBy("task").applyInArrow(_verify_kernel(k, threshold), "a long, b long, jaccard double"))
-    return members, links, marks
+    met = saved(_blocked(rows.join(crowd, ["band", "key"]), "m", "bucket", ["band", "key"]).select("cls", "band", "bucket", "side"))
+    tasks = max(16, int(met.count() // BLOCK))
+    with_sig = met.join(kinds.select("cls", "sig", "n"), "cls").withColumn("task", F.pmod("bucket", F.lit(tasks)))
+    near = saved(with_sig.groupBy("task").applyInArrow(_candidate_kernel(threshold), "a long, b long").distinct())
+    label = components(near, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
+    crowd = label.groupBy("component").agg(F.count("*").alias("m"))
+    cells = saved(_blocked(label.withColumnRenamed("node", "cls").join(crowd, "component"), "m", "cell", ["component"]).select("cls", "cell", "side"))
+    tasks = max(16, int(cells.count() // BLOCK))
+    # one document of each class gives its text: that of the smallest id
+    asked = cells.join(kinds.select("cls", "rep", "copies", "sig"), "cls").groupBy("rep").agg(F.collect_list(F.struct("cls", "cell", "side", "copies", "sig")).alias("asks"))
+    raw = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = raw.join(asked, "rep").select("text", F.inline("asks")).withColumn("task", F.pmod("cell", F.lit(tasks)))
+    out = "a long, b long, jaccard double" if every else "a long, b long, more long"
+    return members, saved(texts.groupBy("task").applyInArrow(_verify_kernel(k, threshold, every), out)), marks
+
+
+def pairs(docs: DataFrame, **options) -> DataFrame:
+    """Every link between classes, ``a, b, jaccard``, the classes named by the smallest ids of their rows."""
+    _, links, marks = join(docs, every=True, **options)
+    name = marks.select("cls", "rep")
+    return links.join(name.withColumnsRenamed({"cls": "a", "rep": "_a"}), "a").join(name.withColumnsRenamed({"cls": "b", "rep": "_b"}), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "jaccard")
 
 
 def grouped(docs: DataFrame, **options) -> DataFrame:
     """``linked`` with the row's ``text_key`` and ``group``, a key of its class (ids that repeat may share a class_id, not a group)."""
     members, links, marks = join(docs, **options)
     weight = marks.select("cls", "rep", "copies")
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(weight, ends.b == weight.cls).groupBy("a").agg(F.sum("copies").alias("more"))
-    label = components(links, links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct())
+    degree = links.filter("more is not null").groupBy("a").agg(F.sum("more").alias("more"))
+    forest = links.filter("b is not null").select("a", "b").distinct()
+    label = components(forest, degree.select(F.col("a").alias("node")))
     named = label.join(weight, label.node == weight.cls)
     first = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     group = named.join(first, "component").select("node", "component", "class_id")
