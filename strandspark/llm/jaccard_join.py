@@ -123,19 +123,22 @@ def _survivors(row: int, other: np.ndarray, sig: np.ndarray, size: np.ndarray, n
 
 
 class _Forest:
-    """Components of members as they are joined; keeps the joins that made a difference."""
+    """Components of members as they are joined."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
 
     def join(self, row: int, others: np.ndarray) -> None:
-        mine = self.label[row]
-        new, first = np.unique(self.label[others], return_index=True)
-        first = first[new != mine]
-        if len(first):
-            self.edges += [(row, int(o)) for o in others[first]]
-            self.label[np.isin(self.label, self.label[others[first]])] = mine
+        new = np.unique(self.label[others])
+        if len(new) > 1 or new[0] != self.label[row]:
+            self.label[np.isin(self.label, new)] = self.label[row]
+
+    def stars(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges from each component's smallest name to its other members: few different ones where buckets overlap."""
+        by = np.lexsort((names, self.label))
+        new = np.append(True, self.label[by][1:] != self.label[by][:-1])
+        root = names[by[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+        return root[~new], names[by][~new]
 
 
 def _cells(t: pa.Table, cell: str):
@@ -170,11 +173,10 @@ def _candidate_kernel(threshold: float):
                     other = _survivors(row, other, sig, size, needs, threshold)
                 if len(other):
                     forest.join(row - lo, other - lo)
-            for x, y in forest.edges:
-                out_a.append(cls[lo + x])
-                out_b.append(cls[lo + y])
-        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+            x, y = forest.stars(cls[lo:hi])
+            out_a.append(x)
+            out_b.append(y)
+        return pa.table({"a": pa.array(np.concatenate([np.zeros(0, np.int64), *out_a])), "b": pa.array(np.concatenate([np.zeros(0, np.int64), *out_b]))})
 
     return kernel
 
@@ -251,9 +253,10 @@ def _verify_kernel(k: int, threshold: float, every: bool):
                     more[row] += copies[other].sum()
                     more[other] += copies[row]
                     forest.join(row - lo, other - lo)
-            for x, y in forest.edges:
-                a.append(cls[lo + x])
-                b.append(cls[lo + y])
+            if not every:
+                x, y = forest.stars(cls[lo:hi])
+                a += x.tolist()
+                b += y.tolist()
         if every:
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(sim, pa.float64())})
         ends = np.flatnonzero(more)
