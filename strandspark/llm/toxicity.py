@@ -114,29 +114,30 @@ class Model:
         return -math.expm1(keep), *at
 
 
-def fit(bags: list, n: np.ndarray, label: np.ndarray, size: int, *, rounds: int = 300, rate: float = 0.3, l2: float = 2e-5) -> tuple[np.ndarray, float]:
+def fit(per_doc: np.ndarray, per_sentence: np.ndarray, col: np.ndarray, n: np.ndarray, label: np.ndarray, size: int, *, rounds: int = 300, rate: float = 0.3, l2: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of the labels under the noisy-or, by gradient steps (Adam).
 
-    A sentence without chosen words has the bias alone as its log-odds.
+    per_doc: sentences with chosen words of each document; per_sentence: chosen
+    words of each of those; col: the words.  The other sentences of the n that
+    a document has get the bias alone as their log-odds.
     """
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    sents = [s for b in bags for s in b]
-    row = np.repeat(np.arange(len(sents)), [len(s) for s in sents])
-    col = np.concatenate([np.asarray(s, np.int64) for s in sents]) if sents else np.zeros(0, np.int64)
-    plain = n - np.bincount(doc, minlength=len(bags))
+    docs, sents = len(per_doc), len(per_sentence)
+    doc = np.repeat(np.arange(docs), per_doc)
+    row = np.repeat(np.arange(sents), per_sentence)
+    plain = n - per_doc
     w, b = np.zeros(size), -6.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     weight = np.where(label == 1, TOXIC_WEIGHT, 1.0)
     for step in range(1, rounds + 1):
-        z = b + np.bincount(row, w[col], minlength=len(sents))
+        z = b + np.bincount(row, w[col], minlength=sents)
         soft = np.logaddexp(0, z)
-        keep = -np.bincount(doc, soft, minlength=len(bags)) - plain * np.logaddexp(0, b)
+        keep = -np.bincount(doc, soft, minlength=docs) - plain * np.logaddexp(0, b)
         p = np.clip(-np.expm1(keep), 1e-9, 1.0)
         # d loglik / d keep: -1 for a clean document is keep itself; for a toxic one exp(keep) / p
         d = weight * np.where(label == 1, -np.exp(keep) / p, 1.0)
         gz = d[doc] * -(1 / (1 + np.exp(-z)))
-        gw = np.bincount(col, gz[row], minlength=size) / len(bags) - l2 * w
-        gb = (gz.sum() + (d * plain * -(1 / (1 + np.exp(-b)))).sum()) / len(bags)
+        gw = np.bincount(col, gz[row], minlength=size) / docs - l2 * w
+        gb = (gz.sum() + (d * plain * -(1 / (1 + np.exp(-b)))).sum()) / docs
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
@@ -162,9 +163,11 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     g = part(t, d * share) + part(d - t, d * (1 - share)) + part(F.lit(float(bad)) - t, (F.lit(float(total)) - d) * share) + part(F.lit(float(total - bad)) - (d - t), (F.lit(float(total)) - d) * (1 - share))
     words = [r["word"] for r in seen.withColumn("g", g).filter("g > 4").orderBy(F.desc("g"), "word").limit(VOCABULARY).select("word").collect()]
     index = {w: i for i, w in enumerate(words)}
-    got = sample.mapInArrow(_bags(index), "bags array<array<int>>, n long, toxic int").toPandas()
-    got = got.sort_values(["n", "toxic"], kind="stable")
-    w, b = fit([list(map(list, x)) for x in got["bags"]], got["n"].to_numpy(), got["toxic"].to_numpy(), len(words))
+    got = sample.mapInArrow(_bags(index), "bags array<array<int>>, n long, toxic int").toArrow().combine_chunks()
+    bags = got.column("bags").combine_chunks()
+    per_doc, inner = np.diff(bags.offsets.to_numpy()), bags.flatten()
+    per_sentence = np.diff(inner.offsets.to_numpy())
+    w, b = fit(per_doc, per_sentence, inner.flatten().to_numpy().astype(np.int64), got["n"].to_numpy(), got["toxic"].to_numpy(), len(words))
     return Model(words, w, b)
 
 
