@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _OUT = "key string, start long, end long, priority double, arrival long"
 _STATE = "starts array<long>, ends array<long>, priorities array<double>, arrivals array<long>, top long, last long"
