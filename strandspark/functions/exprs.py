@@ -45,14 +45,17 @@ def to_dna(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """The substrings of k letters in their order; empty for shorter texts."""
-    n = F.length(seq) - k + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """The substrings of k letters in their order; empty for shorter texts.
+
+    One pass of a look-ahead expression: a substring for each place would work
+    out the sequence's own expression again at every place.
+    """
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
 def standard_kmers(seq: Column, k: int) -> Column:
     """The k-mers of upper-cased ACGT (U read as T), those with other letters left out."""
-    return F.filter(kmers(F.translate(F.upper(seq), "U", "T"), k), lambda x: F.length(F.translate(x, "ACGT", "")) == 0)
+    return F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
 
 
 def canonical(kmer: Column) -> Column:

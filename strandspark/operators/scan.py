@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import gc_fraction, n_count
-from ..model import AMBIGUOUS, UNIFORM, Motif, from_consensus, reverse_complement, scored, with_threshold
+from ..functions.exprs import gc_fraction, kmers, n_count
+from ..model import AMBIGUOUS, IUPAC, UNIFORM, Motif, from_consensus, reverse_complement, scored, with_threshold
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
@@ -134,16 +134,10 @@ def _finish(hits: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 def consensus_positions(seqs: DataFrame, consensus: str) -> DataFrame:
     """Where an IUPAC string fits the forward strand: ``seq_name, start, end, match``, by expressions alone."""
-    from ..model import IUPAC
-
     w = len(consensus)
-    n = F.length("seq") - w + 1
-    fits = [F.translate(F.upper(F.substring(F.col("seq"), F.col("start").cast("int") + i, F.lit(1))), "U", "T").isin(*IUPAC[c]) for i, c in enumerate(consensus.upper())]
-    cond = fits[0]
-    for f in fits[1:]:
-        cond = cond & f
-    at = seqs.filter(n >= 1).select(F.col("name").alias("seq_name"), "seq", F.explode(F.sequence(F.lit(1), n)).cast("long").alias("start"))
-    return at.filter(cond).select("seq_name", "start", (F.col("start") + w - 1).alias("end"), F.substring(F.col("seq"), F.col("start").cast("int"), F.lit(w)).alias("match"))
+    pattern = "(?i)^" + "".join(f"[{IUPAC[c].replace('T', 'TU')}]" for c in consensus.upper()) + "$"
+    at = seqs.select(F.col("name").alias("seq_name"), F.posexplode(kmers(F.col("seq"), w)).alias("p", "match")).filter(F.col("match").rlike(pattern))
+    return at.select("seq_name", (F.col("p") + 1).cast("long").alias("start"), (F.col("p") + w).cast("long").alias("end"), "match")
 
 
 def max_possible_hits(seqs: DataFrame, widths: list[int], *, strands: int = 2) -> DataFrame:
