@@ -4,8 +4,8 @@ Documents start in a shard by hash.  A link joins a document to a hub (here the
 hub of all equal texts), which stands for links between all its members
 without listing their pairs.  The state is the number of members of each hub
 in each shard, a cell; in each round a cell's members want to move to the shard
-that holds most of their neighbours, and cells are let in, largest first in a
-fixed order, while that shard's row quota lasts.  Documents without links have
+that holds most of their neighbours, and cells are let in, in an order
+fixed for the round, while that shard's row quota lasts.  Documents without links have
 no edge to cut: they fill what the linked ones leave, so that row counts differ
 by one at most.
 """
@@ -27,7 +27,7 @@ def text_hub(text: Column) -> Column:
     return F.concat_ws("-", F.xxhash64(t).cast("string"), F.crc32(F.encode(t, "UTF-8")).cast("string"), F.octet_length(t).cast("string"))
 
 
-def shard(docs: DataFrame, *, shards: int = 16, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", hub: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+def shard(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text", hub: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard`` (and ``keep``).
 
     Law ``rows``: the shards' row counts differ by at most one.  size: UTF-8
@@ -54,8 +54,8 @@ def shard(docs: DataFrame, *, shards: int = 16, rounds: int = 4, id_col: str = "
     # the first shard of a linked document, spread evenly over a hub's members
     cells = linked.groupBy("_hub", F.pmod(F.xxhash64("_hub") + F.col("_rank"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
     cells = saved(_settled(cells, quota))
-    for _ in range(rounds):
-        cells = saved(_round(cells, quota))
+    for i in range(rounds):
+        cells = saved(_round(cells, quota, i))
     used = dict(cells.groupBy("shard").agg(F.sum("n")).collect())  # one row per shard
     # members of a hub fill its cells in the order of their ranks
     span = Window.partitionBy("_hub").orderBy(F.desc("n"), "shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,12 +78,13 @@ def shard(docs: DataFrame, *, shards: int = 16, rounds: int = 4, id_col: str = "
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *[F.col(f"_keep_{c}").alias(c) for c in keep or []])
 
 
-def _admitted(moves: DataFrame, room: Column, to: str) -> DataFrame:
-    """Marks the moves that fit: cells in a fixed order, while the rows let in are within the room of their shard."""
-    order = F.pmod(F.xxhash64("_hub", "shard"), F.lit(1 << 40))
+def _admitted(moves: DataFrame, room: Column, to: str, turn: int = 0) -> DataFrame:
+    """Marks the moves that fit: cells in an order fixed for the turn, while the rows let in are within the room of their shard."""
+    order = F.pmod(F.xxhash64(F.lit(turn), "_hub", "shard"), F.lit(1 << 40))
     moves = moves.withColumn("_order", order)
     r = running_before(moves, [to], F.floor(F.col("_order") / F.lit(float(1 << 40)) * 1024), ["_order", "_hub", "shard"], "n", "_in")
-    return r.withColumn("_ok", F.col("_in") + F.col("n") <= room).drop("_order", "_in")
+    r = r.withColumn("_take", F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), room - F.col("_in"))))
+    return r.withColumn("_ok", F.col("_take") == F.col("n")).drop("_order", "_in")
 
 
 def _room(counts: DataFrame, quota: list[int], of: str) -> Column:
@@ -114,17 +115,22 @@ def _settled(cells: DataFrame, quota: list[int]) -> DataFrame:
     return fits.unionByName(rest).groupBy("_hub", "shard").agg(F.sum("n").cast("long").alias("n"))
 
 
-def _round(cells: DataFrame, quota: list[int]) -> DataFrame:
+def _round(cells: DataFrame, quota: list[int], turn: int) -> DataFrame:
     """One round: cells move to the shard of most neighbours that has room for them."""
     counts = cells.groupBy("shard").agg(F.sum("n").alias("u"))
     room = _room(counts, quota, "_s")
     # the best shard of a hub: most members, room left, then a fixed order
     ranked = cells.withColumn("_s", F.col("shard")).withColumn("_room", room).drop("_s")
-    best = ranked.filter("_room > 0").groupBy("_hub").agg(F.max(F.struct("n", F.xxhash64("_hub", "shard").alias("h"), "shard", "_room")).alias("_best"))
-    wish = ranked.join(best, "_hub", "left").withColumn("_go", (F.col("_best.shard") != F.col("shard")) & (F.struct(F.col("n"), F.xxhash64("_hub", "shard").alias("h")) < F.struct(F.col("_best.n").alias("n"), F.col("_best.h").alias("h"))))
+    best = ranked.groupBy("_hub").agg(F.max(F.when(F.col("_room") > 0, F.struct("n", F.xxhash64("_hub", "shard").alias("h"), "shard", "_room"))).alias("_best"), F.sum("n").alias("_all"))
+    less = F.struct(F.col("n"), F.xxhash64("_hub", "shard").alias("h")) < F.struct(F.col("_best.n").alias("n"), F.col("_best.h").alias("h"))
+    # out of a full shard even the larger part goes, if all of the hub finds room where the smaller part is
+    leaves = (F.col("_room") == 0) & (F.col("_all") <= F.col("_best._room"))
+    wish = ranked.join(best, "_hub", "left").withColumn("_go", (F.col("_best.shard") != F.col("shard")) & (less | leaves))
     wish = saved(wish.select("_hub", "shard", "n", F.coalesce("_go", F.lit(False)).alias("_go"), F.col("_best.shard").alias("_to")))
-    moves = _admitted(wish.filter("_go"), _room(counts, quota, "_to"), "_to")
-    moved = moves.select("_hub", F.when(F.col("_ok"), F.col("_to")).otherwise(F.col("shard")).alias("shard"), "n")
+    moves = _admitted(wish.filter("_go"), _room(counts, quota, "_to"), "_to", turn + 1)
+    # the last cell let in moves in part, so that a shard fills up and the next round looks for another one
+    parts = F.array(F.struct(F.col("_to").alias("shard"), F.col("_take").alias("n")), F.struct(F.col("shard").alias("shard"), (F.col("n") - F.col("_take")).alias("n")))
+    moved = moves.select("_hub", F.inline(parts)).filter("n > 0")
     return wish.filter("not _go").select("_hub", "shard", "n").unionByName(moved).groupBy("_hub", "shard").agg(F.sum("n").cast("long").alias("n"))
 
 

@@ -53,7 +53,8 @@ def test_toxicity_finds_labels_and_sentences(spark):
         s = [" ".join(rng.choice(plain) for _ in range(8)) + "." for _ in range(rng.randint(1, 12))]
         bad = i % 5 == 0
         if bad:
-            s[k := rng.randrange(len(s))] = s[k].replace(" ", f" {rng.choice(['foul', 'vileness', 'vilest'])} ", 1)
+            k = rng.randrange(len(s))
+            s[k] = s[k].replace(" ", f" {rng.choice(['foul', 'vileness', 'vilest'])} ", 1)
         rows.append((i, " ".join(s), int(bad)))
     rows += [(2000, None, 0), (2001, "", None), (2002, "  ", 0), (7, rows[7][1], 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
