@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Positions of a key that one task looks at.
+BLOCK = 1 << 20
+
 
 def priority(pvalue: Column | None = None, score: Column | None = None, *, by_size: bool = False, none: bool = False, negate: bool = False, start: Column | None = None, end: Column | None = None) -> Column:
     """-ln(p) of hits or the score of ranges; their sizes; 0 for all; negated on demand.  A p of 0 is an error."""
@@ -20,28 +26,42 @@ def priority(pvalue: Column | None = None, score: Column | None = None, *, by_si
     return -out if negate else out
 
 
-def islands(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``island``: rows of a key whose closed ranges overlap in a chain share it.  Order: start, arrival."""
-    w = Window.partitionBy(*keys).orderBy("start", "arrival")
-    top = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(top.isNull() | (F.col("start") > top), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+def islands(df: DataFrame, keys: list[str], *, block: int = BLOCK) -> DataFrame:
+    """Adds ``island``: rows of a key whose closed ranges overlap in a chain share it.  Order: start, arrival.
+
+    A key's rows are shared out by blocks of starts; what a block needs of the
+    earlier ones, their largest end and their number of islands, is summed up per
+    block first, so that a key that holds most of all rows isn't left to one task.
+    """
+    spot = ["_key", "_block"]
+    rows = df.withColumns({"_key": F.struct(*keys), "_block": F.coalesce(F.floor(F.col("start") / block), F.lit(-1))})
+    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*spot).orderBy("start", "arrival")
+    tops = rows.groupBy(*spot).agg(F.max("end").alias("_top")).select(*spot, F.max("_top").over(earlier).alias("_carry"))
+    top = F.greatest("_carry", F.max("end").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(tops, spot).withColumn("_new", F.when(top.isNull() | (F.col("start") > top), 1).otherwise(0))
+    found = rows.groupBy(*spot).agg(F.sum("_new").alias("_m")).select(*spot, F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_offset"))
+    island = F.col("_offset") + F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(found, spot).withColumn("island", island.cast("long")).drop(*spot, "_carry", "_new", "_offset")
+
+
+def greedy(ranges: Iterable[tuple[int, int]]) -> Iterator[int]:
+    """The places of the closed ranges that overlap none kept before them."""
+    starts, ends = [], []
+    for i, (s, e) in enumerate(ranges):
+        at = bisect.bisect_left(starts, s)
+        if (at == 0 or ends[at - 1] < s) and (at == len(starts) or starts[at] > e):
+            starts.insert(at, s)
+            ends.insert(at, e)
+            yield i
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one or more chains, the rows kept: by priority, then arrival, unless they overlap a kept one."""
-    import bisect
-
     keep = []
     for _, chain in pdf.groupby("_chain", sort=False):
         chain = chain.sort_values(["_priority", "arrival"], ascending=[False, True], kind="stable")
-        starts, ends = [], []
-        for i, s, e in zip(chain.index, chain["start"], chain["end"], strict=True):
-            at = bisect.bisect_left(starts, s)
-            if (at == 0 or ends[at - 1] < s) and (at == len(starts) or starts[at] > e):
-                starts.insert(at, s)
-                ends.insert(at, e)
-                keep.append(i)
+        keep += [chain.index[i] for i in greedy(zip(chain["start"], chain["end"], strict=True))]
     return pdf.loc[keep]
 
 

@@ -6,19 +6,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.dedup import greedy
+
 _OUT = "key string, start long, end long, priority double, arrival long"
 _STATE = "starts array<long>, ends array<long>, priorities array<double>, arrivals array<long>, top long, last long"
 
 
 def _closed(rows: list[tuple]) -> list[tuple]:
-    kept: list[tuple] = []
-    for r in sorted(rows, key=lambda r: (-r[2], r[3])):
-        if all(r[0] > k[1] or r[1] < k[0] for k in kept):
-            kept.append(r)
-    return kept
+    rows = sorted(rows, key=lambda r: (-r[2], r[3]))
+    return [rows[i] for i in greedy((r[0], r[1]) for r in rows)]
 
 
-def _step(key, frames, state: GroupState):
+def _step(key, frames, state: GroupState, idle: int | None):
     chain, top, last, out = [], -1, -1, []
     if state.exists:
         s, e, p, a, top, last = state.get
@@ -38,10 +37,17 @@ def _step(key, frames, state: GroupState):
             top, last = max(top, r[1]), r[0]
         s, e, p, a = zip(*chain, strict=True)
         state.update((list(map(int, s)), list(map(int, e)), list(map(float, p)), list(map(int, a)), int(top), int(last)))
-        state.setTimeoutDuration(60_000)
+        if idle is not None:
+            state.setTimeoutDuration(idle * 1000)
     yield pd.DataFrame([(key[0], *r) for r in out], columns=["key", "start", "end", "priority", "arrival"])
 
 
-def dedup_stream(stream: DataFrame) -> DataFrame:
-    """A stream of ``key, start, end, priority, arrival`` -> the rows kept, as their chains close (the last ones after a minute without rows)."""
-    return stream.groupBy("key").applyInPandasWithState(_step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def dedup_stream(stream: DataFrame, *, idle: int | None = None) -> DataFrame:
+    """A stream of ``key, start, end, priority, arrival`` -> the rows kept, as their chains close.
+
+    idle: after so many seconds without rows of a key its open chain is decided
+    too, which needs a trigger that goes on; without it (None) an open chain
+    waits in the state for a later start, and an ``availableNow`` trigger ends.
+    """
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy("key").applyInPandasWithState(lambda key, frames, state: _step(key, frames, state, idle), _OUT, _STATE, "append", timeout)

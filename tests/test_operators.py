@@ -62,6 +62,24 @@ def test_dedup_against_loop(spark):
         assert got == slow_dedup(rows)
 
 
+def test_islands_do_not_depend_on_blocks(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), a := rng.randint(-20, 900), a + rng.choice([0, 3, 10, 150]), i) for i in range(150)]
+    df = spark.createDataFrame(rows, "seq_name string, start long, end long, arrival long")
+    expected = []
+    for key in ("a", "b", None):
+        island, top = 0, None
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[3])):
+            island += top is None or r[1] > top
+            top = r[2] if top is None else max(top, r[2])
+            expected.append((r[3], island))
+    for block in (7, 64, 1 << 20):
+        got = dedup.islands(df, ["seq_name"], block=block)
+        assert got.columns == [*df.columns, "island"]
+        assert sorted((r["arrival"], r["island"]) for r in got.collect()) == sorted(expected)
+    assert dedup.islands(df.limit(0), ["seq_name"]).count() == 0
+
+
 def test_dedup_stream_decides_closed_chains(spark, tmp_path):
     from strandspark.streaming.dedup import dedup_stream
 
@@ -74,7 +92,7 @@ def test_dedup_stream_decides_closed_chains(spark, tmp_path):
         spark.createDataFrame(part, "key string, start long, end long, priority double, arrival long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p{i}"))
     stream = spark.readStream.schema("key string, start long, end long, priority double, arrival long").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in" / "p*"))
     q = dedup_stream(stream).writeStream.format("memory").queryName("kept").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.table("kept").filter("start < 10000").collect())
     assert got == slow_dedup(rows)
 
