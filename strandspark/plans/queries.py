@@ -326,18 +326,24 @@ def dedup_islands(spark, d):
     return dedup.islands(intervals(spark, d), ["seq_name", "strand", "motif"]).select("seq_name", "strand", "motif", "arrival", "island")
 
 
-@query(f"""WITH RECURSIVE {_ISLANDS % (('seq_name, strand, motif',) * 2)},
-o AS (SELECT *, row_number() OVER (PARTITION BY seq_name, strand, motif, island ORDER BY score DESC, arrival) AS rk FROM isl),
-g AS (SELECT seq_name, strand, motif, island, 1::BIGINT AS rk, [struct_pack(s := start, e := "end")] AS kept, arrival, true AS take FROM o WHERE rk = 1
-  UNION ALL SELECT seq_name, strand, motif, island, rk, CASE WHEN take THEN list_append(kept, x) ELSE kept END, arrival, take FROM (
-    SELECT o.seq_name, o.strand, o.motif, o.island, o.rk, g.kept, struct_pack(s := o.start, e := o."end") AS x, o.arrival, len(list_filter(g.kept, lambda k: k.s <= o."end" AND k.e >= o.start)) = 0 AS take
-    FROM g JOIN o ON o.seq_name = g.seq_name AND o.strand = g.strand AND o.motif = g.motif AND o.island = g.island AND o.rk = g.rk + 1))
-SELECT seq_name, strand, motif, arrival FROM g WHERE take""")
+def _picks_sql(*keys, priority):
+    names = ", ".join(keys)
+    same = " AND ".join(f"o.{k} = g.{k}" for k in (*keys, "island"))
+    return f"""WITH RECURSIVE {_ISLANDS % ((names,) * 2)},
+o AS (SELECT *, row_number() OVER (PARTITION BY {names}, island ORDER BY {priority} DESC, arrival) AS rk FROM isl),
+g AS (SELECT {names}, island, 1::BIGINT AS rk, [struct_pack(s := start, e := "end")] AS kept, arrival, true AS take FROM o WHERE rk = 1
+  UNION ALL SELECT {names}, island, rk, CASE WHEN take THEN list_append(kept, x) ELSE kept END, arrival, take FROM (
+    SELECT {", ".join(f"o.{k}" for k in keys)}, o.island, o.rk, g.kept, struct_pack(s := o.start, e := o."end") AS x, o.arrival, len(list_filter(g.kept, lambda k: k.s <= o."end" AND k.e >= o.start)) = 0 AS take
+    FROM g JOIN o ON {same} AND o.rk = g.rk + 1))
+SELECT {names}, arrival FROM g WHERE take"""
+
+
+@query(_picks_sql("seq_name", "strand", "motif", priority="score"))
 def dedup_hits(spark, d):
     return dedup.dedup(intervals(spark, d), F.col("score")).select("seq_name", "strand", "motif", "arrival")
 
 
-@query()
+@query(_picks_sql("seq_name", "motif", priority='("end" - start)'))
 def dedup_ignore_strand_by_size(spark, d):
     iv = intervals(spark, d)
     return dedup.dedup(iv, dedup.priority(by_size=True, start=F.col("start"), end=F.col("end")), keys=["seq_name", "motif"]).select("seq_name", "motif", "arrival")
@@ -366,19 +372,19 @@ def fisher_by_language(spark, d):
 
 _UNITS = f"""lab AS (SELECT s.name, s.seq, l.quality = 1 AS positive FROM seqs s JOIN labels l ON l.doc_id = s.seq_num WHERE l.quality IS NOT NULL),
 us AS (SELECT motif, positive, count(*) FILTER (n > 0) AS hit, sum(n) AS sites FROM (SELECT lab.name, lab.positive, t.motif, count(h.start) AS n FROM lab CROSS JOIN tops t LEFT JOIN hits h ON h.seq_name = lab.name AND h.motif = t.motif GROUP BY 1, 2, 3) GROUP BY 1, 2),
-tot AS (SELECT count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nn, sum(2 * greatest(length(seq) - 5, 0)) FILTER (positive) AS pp, sum(2 * greatest(length(seq) - 5, 0)) FILTER (NOT positive) AS pn FROM lab),
+tot AS (SELECT count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nn, (sum(2 * greatest(length(seq) - 5, 0)) FILTER (positive))::BIGINT AS pp, (sum(2 * greatest(length(seq) - 5, 0)) FILTER (NOT positive))::BIGINT AS pn FROM lab),
 e AS (SELECT p.motif, p.hit AS ph, n.hit AS nh, p.sites::BIGINT AS ps, n.sites::BIGINT AS ns, np, nn, pp, pn FROM us p JOIN us n ON n.motif = p.motif AND p.positive AND NOT n.positive, tot)"""
 
 
-def _enr_sql(a, b, n, m):
+def _enr_sql(a, b, n, m, digits=9):
     return f"""WITH {SEQS}, {CELLS}, {PMF}, {HITS}, {_UNITS}, f AS (SELECT motif, {a} AS a, {a} + {b} AS c1, {n} AS r1, {n} + {m} AS t FROM e),
     p AS (SELECT motif, {_FISHER} AS p FROM f), r AS (SELECT motif, p, row_number() OVER (ORDER BY p, motif) AS rk FROM p), q AS (SELECT motif, p, min(least(1.0, p * 3 / rk)) OVER (ORDER BY rk DESC) AS q FROM r)
-    SELECT motif, ph::BIGINT AS pos_seq_hits, nh::BIGINT AS neg_seq_hits, ps AS pos_site_hits, ns AS neg_site_hits, np::BIGINT AS pos_n, nn::BIGINT AS neg_n, round(({a}::DOUBLE / {n}) / (CASE WHEN {b} = 0 THEN 0.5 ELSE {b} END::DOUBLE / {m}), 9) AS effect, round(p, 9) AS pvalue, round(q, 9) AS qvalue FROM e JOIN q USING (motif)"""
+    SELECT motif, ph::BIGINT AS pos_seq_hits, nh::BIGINT AS neg_seq_hits, ps AS pos_site_hits, ns AS neg_site_hits, np::BIGINT AS pos_n, nn::BIGINT AS neg_n, round(({a}::DOUBLE / {n}) / (CASE WHEN {b} = 0 THEN 0.5 ELSE {b} END::DOUBLE / {m}), 9) AS effect, round(p, {digits}) AS pvalue, round(q, {digits}) AS qvalue FROM e JOIN q USING (motif)"""
 
 
-def _enr(spark, d, test):
+def _enr(spark, d, test, digits=9):
     e = enrich.enrich(labelled(spark, d), _ready(), test=test, q=1.0)
-    return _rounded(e.select("motif", "pos_seq_hits", "neg_seq_hits", "pos_site_hits", "neg_site_hits", "pos_n", "neg_n", "effect", "pvalue", "qvalue"), effect=9, pvalue=9, qvalue=9)
+    return _rounded(e.select("motif", "pos_seq_hits", "neg_seq_hits", "pos_site_hits", "neg_site_hits", "pos_n", "neg_n", "effect", "pvalue", "qvalue"), effect=9, pvalue=digits, qvalue=digits)
 
 
 @query(_enr_sql("ph", "nh", "np", "nn"))
@@ -386,9 +392,10 @@ def enrich_seqs(spark, d):
     return _enr(spark, d, "seqs")
 
 
-@query()
+# sums of log gammas over all positions are good to some seven digits
+@query(_enr_sql("ps", "ns", "pp", "pn", 5))
 def enrich_sites(spark, d):
-    return _enr(spark, d, "sites")
+    return _enr(spark, d, "sites", 5)
 
 
 @query(f"""WITH {SEQS}, {CELLS}, {PMF}, {HITS}, lab AS (SELECT s.name, l.quality = 1 AS positive FROM seqs s JOIN labels l ON l.doc_id = s.seq_num WHERE l.quality IS NOT NULL),
