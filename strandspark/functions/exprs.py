@@ -23,7 +23,7 @@ def standard_count(seq: Column) -> Column:
 
 def gc_fraction(seq: Column) -> Column:
     """GC among standard bases; null where there are none."""
-    return F.when(standard_count(seq) > 0, gc_count(seq) / standard_count(seq))
+    return F.try_divide(gc_count(seq), standard_count(seq))
 
 
 def n_count(seq: Column) -> Column:
