@@ -60,9 +60,9 @@ def bernoulli(seqs: DataFrame, share: float, seed: int) -> DataFrame:
 def gc_histogram(seqs: DataFrame, step: float = 0.05) -> DataFrame:
     """``bin, bin_lo, bin_hi, seq_count, bp_count`` for every bin; sequences without standard bases are left out."""
     bins = seqs.sparkSession.range(math.ceil(1 / step)).select(F.col("id").cast("int").alias("bin"))
-    gc = gc_fraction(F.col("seq"))
-    # no filter: it would work out each sequence once more; the bin of those left out is null and meets none
-    got = seqs.groupBy(F.when(gc.isNotNull(), gc_bin(gc, step)).alias("bin")).agg(F.count(F.lit(1)).alias("seq_count"), F.sum(F.length("seq").cast("long")).alias("bp_count"))
+    # one pass over the sequences and no filter on them, which would work each out once more; a null bin meets none
+    rows = seqs.select(gc_fraction(F.col("seq")).alias("_gc"), F.length("seq").cast("long").alias("_n"))
+    got = rows.groupBy(F.when(F.col("_gc").isNotNull(), gc_bin(F.col("_gc"), step)).alias("bin")).agg(F.count(F.lit(1)).alias("seq_count"), F.sum("_n").alias("bp_count"))
     return bins.join(got, "bin", "left").select("bin", (F.col("bin") * F.lit(step)).alias("bin_lo"), F.least(F.lit(1.0), (F.col("bin") + 1) * F.lit(step)).alias("bin_hi"), F.coalesce("seq_count", F.lit(0)).cast("long").alias("seq_count"), F.coalesce("bp_count", F.lit(0)).cast("long").alias("bp_count"))
 
 
