@@ -103,6 +103,23 @@ def test_neighbours(spark):
     assert ann.search(df.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_neighbours_with_many_more_cells_than_probes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_CELL", 40)
+    x = np.random.default_rng(5).normal(size=(6000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def recall(**options):
+        got = ann.search(df, F.col("vec_id") % 50 == 0, **options).collect()
+        s = unit[::50] @ unit.T
+        s[np.arange(len(s)), np.arange(0, len(x), 50)] = -9
+        top = np.argsort(-s, axis=1)[:, :5]
+        return sum(r["vec_id"] in top[r["query_id"] // 50] for r in got) / top.size
+
+    assert recall() >= 0.93
+    assert recall(probes=ann.PROBES) < 0.9  # 150 cells: a fixed number of visits is not enough
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
