@@ -12,17 +12,17 @@ Words: the ``TOP_WORDS`` most frequent ones (a bounded table, broadcast) have
 exact counts in the kernel; the others' exact counts come by a shuffle join.
 
 The model: P(w | h) = (c~(h,w) + MU * P(w)) / (c^(h) + MU), where c~ is the
-lower end of the bigram's level and c^ the exact count of h, if it is among the
-most frequent words, else the largest count any other word has; so the
-probabilities of a context add up to one at most.  P(w) is the count's share for
-frequent words and, for all others, known or not, the mean share of the others.
+lower end of the bigram's level, at most c^, and c^ the exact count of h, at least
+1; so the probabilities of a context add up to one at most.  P(w) is the count's
+share, for words never seen that of one token.  A bigram of two frequent words is scored in
+the kernel; the others leave it with their level, and get their counts by the join.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
@@ -196,8 +196,7 @@ class Model:
         h, n = top.column("h").to_numpy().view(U64), top.column("n").to_numpy()
         by = np.argsort(h)
         self.top = (h[by].copy(), n[by].copy())
-        self.rare_words, self.rare_tokens = self.v - len(n), self.n - int(n.sum())
-        self.rare_most = min(self.least - 1, max(1, self.rare_tokens)) if self.rare_words else 1
+        self.whole = self.v == len(n)
 
     def segments(self):
         """Parts of the filter within the bound: the first bucket, then bit offsets and bytes of the pieces."""
@@ -247,12 +246,14 @@ def _pieces(batch, index: int):
         lo = hi
 
 
-def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, v: int, rare_words: int, rare_tokens: int, rare_most: int):
-    """(key, doc_id, held_out, text) -> the segment's terms; in the first segment also what doesn't depend on it."""
+def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool):
+    """(key, doc_id, held_out, text) -> the segment's terms, and the bigrams that wait for counts; in the first segment also what doesn't depend on it.
+
+    whole: words that aren't among the frequent ones have never been seen.
+    """
 
     def kernel(batches):
         top, (b0, edges, data) = shared.value
-        rare_p = (rare_tokens + 1) / (rare_words + 1) / (n_tokens + 1)
         for batch in (piece for whole in batches for piece in _pieces(whole, 3)):
             buf, ends = arrow_flat(batch.column(3))
             tok, bounds = tokens(buf, ends)
@@ -270,12 +271,13 @@ def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, v: int, rare
             before[1:] = c[:-1]
             end_count = _lookup(top, np.array([END], dtype=U64))[0]
             before[bounds[:-1]] = end_count
-            before = np.where(before > 0, before, rare_most)
-            p = np.where(c > 0, c / (n_tokens + 1), rare_p)
+            p = np.maximum(c, 1) / (n_tokens + 1)
             term = np.zeros(len(tok))
-            ctx = before[mine]
+            ctx = np.maximum(before[mine], 1)
             term[mine] = np.log10((np.minimum(low, ctx) + MU * p[mine]) / (ctx + MU))
-            cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(_sums(term, bounds))]
+            wait = np.zeros(len(tok), bool) if whole else mine & ((c == 0) | (before == 0))
+            term[wait] = 0
+            cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(_sums(term, bounds)), _waiting(tok, bounds, two, wait, c, before, q[wait[mine]])]
             if first:
                 base = _sums(np.where(c > 0, np.log10(c + 0.1), 0.0), bounds)
                 n = np.diff(bounds)
@@ -290,14 +292,48 @@ def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, v: int, rare
                 cols += [pa.array(base), pa.array(n.astype(np.int64)), pa.array(_sums((c > 0).astype(np.int64), bounds).astype(np.int64)), rare]
             else:
                 cols += [pa.nulls(batch.num_rows, t) for t in (pa.float64(), pa.int64(), pa.int64(), _RARE)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "held_out", "term", "base", "n", "known", "rare"])
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "held_out", "term", "wait", "base", "n", "known", "rare"])
 
     return kernel
 
 
+def _waiting(tok: np.ndarray, bounds: np.ndarray, two: np.ndarray, wait: np.ndarray, c: np.ndarray, before: np.ndarray, q: np.ndarray) -> pa.Array:
+    """Each document's different bigrams with a word whose count isn't here: both words with the counts known (else 0), level and times.
+
+    In place of a word whose count is known stands a number of no meaning, so that
+    common words don't meet in one task of the join.
+    """
+    at = np.flatnonzero(wait)
+    doc = np.searchsorted(bounds, at, side="right") - 1
+    by = np.lexsort((two[at], doc))
+    at, doc, q = at[by], doc[by], q[by]
+    edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (two[at[1:]] != two[at[:-1]]))) if len(at) else np.zeros(0, np.int64)
+    times = np.diff(np.append(edge, len(at)))
+    at, doc, q = at[edge], doc[edge], q[edge]
+    h = np.where(np.isin(at, bounds[:-1]), END, tok[at - 1])
+    none = mix(two[at] + tok[bounds[doc]] + at.astype(U64))
+    cols = {"w": np.where(c[at] == 0, tok[at], none).view(np.int64), "h": np.where(before[at] == 0, h, none).view(np.int64), "cw": c[at].astype(np.int64), "ch": before[at].astype(np.int64), "q": q.astype(np.int32), "k": times.astype(np.int32)}
+    edges = np.searchsorted(doc, np.arange(len(bounds))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(x) for x in cols.values()], names=list(cols)))
+
+
+_WAIT = "array<struct<w:long,h:long,cw:long,ch:long,q:int,k:int>>"
 _RARE = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())]))
 
 
+def _waited(parts: list[DataFrame], model: Model) -> DataFrame:
+    """``key, _t``: the terms of the bigrams that waited for counts, summed over all rows of a key."""
+    counts = model.words.filter(F.col("n") < model.least)
+    pairs = parts[0].select("key", F.inline("wait"))
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p.select("key", F.inline("wait")))
+    known = lambda c, n: F.when(F.col(c) > 0, F.col(c)).otherwise(F.greatest(F.coalesce(F.col(n), F.lit(0)), F.lit(1)))
+    pairs = pairs.join(counts.select(F.col("h").alias("w"), F.col("n").alias("_n")), "w", "left").withColumn("cw", known("cw", "_n")).drop("w", "_n")
+    pairs = pairs.join(counts.withColumnRenamed("n", "_n"), "h", "left").withColumn("ch", known("ch", "_n")).drop("h", "_n")
+    low = F.least(F.when(F.col("q") > 0, F.pow(F.lit(2.0), F.col("q") - 1)).otherwise(0.0), F.col("ch").cast("double"))
+    return pairs.groupBy("key").agg(F.sum(F.col("k") * F.log10((low + F.lit(MU) * F.col("cw") / F.lit(model.n + 1.0)) / (F.col("ch") + F.lit(MU)))).alias("_t"))
+
+
 def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -313,8 +349,8 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
     parts = []
     for i, (group, sizes) in enumerate(model.segments()):
         shared = spark.sparkContext.broadcast((model.top, model.segment(group, sizes)))
-        kernel = _score_kernel(shared, i == 0, model.buckets, model.n, model.v, model.rare_words, model.rare_tokens, model.rare_most)
-        parts.append(rows.mapInArrow(kernel, "key long, doc_id long, held_out boolean, term double, base double, n long, known long, rare array<struct<h:long,k:long>>"))
+        kernel = _score_kernel(shared, i == 0, model.buckets, model.n, model.whole)
+        parts.append(rows.mapInArrow(kernel, f"key long, doc_id long, held_out boolean, term double, wait {_WAIT}, base double, n long, known long, rare array<struct<h:long,k:long>>"))
         parts[-1] = saved(parts[-1])
         shared.destroy()
     first = parts[0].groupBy("key", "doc_id", "held_out").agg(F.count("*").alias("copies"), F.min("base").alias("base"), F.min("n").alias("n"), F.min("known").alias("known"), F.min("term").alias("term"))
@@ -323,6 +359,8 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
     rare = parts[0].select("key", F.explode("rare").alias("r")).select("key", "r.h", "r.k").groupBy("key", "h").agg(F.min("k").alias("k"))
     found = rare.join(model.words.filter(F.col("n") < model.least).withColumnRenamed("n", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     found = found.groupBy("key").agg(F.sum(F.col("k") * F.log10(F.col("c") + F.lit(0.1))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
+    if not model.whole:
+        first = first.join(_waited(parts, model), "key", "left").withColumn("term", F.col("term") + F.coalesce(F.col("_t") / F.sum("copies").over(Window.partitionBy("key")), F.lit(0.0))).drop("_t")
     norm = float(np.log10(model.n + 0.1 * (model.v + 1)))
     out = first.join(found, "key", "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(

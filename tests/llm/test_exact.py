@@ -127,6 +127,38 @@ def test_lm_score(spark, monkeypatch, top, segment):
     assert lm_score.score(spark.createDataFrame([], DOCS), F.lit(False)).collect() == []
 
 
+@pytest.mark.parametrize(("top", "segment"), [(1 << 19, 128 << 20), (40, 500), (0, 128 << 20)])
+def test_lm_score_by_brute_force(spark, monkeypatch, top, segment):
+    monkeypatch.setattr(lm_score, "TOP_WORDS", top)
+    monkeypatch.setattr(lm_score, "SEGMENT_BYTES", segment)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    rows += [(0, rows[0][1]), (200, None), (201, "never seen twice never seen"), (202, "w1 " * 300)]
+    held = lambda i: i % 10 == 0 or i == 201
+    one, two = Counter(), Counter()
+    chain = lambda t: [None, *words(t), None]
+    for i, t in rows:
+        if not held(i):
+            one.update(chain(t)[1:])
+            two.update(zip(chain(t), chain(t)[1:]))
+    n = sum(one.values())
+
+    def slow(t):
+        total = 0
+        for h, w in zip(chain(t), chain(t)[1:]):
+            c = max(one[h], 1)
+            low = min(2 ** (two[h, w].bit_length() - 1) if two[h, w] else 0, c)
+            total += math.log10((low + lm_score.MU * max(one[w], 1) / (n + 1)) / (c + lm_score.MU))
+        return total
+
+    got = lm_score.score(spark.createDataFrame(rows, DOCS), (F.col("doc_id") % 10 == 0) | (F.col("doc_id") == 201)).collect()
+    text = dict(rows)
+    off = [r["score"] - slow(text[r["doc_id"]]) for r in got]
+    # a false answer of the filter can only raise a level
+    assert len(got) == len(rows) and min(off) > -1e-9
+    assert sum(x < 1e-9 for x in off) > 0.5 * len(off) and max(off) < 2
+
+
 def test_log_frequency_filter_gives_levels():
     import numpy as np
 
