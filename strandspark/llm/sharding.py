@@ -1,11 +1,14 @@
 """Balanced label propagation: linked documents move to their neighbours' shards under row quotas.
 
-Documents start in a shard by hash.  A link joins a document to a hub (here the
+A link joins a document to a hub (here the
 hub of all equal texts), which stands for links between all its members
-without listing their pairs.  The state is the number of members of each hub
+without listing their pairs.  Hubs start whole where they fit: the few large
+ones by best fit, the others one after another along the free rows of the shards.  The state is the number of members of each hub
 in each shard, a cell; in each round a cell's members want to move to the shard
 that holds most of their neighbours, and cells are let in, in an order
-fixed for the round, while that shard's row quota lasts.  Documents without links have
+fixed for the round, while that shard's row quota lasts, until a round moves none.
+What is cut then, for want of free rows, changes places with whole hubs of
+as many rows.  Documents without links have
 no edge to cut: they fill what the linked ones leave, so that row counts differ
 by one at most.
 """
@@ -19,6 +22,10 @@ from .common import running_before, saved, table
 
 #: Rows in a block of the running sums, about.
 BLOCK = 4000
+#: Hubs of more rows than a shard's quota over this are placed one by one, at most so many a shard.
+LARGE = 64
+#: Whole hubs of a size, and their sizes, that can change places with cut ones; cut hubs mended so, at most.
+OFFERS, OFFER_SIZE, MENDED = 40, 32, 1024
 
 
 def text_hub(text: Column) -> Column:
@@ -27,7 +34,7 @@ def text_hub(text: Column) -> Column:
     return F.concat_ws("-", F.xxhash64(t).cast("string"), F.crc32(F.encode(t, "UTF-8")).cast("string"), F.octet_length(t).cast("string"))
 
 
-def shard(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text", hub: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+def shard(docs: DataFrame, *, shards: int = 16, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text", hub: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard`` (and ``keep``).
 
     Law ``rows``: the shards' row counts differ by at most one.  size: UTF-8
@@ -35,7 +42,7 @@ def shard(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_col: str = "
     links documents (default: the text); null hubs link nothing.  Null texts
     count as empty; repeated rows and ties take places in an order fixed by
     id and hub; an empty table gives no rows; other columns are ignored unless
-    named in ``keep``.
+    named in ``keep``.  rounds: at most so many (default: until none moves a row).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = saved(
@@ -51,11 +58,15 @@ def shard(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_col: str = "
     order = F.pmod(F.xxhash64("_hub", "doc_id"), F.lit(1 << 40))
     place = running_before(linked, ["_hub"], F.floor(order / F.lit(float(1 << 40)) * F.ceil(F.col("_m") / BLOCK)), [order, "doc_id"], "_one", "_rank")
     linked = saved(place)
-    # the first shard of a linked document, spread evenly over a hub's members
-    cells = linked.groupBy("_hub", F.pmod(F.xxhash64("_hub") + F.col("_rank"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
-    cells = saved(_settled(cells, quota))
-    for i in range(rounds):
-        cells = saved(_round(cells, quota, i))
+    cells = saved(_start(linked.groupBy("_hub").agg(F.count("*").alias("n")), quota))
+    good, turn = _together(cells), 0
+    while good[1] and (rounds is None or turn < rounds):
+        new = saved(_round(cells, quota, turn))
+        if (now := _together(new))[0] <= good[0]:
+            break
+        cells, good, turn = new, now, turn + 1
+    if good[1]:
+        cells = saved(_exchanged(cells, quota))
     used = dict(cells.groupBy("shard").agg(F.sum("n")).collect())  # one row per shard
     # members of a hub fill its cells in the order of their ranks
     span = Window.partitionBy("_hub").orderBy(F.desc("n"), "shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,10 +104,100 @@ def _room(counts: DataFrame, quota: list[int], of: str) -> Column:
     return F.element_at(F.array(*[F.lit(int(max(0, q - (used.get(s) or 0)))) for s, q in enumerate(quota)]), (F.col(of) + 1).cast("int")).cast("long")
 
 
+def _start(hubs: DataFrame, quota: list[int]) -> DataFrame:
+    """``_hub, shard, n``: hubs in as few shards as they fit in, within the quotas."""
+    spark, room = hubs.sparkSession, list(quota)
+    most = sum(quota) // (len(quota) * LARGE)
+    large = []
+    for r in sorted(hubs.filter(F.col("n") > most).collect(), key=lambda r: (-r["n"], r["_hub"])):  # LARGE * shards rows at most
+        left = r["n"]
+        while left:
+            fits = [(x, s) for s, x in enumerate(room) if x >= left]
+            _, s = min(fits) if fits else max((x, -s) for s, x in enumerate(room))
+            s = abs(s)
+            n = min(left, room[s])
+            large.append((r["_hub"], s, n))
+            left, room[s] = left - n, room[s] - n
+    placed = spark.createDataFrame(large, "_hub string, shard int, n long")
+    small = hubs.filter(F.col("n") <= most)
+    rows, free = small.agg(F.sum("n")).first()[0] or 0, sum(room)
+    if not rows:
+        return placed
+    # a hub goes where its first row is, if all are dealt evenly along the free rows
+    order = F.pmod(F.xxhash64("_hub"), F.lit(1 << 40))
+    small = running_before(small.withColumns({"_all": F.lit(0), "_order": order}), ["_all"], F.floor(F.col("_order") / F.lit(float(1 << 40)) * F.lit(float(max(1, rows // BLOCK)))), ["_order", "_hub"], "n", "_lo")
+    case, end = F.lit(max(s for s, x in enumerate(room) if x)), free
+    for s in range(len(room) - 1, -1, -1):
+        case = F.when(F.col("_lo") * F.lit(free / rows) < end, F.lit(s)).otherwise(case) if room[s] else case
+        end -= room[s]
+    return placed.unionByName(_settled(small.select("_hub", case.cast("int").alias("shard"), "n"), room))
+
+
+def _together(cells: DataFrame) -> tuple[int, int]:
+    """The sum of squares of the cells, which grows as hubs come together, and the number of cut hubs."""
+    r = cells.groupBy("_hub").agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("n")).alias("s"), F.count("*").alias("c")).agg(F.sum("s"), F.coalesce(F.sum((F.col("c") > 1).cast("int")), F.lit(0))).first()
+    return int(r[0] or 0), int(r[1])
+
+
+def _some(offers: dict, least: int, most: int) -> list | None:
+    """Hubs (hub, n) among the offers {n: [hub]} of together least to most rows."""
+    out, left = [], {n: list(h) for n, h in offers.items() if h}
+    for n in sorted(left, reverse=True):
+        while left[n] and least > 8 * OFFER_SIZE:
+            out.append((left[n].pop(), n))
+            least, most = least - n, most - n
+    ways: dict[int, tuple] = {0: ()}
+    for n in sorted(left):
+        for hub in left[n]:
+            for x in sorted(ways, reverse=True):
+                if x < least and x + n not in ways:
+                    ways[x + n] = (*ways[x], (hub, n))
+    fit = [x for x in ways if max(0, least) <= x <= most]
+    return out + list(ways[min(fit)]) if fit else None
+
+
+def _exchanged(cells: DataFrame, quota: list[int]) -> DataFrame:
+    """Cut hubs come together in one shard: whole hubs of as many rows go the other way."""
+    spark = cells.sparkSession
+    hubs = cells.groupBy("_hub").agg(F.count("*").alias("_c"), F.sum("n").alias("_all"))
+    cut = hubs.filter((F.col("_c") > 1) & (F.col("_all") <= max(quota))).orderBy("_all", "_hub").limit(MENDED)
+    parts: dict = {}
+    for r in cut.join(cells, "_hub").select("_hub", "shard", "n").collect():  # MENDED hubs of a cell in each shard at most
+        parts.setdefault(r["_hub"], {})[r["shard"]] = r["n"]
+    whole = cells.join(hubs.filter("_c = 1").select("_hub"), "_hub").filter(F.col("n") <= OFFER_SIZE)
+    offers: dict = {}
+    for r in whole.groupBy("shard", "n", F.pmod(F.xxhash64("_hub"), F.lit(OFFERS))).agg(F.min("_hub").alias("h")).collect():  # OFFERS * OFFER_SIZE rows a shard at most
+        offers.setdefault(r["shard"], {}).setdefault(r["n"], []).append(r["h"])
+    used = dict(cells.groupBy("shard").agg(F.sum("n")).collect())
+    room = [q - (used.get(s) or 0) for s, q in enumerate(quota)]
+    moves = []
+    for hub in sorted(parts, key=lambda h: (sum(parts[h].values()), h)):
+        for to in sorted(parts[hub], key=lambda s: (-parts[hub][s], s)):
+            trial, plan, gone = list(room), [], set()
+            for at, n in sorted(parts[hub].items()):
+                if at == to:
+                    continue
+                mine = {k: [h for h in v if h not in gone] for k, v in offers.get(to, {}).items()}
+                back = _some(mine, max(0, n - trial[to]), n + trial[at])
+                if back is None:
+                    break
+                size = sum(k for _, k in back)
+                trial[to], trial[at] = trial[to] - n + size, trial[at] + n - size
+                gone |= {h for h, _ in back}
+                plan += [(hub, at, to), *((h, to, at) for h, _ in back)]
+            else:
+                room, moves = trial, moves + plan
+                offers[to] = {k: [h for h in v if h not in gone] for k, v in offers.get(to, {}).items()}
+                break
+    if not moves:
+        return cells
+    new = F.broadcast(spark.createDataFrame(moves, "_hub string, shard int, _to int"))
+    return cells.join(new, ["_hub", "shard"], "left").groupBy("_hub", F.coalesce("_to", "shard").alias("shard")).agg(F.sum("n").cast("long").alias("n"))
+
+
 def _settled(cells: DataFrame, quota: list[int]) -> DataFrame:
-    """Cells spread evenly over shards can exceed a quota by little: rows beyond it go to the shards with room."""
-    # a hub's members are dealt round robin, so no shard gets more than its share plus one row per hub; a cell that does
-    # not fit is dealt anew over all shards by the running sum of what is left
+    """Cells dealt over shards can exceed a quota by little: those that do not fit go to the shards with room."""
+    # they are dealt anew over all shards by the running sum of what is left
     cells = saved(cells)
     kept = _admitted(cells, F.element_at(F.array(*[F.lit(int(q)) for q in quota]), (F.col("shard") + 1).cast("int")).cast("long"), "shard")
     kept = saved(kept)

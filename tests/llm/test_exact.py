@@ -232,3 +232,16 @@ def test_sharding(spark):
     assert sum(len(cut[k]) == 1 for k in small) > 0.95 * len(small)
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows}
     assert sharding.shard(spark.createDataFrame([], TABLE)).collect() == []
+
+
+@pytest.mark.parametrize("texts", [[2] * 1600, [2, 3] * 640 + [1] * 160, [2] * 40 + [30] * 50 + [90] * 15 + [1] * 100, [250] * 6, [1500, 2, 2, 2, 700]])
+def test_sharding_keeps_groups_whole(spark, texts):
+    rows = [(i, f"text {i % 7} {i}") for i, n in enumerate(texts) for _ in range(n)]
+    got = sharding.shard(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], DOCS), shards=8).collect()
+    size, at = Counter(r["shard"] for r in got), defaultdict(set)
+    for r in got:
+        at[rows[r["doc_id"]][1]].add(r["shard"])
+    quota = len(rows) // 8
+    assert len(got) == len(rows) and max(size.values()) - min(size.get(s, 0) for s in range(8)) <= 1
+    fit = [t for t, n in Counter(t for _, t in rows).items() if 1 < n <= quota]
+    assert sum(len(at[t]) > 1 for t in fit) == 0
