@@ -197,6 +197,22 @@ def test_background(spark):
     assert len(g) == 5 and all(r["end"] - r["start"] == 60 == len(r["seq"]) for r in g)
 
 
+def test_background_genome_draws_valid_starts_until_the_bin_is_met(spark):
+    rng = random.Random(8)
+    text = lambda gc, n: "".join(rng.choice("GC" if rng.random() < gc else "AT") for _ in range(n))
+    # one long chromosome and many contigs too short for the targets
+    genome = make(spark, [text(0.5, 700)] + [text(0.5, 90) for _ in range(600)])
+    targets = make(spark, [text(0.5, 300) for _ in range(40)] + [text(0.5, 800)])
+    got = background.from_genome(targets, genome).collect()
+    assert len(got) == 40 and all(r["end"] - r["start"] == 300 == len(r["seq"]) and r["end"] <= 700 for r in got)
+    assert len({r["start"] for r in got}) > 20
+    # a bin that about one window of 90 has, and one that none has
+    at = make(spark, ["AT" * 2500 + "GC" * 40 + "AT" * 2500])
+    got = background.from_genome(make(spark, ["GC" * 12] * 8), at).collect()
+    assert len(got) == 8 and all(r["seq"].count("G") + r["seq"].count("C") >= 23 for r in got)
+    assert len(background.from_genome(make(spark, ["GC" * 12]), make(spark, ["AT" * 50])).collect()) == 1
+
+
 def test_post(spark):
     h = spark.createDataFrame([("s", 1, 6, "-", "m", 1e-4, 9.0, 90.0, "CACGTT"), ("s", 3, 8, "+", "m", 1e-3, 7.0, 70.0, "CACGTG")], model.HIT)
     assert post.flip_rc(h).orderBy("start").first()["match"] == "AACGTG"
