@@ -445,7 +445,7 @@ def refine_motifs(spark, d):
 @query()
 def discover_motifs(spark, d):
     x = labelled(spark, d)
-    found = discover.discover(x.filter("positive"), x.filter("not positive"), widths=range(6, 8), per_width=1, pvalue=0.5, q=1.0)
+    found = discover.discover(x.filter("positive"), x.filter("not positive"))
     return discover.discovered_frame(spark, found, 0, 0)
 
 

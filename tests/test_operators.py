@@ -188,6 +188,15 @@ def test_enrich_discover_refine_find_the_planted_motif(spark):
     assert model.consensus(m.ppm) == "CACGTG"
 
 
+def test_discovery_query_runs_the_operators_defaults(spark, monkeypatch):
+    from strandspark.plans import queries
+
+    given = []
+    monkeypatch.setattr(queries.discover, "discover", lambda pos, neg, **options: given.append(options) or [])
+    assert queries.discover_motifs(spark, "/root/testdata/sf0.001").count() == 0
+    assert given == [{}]
+
+
 def test_background(spark):
     rng = random.Random(3)
     text = lambda gc, n: "".join(rng.choice("GC" if rng.random() < gc else "AT") for _ in range(n))
