@@ -2,7 +2,8 @@
 
 Every page is parsed into a tree.  Boilerplate that its tags, roles or names
 give away (menus, headers, footers, sidebars, notices, adverts, forms,
-comments) and hidden parts are taken out.  Each node's density is its characters
+comments) and hidden parts are taken out; a name counts only if all of its words
+do, so that ``share-price`` and ``article-header`` stay.  Each node's density is its characters
 per tag, adjusted for links: more link characters and link tags make it less.
 A node's density sum is that of its children's densities; the subtree of the
 largest sum is the core.  The smallest density on the path from the body to the
@@ -24,23 +25,34 @@ from .common import table
 
 #: Elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas".split())
+#: Of these the ones whose content is text up to their end tag, wherever that is.
+TEXT_ONLY = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption br".split())
-DROPPED = frozenset("nav footer aside form button header menu dialog".split())
+DROPPED = frozenset("nav footer aside form button select datalist header menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+#: Elements whose id is an anchor of their own text and names no part of the page.
+LABELLED = frozenset("h1 h2 h3 h4 h5 h6 p a td th tr li dt dd".split())
+#: Elements whose names say nothing: the page's trunk, and parts of a line.
+UNNAMED = frozenset("html body article main span b i em strong code mark small sub sup abbr cite q u s kbd var samp time dfn ins del font".split())
 #: Words of class names and ids that mark boilerplate.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer header masthead menu menus modal nav navbar navigation newsletter notice notices notification "
-    "outbrain overlay pager pagination popup promo promotion recommended related respond share sharing sidebar side skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications "
+    "outbrain overlay pager pagination popup promo promotion recommended related respond share sharing sidebar skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
 )
+#: Words that say nothing of their own beside those.
+PLAIN = frozenset("area bar bottom box btn button buttons center col column container content footer form global header icons inner item items js left link links list main outer page panel post posts right row section signup site slot sticky text thread top unit wrap wrapper zone".split())
 #: Elements that end an open element when they start.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th")}
 #: What an implied end does not reach across.
-SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "p": {"td", "th", "table", "div", "article", "section", "li", "blockquote", "body", "main"}}
+SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "option": ("select", "datalist"), "p": ("td", "th", "table", "div", "article", "section", "li", "blockquote", "body", "main")}
+#: Controls that hold no blocks: one left open ends where a block starts.
+CONTROLS = ("select", "datalist", "button")
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]+|=)*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _BLANK = re.compile(r"\s+")
+_WORD = re.compile(r"[A-Za-z][a-z0-9]*|[A-Z0-9]+")
 
 
 class Node:
@@ -52,72 +64,103 @@ class Node:
         self.density = self.total = 0.0
 
 
+def names_boilerplate(name: str, inside_main: bool = False) -> bool:
+    """Whether a class name or id is made of words of boilerplate, and plain ones, alone; an article's own header is none."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    return any(w in NAMES and not (inside_main and w == "header") for w in words) and all(w in NAMES or w in PLAIN or w.isdigit() for w in words)
+
+
 def _boilerplate(tag: str, attrs: str, inside_main: bool) -> bool:
     if tag in DROPPED and not (tag == "header" and inside_main):
         return True
     if not attrs or attrs.isspace():
         return False
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        low = value.lower()
+        if (name == "class" and tag not in UNNAMED or name == "id" and tag not in UNNAMED and tag not in LABELLED) and any(names_boilerplate(v, inside_main) for v in value.split()):
             return True
-        if name == "role" and value.strip() in ROLES or name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "role" and low.strip() in ROLES or name == "hidden" and low != "until-found" or name == "aria-hidden" and low == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", low):
             return True
     return False
 
 
+class _Open:
+    """The open elements, and where each tag stands among them: ends are found without walking up."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def last(self, tags) -> int:
+        """The place of the innermost of these tags; 0 if none is open (the root never ends)."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        for key in (node.tag, "*block") if node.tag in BLOCK else (node.tag,):
+            self.at.setdefault(key, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Ends the element at this place and all inside it."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            for key in (node.tag, "*block") if node.tag in BLOCK else (node.tag,):
+                self.at[key].pop()
+
+
 def parse(page: str) -> Node:
-    """The page's tree; elements left open end with their parents, stray ends are ignored."""
-    root = Node("html", None)
-    node, at, main = root, 0, 0
-    n = len(page)
+    """The page's tree in time linear in its length.
+
+    Elements left open end with their parents; stray ends are ignored, and so
+    are ends of inline elements that would end a block.
+    """
+    root = Node("body", None)
+    open_, at, n = _Open(root), 0, len(page)
+    ends_seen: dict[str, int] = {}
     while at < n:
         m = _PART.search(page, at)
         if m is None:
-            node.parts.append(page[at:])
+            open_.nodes[-1].parts.append(page[at:])
             break
         if m.start() > at:
-            node.parts.append(page[at : m.start()])
+            open_.nodes[-1].parts.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                while node is not up:
-                    main -= node.tag in ("article", "main")
-                    node = node.parent
-                main -= node.tag in ("article", "main")
-                node = node.parent
+            place = open_.last((tag,))
+            if place and (tag in BLOCK or place > open_.last(("*block",))):
+                open_.cut(place)
             continue
-        if tag in ("html", "head") or tag == "body" and node.parent is None:
-            if tag == "body" and root.tag != "body":
-                root.tag = "body"
+        if tag in ("html", "head", "body"):
             continue
+        closed = m[3].rstrip().endswith("/")
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at) if not m[3].rstrip().endswith("/") else m
-            at = n if end is None else max(at, end.end())
+            if not closed and ends_seen.get(tag, 0) <= n:
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+                if end is not None:
+                    at = end.end()
+                elif tag in TEXT_ONLY:
+                    at = n
+                else:  # left open: its start tag alone goes, and no later one is looked for
+                    ends_seen[tag] = n + 1
             continue
-        ends = CLOSES.get(tag) or ({"p"} if tag in BLOCK and tag != "br" else None)
+        if tag in BLOCK and (place := open_.last(CONTROLS)):
+            open_.cut(place)
+        ends = CLOSES.get(tag) or (("p",) if tag in BLOCK and tag != "br" else None)
         if ends:
-            stop = SCOPE.get(tag if tag in CLOSES else "p", frozenset())
-            up = node
-            while up is not None and up.tag not in ends and up.tag not in stop:
-                up = up.parent
-            if up is not None and up.tag in ends and up.parent is not None:
-                node = up.parent
-                if tag in ("td", "th", "tr", "tbody", "thead"):
-                    while node.tag in ends and node.parent is not None:
-                        node = node.parent
-        child = Node(tag, node)
-        child.drop = _boilerplate(tag, m[3], main > 0)
-        node.parts.append(child)
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            node = child
-            main += tag in ("article", "main")
+            stop = open_.last(SCOPE.get(tag if tag in CLOSES else "p", ()))
+            rows = tag in ("td", "th", "tr", "tbody", "thead")
+            while (place := open_.last(ends)) > stop:
+                open_.cut(place)
+                if not rows:
+                    break
+        child = Node(tag, open_.nodes[-1])
+        child.drop = _boilerplate(tag, m[3], open_.last(("article", "main")) > 0)
+        child.parent.parts.append(child)
+        if tag not in VOID and not closed:
+            open_.push(child)
     return root
 
 

@@ -45,6 +45,99 @@ def test_html_extract(spark):
     assert all(len(r["text"]) == r["n_chars"] for r in got)
 
 
+KEPT = [
+    ('<div class="article-header"><h1>Title {i}</h1></div>', ["Title {i}"]), ('<header class="entry-header"><h2>Head {i}</h2></header>', ["Head {i}"]), ('<div class="post-header">By A{i}</div>', ["By A{i}"]),
+    ('<p class="share-price">Price &pound;{i}</p>', ["Price £{i}"]), ('<div class="side-by-side"><p>left {i}<p>right</div>', ["left {i}", "right"]), ('<section id="side-effects">Dizzy {i}</section>', ["Dizzy {i}"]),
+    ('<h3 id="comments">On comments {i}</h3>', ["On comments {i}"]), ('<section id="related-work"><p>Others {i}</p></section>', ["Others {i}"]), ("<p>so <math><mi>x</mi><mo>=</mo><mn>{i}</mn></math> holds</p>", ["so x={i} holds"]),
+    ("<p>see <object>movie {i}</object></p>", ["see movie {i}"]), ("<select><option>1<option>2<p>after select {i}</p>", ["after select {i}"]), ("<ul><li>one {i}<li>two</ul>", ["one {i}", "two"]),
+    ("<p>a<br>b {i} <a href='/x?a>b'>link</a></p>", ["a", "b {i} link"]), ("<table><tr><td>c{i}<td>d<tr><td>e</table>", ["c{i}", "d", "e"]), ("</div></span></p><p title=it's>stray {i}</p>", ["stray {i}"]),
+    ("<pre><code><span class='comment'># note {i}</span> x</code></pre>", ["# note {i} x"]), ("<p>1 &lt; {i}&nbsp;&amp;\n\t more</p>", ["1 < {i} & more"]),
+]
+GONE = [
+    '<nav class="x"><a href=/>Home</a></nav>', '<div class="social-share"><p>Share this long text with all of your friends</p></div>', '<aside><p>Side note</p></aside>', '<div id="comments"><p>A reader wrote a long comment here</p></div>', '<div class="newsletterSignup">Join</div>',
+    '<form><label>Mail</label><input name=a></form>', "<script>var a = '<p>no</p>';</script>", "<style>p {{}}</style>", '<div class="ad">Buy</div>', '<footer>foot</footer>', '<div style="display:none">hid</div>', "<!-- <p>no</p> -->", '<div class="cookie-notice">cookies</div>', "<svg><title>t</title></svg>",
+]
+
+
+def test_html_extract_on_marked_pages():
+    rng = random.Random(12)
+    for page in range(60):
+        body, want = [], []
+        for i in range(rng.randint(1, 25)):
+            if rng.random() < 0.4:
+                body.append(rng.choice(GONE))
+            else:
+                markup, blocks = rng.choice(KEPT)
+                body.append(markup.replace("{i}", str(i)))
+                want += [b.replace("{i}", str(i)) for b in blocks]
+        hold = rng.choice(["article", "main"])
+        outside = [rng.choice(GONE) for _ in range(rng.randint(0, 6))]
+        cut = rng.randint(0, len(outside))
+        text = f"<!DOCTYPE html><html><head><title>t</title></head><body><header><div>Site</div></header>{''.join(outside[:cut])}<{hold}>{''.join(body)}</{hold}>{''.join(outside[cut:])}</body></html>"
+        assert html_extract.main_text(text) == "\n".join(want), (page, text)
+
+
+def slow_core(node):
+    """(density sum, node) of the best subtree, by walking every subtree anew."""
+    import math
+
+    def nodes(x):
+        return [x] + [y for p in x.parts if not isinstance(p, str) and not p.drop for y in nodes(p)]
+
+    def count(x):
+        under = nodes(x)
+        chars = sum(len("".join(p.split())) for y in under for p in y.parts if isinstance(p, str))
+        links = [y for y in under if y.tag == "a"]
+        outer = [y for y in links if not any(y is not z and y in nodes(z) for z in links)]
+        return chars, len(under) - 1, sum(count_chars(y) for y in outer), len(links) - (x.tag == "a")
+
+    def count_chars(x):
+        return sum(len("".join(p.split())) for y in nodes(x) for p in y.parts if isinstance(p, str))
+
+    everything, _, all_links, _ = count(node)
+
+    def density(x):
+        c, t, lc, lt = count(x)
+        if not c:
+            return 0.0
+        t = max(1, t)
+        base = math.log(c / max(1, c - lc) * lc + all_links / max(1, everything) * c + math.e)
+        return max(0.0, c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt)) + 1e-9) / math.log(base + 1e-9) if base > 1 + 1e-9 else c / t * math.log(c / max(1, lc) * t / max(1, lt) + math.e))
+
+    def total(x):
+        inner = [p for p in x.parts if not isinstance(p, str)]
+        return sum(density(p) for p in inner if not p.drop) + (0.0 if inner else density(x))
+
+    return max(total(x) for x in nodes(node))
+
+
+def test_density_sums_by_brute_force():
+    rng = random.Random(13)
+    for _ in range(40):
+        def markup(depth):
+            out = []
+            for _ in range(rng.randint(1, 4)):
+                t = rng.choice(["div", "p", "a", "section", "b", "text", "nav"])
+                out.append("word " * rng.randint(1, 30) if t == "text" or depth > 3 else f"<{t}>{markup(depth + 1)}</{t}>")
+            return "".join(out)
+
+        root = html_extract.parse(markup(0))
+        order = html_extract.measure(root)
+        assert max(x.total for x in order) == pytest.approx(slow_core(root))
+
+
+def test_html_extract_is_linear_in_nesting():
+    import time
+
+    def took(n):
+        t = time.perf_counter()
+        html_extract.main_text("<div>" * n + "</p></span></li>" * n + "x" + "<svg>" * n)
+        return time.perf_counter() - t
+
+    took(1000)
+    assert took(16000) < 8 * took(4000) + 0.2
+
+
 def test_toxicity_finds_labels_and_sentences(spark):
     rng = random.Random(8)
     plain = [f"word{i}" for i in range(200)]
