@@ -6,9 +6,13 @@ document holds at least ``ceil(threshold * n)`` of them, so at most
 MinHash values, one more than may be missing: a containing document, however
 long, must hold one of them, so the search loses nothing.  Sketch lengths
 depend on the item's size alone, so items are partitioned by size: each size
-has one length.  Documents meet the sketches by hash join; those that meet
-are verified by counting all of the item's shingles in them.  Native: joins,
-arrays and aggregates only.
+has one length.  Shingles that very many items share come last in the order of
+the values, so that sketches seldom hold them.
+
+Documents meet the sketches by hash join, and only the pairs that meet there
+are candidates.  A candidate is verified on the words themselves: the documents
+of candidates are read again, and the item's shingles are looked up among theirs
+as texts.  Native: joins, arrays and aggregates only.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from .common import saved, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Items that may share a shingle before it comes last in their sketches.
+CROWD = 64
 
 
 def word_array(text: Column) -> Column:
@@ -28,18 +34,29 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(low, " +"), lambda w: w != "")
 
 
+def _shingles(words: Column, k: int, one, whole) -> Column:
+    """``one(i)`` for each place of k words, or ``whole`` if there are fewer than k but any."""
+    n = F.size(words)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), one)).when(n > 0, F.array(whole)).otherwise(F.array())
+
+
 def shingle_hashes(words: Column, k: int) -> Column:
     """Hashes of the k-word shingles of an array of words (of all words, if fewer than k)."""
-    n = F.size(words)
-    one = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])
-    return F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), one)).when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", words), F.lit(-1)))).otherwise(F.array().cast("array<bigint>"))
+    return _shingles(words, k, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]), F.xxhash64(F.concat_ws(" ", words), F.lit(-1)))
+
+
+def shingle_texts(words: Column, k: int) -> Column:
+    """The shingles themselves, their words parted by a space; no two different ones have equal texts."""
+    return _shingles(words, k, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]), F.concat_ws(" ", words))
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """(item_id, text, h) distinct -> adds ``n`` (size), ``need`` and ``sketch`` (is among the bottom values)."""
+    """(item_id, _item, h, s) distinct -> adds ``n`` (size), ``need`` and ``sketch`` (is among the bottom values)."""
     item = Window.partitionBy("item_id", "_item")
+    crowded = items.groupBy("s").agg((F.count("*") > CROWD).alias("_crowded"))
     need = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))
-    return items.withColumn("n", F.count("*").over(item)).withColumn("need", need).withColumn("sketch", F.row_number().over(item.orderBy("h")) <= F.col("n") - F.col("need") + 1)
+    rank = F.row_number().over(item.orderBy("_crowded", "h", "s"))
+    return items.join(crowded, "s").withColumn("n", F.count("*").over(item)).withColumn("need", need).withColumn("sketch", rank <= F.col("n") - F.col("need") + 1).drop("_crowded")
 
 
 def search(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -47,6 +64,23 @@ def search(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return pairs(docs, items, **options).drop("text_key")
 
 
+def candidates(docs: DataFrame, bench: DataFrame, k: int) -> DataFrame:
+    """``doc_id, _doc, item_id, _item``: documents (doc_id, _doc, _words) and the items of whose sketch they hold a value."""
+    held = docs.select("doc_id", "_doc", F.explode(shingle_hashes(F.col("_words"), k)).alias("h"))
+    return held.join(bench.filter("sketch").select("h", "item_id", "_item"), "h").select("doc_id", "_doc", "item_id", "_item").distinct()
+
+
+def verified(docs: DataFrame, bench: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The candidates that hold enough of the item's shingles, compared as texts, with ``n, n_shared``."""
+    both = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}._doc") == F.col(f"{y}._doc"))
+    again = docs.alias("d").join(found.select("doc_id", "_doc").distinct().alias("f"), both("d", "f"), "left_semi")
+    held = again.select("doc_id", "_doc", F.explode(shingle_texts(F.col("_words"), k)).alias("s"))
+    held = held.join(bench.select("s").distinct(), "s", "left_semi").distinct()
+    asked = found.alias("f").join(bench.alias("b"), F.col("f.item_id").eqNullSafe(F.col("b.item_id")) & (F.col("f._item") == F.col("b._item"))).select("f.*", "b.s", "b.n", "b.need")
+    got = asked.alias("a").join(held.alias("h"), both("a", "h") & (F.col("a.s") == F.col("h.s"))).select("a.*")
+    return got.groupBy("doc_id", "_doc", "item_id", "_item", "n", "need").agg(F.count("*").alias("n_shared")).filter("n_shared >= need")
+
+
 def pairs(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, text_key, item_id, n_shared, n_shingles, containment`` for every document and item it contains.
 
@@ -55,24 +89,19 @@ def pairs(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     ``threshold`` or more are returned, once per distinct text of a document id
     and an item id.  A text of fewer than k words has one shingle of all its
     words, which only texts of just those words share; null and blank texts have
-    none and are never in a pair.  Null ids are kept.  An empty table gives no
-    rows; repeated rows give one pair; other columns are ignored.
+    none and are never in a pair.  Null ids are kept.  Very long texts are read
+    whole.  An empty table gives no rows; repeated rows give one pair; other
+    columns, whatever their names, are ignored.
     """
-    item = F.coalesce(F.col(item_text_col), F.lit(""))
+    item, text = F.coalesce(F.col(item_text_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
+    words = F.col("_words")
     bench = items.select(F.col(item_col).alias("item_id"), F.xxhash64(item).alias("_item"), word_array(item).alias("_words"))
-    bench = bench.select("item_id", "_item", F.explode(shingle_hashes(F.col("_words"), k)).alias("h")).distinct()
+    bench = bench.select("item_id", "_item", F.inline(F.arrays_zip(shingle_hashes(words, k).alias("h"), shingle_texts(words, k).alias("s")))).distinct()
     bench = saved(sketches(bench, threshold))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_doc"), word_array(text).alias("_words"))
-    held = hashed.select("doc_id", "_doc", F.explode(shingle_hashes(F.col("_words"), k)).alias("h"))
-    # documents' shingles that any item has, once; small beside the documents
-    met = saved(held.join(bench.select("h").distinct(), "h", "left_semi").distinct())
-    found = met.join(bench.filter("sketch").select("h", "item_id", "_item"), "h").select("doc_id", "_doc", "item_id", "_item").distinct()
-    counts = met.join(bench.select("h", "item_id", "_item", "n", "need"), "h").groupBy("doc_id", "_doc", "item_id", "_item", "n", "need").agg(F.count("*").alias("n_shared")).filter("n_shared >= need")
-    keys = ["doc_id", "_doc", "item_id", "_item"]
-    same = [F.col(f"c.{x}").eqNullSafe(F.col(f"f.{x}")) for x in keys]
-    sure = counts.alias("c").join(found.alias("f"), on=(same[0] & same[1] & same[2] & same[3]), how="left_semi")
-    return sure.groupBy("doc_id", "item_id", "_doc", "_item").agg(F.max("n_shared").alias("n_shared"), F.max("n").alias("n_shingles")).select("doc_id", F.col("_doc").alias("text_key"), "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_doc"), word_array(text).alias("_words"))
+    found = saved(candidates(rows, bench, k))
+    sure = verified(rows, bench, found, k).groupBy("doc_id", "item_id", "_doc", "_item").agg(F.max("n_shared").alias("n_shared"), F.max("n").alias("n_shingles"))
+    return sure.select("doc_id", F.col("_doc").alias("text_key"), "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

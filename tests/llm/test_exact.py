@@ -172,6 +172,26 @@ def test_log_frequency_filter_gives_levels():
     assert (other > 0).mean() < 0.03
 
 
+def dict_of(items, item, n):
+    """The text of n shingles of an item number."""
+    return next(u for i, u in items if i == item and len(shingle_set(u)) == n)
+
+
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_decontaminate_verifies_candidates_of_sketches_alone(spark, monkeypatch, crowd):
+    monkeypatch.setattr(decontaminate, "CROWD", crowd)
+    rng = random.Random(15)
+    stock = " ".join(f"stock{i}" for i in range(12))
+    items = [(i, stock + " " + " ".join(f"i{i}x{j}" for j in range(rng.randint(0, 30)))) for i in range(12)]
+    docs = [(i, " ".join([*(f"d{i}y{j}" for j in range(rng.randint(0, 200))), rng.choice(items)[1] if i % 3 else stock, *(f"e{i}z{j}" for j in range(rng.randint(0, 3000)))])) for i in range(30)]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((x, i) for x, t in docs for i, u in items if len(shingle_set(t) & shingle_set(u)) >= math.ceil(0.8 * len(shingle_set(u)) - 1e-9))
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.search(d, b).collect()) == want
+    # without sketches nothing is a candidate, so nothing is verified
+    monkeypatch.setattr(decontaminate, "sketches", lambda x, t, f=decontaminate.sketches: f(x, t).withColumn("sketch", F.lit(False)))
+    assert decontaminate.search(d, b).collect() == []
+
+
 def test_decontaminate(spark):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(300)]
@@ -190,8 +210,10 @@ def test_decontaminate(spark):
     want = sorted(((d, i, len(shingle_set(t) & shingle_set(u)), len(shingle_set(u))) for d, t in set(docs) for i, u in set(items) if shingle_set(u) and len(shingle_set(t) & shingle_set(u)) >= math.ceil(0.8 * len(shingle_set(u)) - 1e-9)), key=repr)
     d, b = spark.createDataFrame(docs, DOCS + "").withColumn("item_id", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string")
     assert sorted((tuple(r)[:4] for r in decontaminate.search(d, b).collect()), key=repr) == want
-    bad = {(x[0]) for x in want}
-    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} >= {i for i, _ in docs} - bad
+    bad = {(i, t) for i, t in docs for x in want if x[0] == i and len(shingle_set(t) & shingle_set(dict_of(items, x[1], x[3]))) >= x[2]}
+    left = decontaminate.clean(d, b)
+    assert left.columns == d.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted((x for x in docs if x not in bad), key=repr)
     assert decontaminate.search(d.limit(0), b).count() == 0 and decontaminate.search(d, b.limit(0)).count() == 0
     nodes = decontaminate.search(d, b)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", nodes)
