@@ -172,7 +172,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(size=(10, 16))[rng.integers(0, 10, 1500)] + 0.4 * rng.normal(size=(1500, 16)), np.repeat(rng.normal(size=(1, 16)), 60, axis=0)])
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5004, [1.0]), (5005, [float("inf")] * 16), (None, rows[0][1])]
+    odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5005, [float("inf")] * 16), (None, rows[0][1])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = ann.search(df, F.col("vec_id") % 50 == 0).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -213,6 +213,43 @@ def test_neighbours_with_many_more_cells_than_probes(spark, monkeypatch):
     assert recall(probes=ann.PROBES) < 0.9  # 150 cells: a fixed number of visits is not enough
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "clustered"])
+def test_neighbours_over_1024_cells(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "PER_CELL", 10)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(10_400, 24))
+    if kind == "clustered":
+        x = 0.3 * x + rng.normal(size=(200, 24))[rng.integers(0, 200, len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 50 == 0).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit[::50] @ unit.T
+    s[np.arange(len(s)), np.arange(0, len(x), 50)] = -9
+    top = np.argsort(-s, axis=1)[:, :5]
+    assert sum(r["vec_id"] in top[r["query_id"] // 50] for r in got) / top.size >= 0.9
+
+
+def test_neighbours_of_vectors_of_any_length_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    rng = np.random.default_rng(16)
+    rows = [(i, rng.normal(size=rng.choice([1, 3, 8, 8, 8, 8, 20])).round(2).tolist()) for i in range(300)]
+    rows += [(300 + i, [0.0] * 8 + [1.0 + i]) for i in range(3)] + [(0, rows[0][1])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0).collect()
+    x = np.zeros((303, 20))
+    for i, v in rows:
+        x[i, : len(v)] = np.float32(v)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert sorted(by) == list(range(0, 303, 10))
+    for q, found in by.items():
+        s = unit @ unit[q]
+        s[q] = -9
+        assert [found[i][1] for i in range(1, 6)] == pytest.approx(np.sort(s)[::-1][:5])
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
