@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,20 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, in a local session alone, one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strandspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths that ``saved`` has written and ``discard`` has not removed.
+_WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Removes what ``saved`` has written since (a former ``len(_WRITTEN)``): for when nothing that reads it is left to run."""
+    for path in _WRITTEN[since:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _WRITTEN[since:]
+
+
+def written() -> int:
+    return len(_WRITTEN)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read from there: later jobs don't compute them again,
     values made by a nondeterministic plan are fixed, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +58,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return saved(df)
 
 
+#: Rows that make a key hot, at least, and hot keys at most: a key is hot if it has more than 1 / HOT_KEYS of all rows.
+HOT_ROWS, HOT_KEYS = 2_000, 50_000
+
+
+def dealt_join(big: DataFrame, small: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has one row per key and in ``count`` the rows of big with it, of ``total`` at most.
+
+    The rows of a hot key stay where they are and get theirs by broadcast (of HOT_KEYS rows
+    at most, since that many keys have all rows); the others meet by shuffle.
+    """
+    bar = max(HOT_ROWS, total // HOT_KEYS)
+    hot = small.filter(F.col(count) > bar)
+    cold = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.filter(F.col(count) <= bar), on, how)
+    return big.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     """A number in (0, 1) from an MD5 of the columns: the same in every engine."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("")) for c in cols])

@@ -14,7 +14,11 @@ follow each other make a run, a string of ``length + n - 1`` bytes.
    starts are sorted by a mergesort whose comparisons find the common
    extension of two suffixes by binary search over prefix polynomial hashes.
    Neighbours whose extension reaches ``length`` repeat, once their bytes
-   have been compared.
+   have been compared; if those differ, the hashes have collided and the
+   windows of the task are told apart by their bytes alone.
+
+Texts are known by 128 bits of their SHA-256; very long ones are cut up for the
+search of anchors, and their windows are all looked at.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import dealt_join, saved, table
 from .kernels import U64, arrow_flat, powers, prefix_hashes, substring_hashes
 
 LENGTH = 400
@@ -87,16 +91,26 @@ def _sliced(batches, text_index: int):
             yield batch.slice(lo)
 
 
-_RUN = "tkey long, doc long, s int, n int, off int, anchor long, run long"
+_RUN = "tkey binary, doc long, s int, n int, off int, anchor long, run long"
+
+
+def _segments(buf: np.ndarray, ends: np.ndarray, length: int, chunk: int):
+    """(first byte, bytes, bounds) of the batch; a single long text comes in pieces that have each of its windows once."""
+    if len(ends) > 2 or len(buf) <= 2 * chunk:
+        yield 0, buf, ends
+        return
+    for lo in range(0, len(buf) - length + 1, chunk):
+        part = buf[lo : lo + chunk + length - 1]
+        yield lo, part, np.array([0, len(part)])
 
 
-def _emit_runs(length: int, anchor: int):
+def _emit_runs(length: int, anchor: int, chunk: int):
     def kernel(batches):
         for batch in _sliced(batches, 2):
-            buf, ends = arrow_flat(batch.column(2))
-            t, s, n, off, a, r = runs(buf, ends, length, anchor)
-            tkey, doc = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(tkey[t]), pa.array(doc[t]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(r.view(np.int64))], names=["tkey", "doc", "s", "n", "off", "anchor", "run"])
+            for lo, buf, ends in _segments(*arrow_flat(batch.column(2)), length, chunk):
+                t, s, n, off, a, r = runs(buf, ends, length, anchor)
+                at = pa.array(t)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((s + lo).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(r.view(np.int64))], names=["tkey", "doc", "s", "n", "off", "anchor", "run"])
 
     return kernel
 
@@ -184,7 +198,7 @@ def repeated_starts(buf: np.ndarray, start: np.ndarray, group: np.ndarray, lengt
     for i in range(0, len(a), 4096):  # the bytes decide, not the hashes
         x, y = a[i : i + 4096, None] + np.arange(length), b[i : i + 4096, None] + np.arange(length)
         if not (buf[x] == buf[y]).all():
-            raise ValueError("hash collision between different windows")
+            return _by_bytes(buf, start, group, length)
     mark = np.zeros(len(buf) + 1, dtype=bool)
     mark[a] = True
     mark[b] = True
@@ -192,6 +206,14 @@ def repeated_starts(buf: np.ndarray, start: np.ndarray, group: np.ndarray, lengt
     return found
 
 
+def _by_bytes(buf: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """The same without any hash of ours: for tasks where hashes have collided."""
+    seen: dict = {}
+    for i, (g, a) in enumerate(zip(group.tolist(), start.tolist(), strict=True)):
+        seen.setdefault((g, buf[a : a + length].tobytes()), set()).add(a)
+    return np.array([len(seen[g, buf[a : a + length].tobytes()]) > 1 for g, a in zip(group.tolist(), start.tolist(), strict=True)], dtype=bool)
+
+
 def _cover(tkey: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Union of intervals by text: sorted and merged."""
     by = np.lexsort((start, tkey))
@@ -214,21 +236,26 @@ def _cover(tkey: np.ndarray, start: np.ndarray, end: np.ndarray):
 def _cut_out(length: int):
     """Texts with the runs asked of them -> the bytes of each run's share of windows."""
 
+    names = {"bucket": pa.int64(), "tkey": pa.binary(), "anchor": pa.int64(), "s": pa.int32(), "n": pa.int32(), "off": pa.int32(), "raw": pa.binary()}
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), names.values(), strict=True)], names=list(names))
+
     def kernel(batches):
+        rows = []
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keys, asks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            rows = []
-            for key, text, ask in zip(keys, texts, asks, strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for a in ask:
+            for key, text, ask in zip(*(batch.column(i) for i in range(3)), strict=True):
+                key, raw = key.as_py(), (text.as_py() or "").encode("utf-8", "surrogatepass")
+                for a in ask.as_py():
                     parts = a["parts"]
                     for p in range(parts):  # windows by their offset from the anchor
                         for w in _offsets(a["off"], a["n"], p, parts, length):
                             rows.append((a["bucket"] + p, key, a["anchor"], a["s"] + w[0], w[1], a["off"] - w[0], raw[a["s"] + w[0] : a["s"] + w[0] + w[1] + length - 1]))
-            for i in range(0, len(rows), 20_000):
-                cols = list(zip(*rows[i : i + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "tkey", "anchor", "s", "n", "off", "raw"])
+                    if len(rows) >= 20_000:
+                        yield packed(rows)
+                        rows = []
+        if rows:
+            yield packed(rows)
 
     return kernel
 
@@ -248,14 +275,16 @@ def _settle(length: int):
         raw = table_.column("raw")
         buf, ends = arrow_flat(raw)
         n, off, s = (table_.column(c).to_numpy().astype(np.int64) for c in ("n", "off", "s"))
-        tkey, anchor = table_.column("tkey").to_numpy(), table_.column("anchor").to_numpy()
+        text, anchor = table_.column("tkey").combine_chunks().dictionary_encode(), table_.column("anchor").to_numpy()
+        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+        tkey = text.indices.to_numpy()
         row = np.repeat(np.arange(len(n)), n)
         w = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         _, a = np.unique(anchor, return_inverse=True)
         hit = repeated_starts(buf, ends[row] + w, a[row] * (length + 1) + (off[row] - w), length)
         row, w = row[hit], w[hit]
         k, b, e = _cover(tkey[row], s[row] + w, s[row] + w + length)
-        return pa.table({"tkey": pa.array(k, pa.int64()), "b": pa.array(b.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
+        return pa.table({"tkey": text.dictionary.take(pa.array(k, pa.int64())), "b": pa.array(b.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
 
     return kernel
 
@@ -265,29 +294,36 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     occur once; texts has ``tkey, copies`` for texts of length bytes or more that occur again, all of whose bytes repeat."""
     anchor = length // 2
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.xxhash64(text, F.octet_length(text)).alias("tkey"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), text.alias("text"))
+    base = docs.select(text_key(text).alias("tkey"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), text.alias("text"))
     copies = base.filter(F.octet_length("text") >= length).groupBy("tkey").agg(F.count("*").alias("copies")).filter("copies > 1")
-    all_runs = base.filter(F.octet_length("text") >= length).mapInArrow(_emit_runs(length, anchor), _RUN)
+    all_runs = saved(base.filter(F.octet_length("text") >= length).mapInArrow(_emit_runs(length, anchor, CHUNK), _RUN))
     place = F.xxhash64("tkey", "s")
-    again = all_runs.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("anchor")
+    again = saved(all_runs.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("times")).filter("lo <> hi").select("anchor", "times"))
     # one row per place of a text, whatever its number of copies; doc: the copy that gives the bytes
-    places = saved(all_runs.join(again, "anchor").groupBy("anchor", "run", "off", "n", "tkey", "s").agg(F.min("doc").alias("doc")))
+    met = dealt_join(all_runs, again, ["anchor"], "times", all_runs.count())
+    places = saved(met.groupBy("anchor", "run", "off", "n", "tkey", "s").agg(F.min("doc").alias("doc")))
     kinds = saved(places.groupBy("anchor", "run", "off", "n").agg(F.count("*").alias("c"), F.min(F.struct("tkey", "s", "doc")).alias("at")))
-    whole = places.join(kinds.filter("c > 1").select("anchor", "run", "off", "n"), ["anchor", "run", "off", "n"]).select("tkey", F.col("s").alias("b"), (F.col("s") + F.col("n") + F.lit(length - 1)).alias("e"))
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("g")).filter("g > 1")
+    twice = dealt_join(places, kinds.filter("c > 1").select("anchor", "run", "off", "n", "c"), ["anchor", "run", "off", "n"], "c", places.count())
+    whole = twice.select("tkey", F.col("s").alias("b"), (F.col("s") + F.col("n") + F.lit(length - 1)).alias("e"))
+    many = saved(kinds.groupBy("anchor").agg(F.count("*").alias("g")).filter("g > 1"))
     parts = F.least(F.lit(length - anchor + 1), F.ceil(F.col("g") / SHARE)).cast("int")
     total = kinds.count()
-    ask = kinds.join(many, "anchor").select(
+    ask = dealt_join(kinds, many, ["anchor"], "g", total).select(
         F.col("at.tkey").alias("tkey"), F.col("at.doc").alias("doc"),
         F.struct("anchor", F.col("at.s").alias("s"), "n", "off", parts.alias("parts"), F.pmod(F.xxhash64("anchor"), F.lit(max(16, total // SHARE))).alias("bucket")).alias("a"),
     ).groupBy("tkey", "doc").agg(F.collect_list("a").alias("asks"))
     cut = base.join(ask, ["tkey", "doc"])
-    shares = cut.select("tkey", "text", "asks").mapInArrow(_cut_out(length), "bucket long, tkey long, anchor long, s int, n int, off int, raw binary")
-    edges = shares.groupBy("bucket").applyInArrow(_settle(length), "tkey long, b int, e int")
-    spans = saved(whole.unionByName(edges).groupBy("tkey").agg(F.array_distinct(F.collect_list(F.struct("b", "e"))).alias("spans")))
+    shares = cut.select("tkey", "text", "asks").mapInArrow(_cut_out(length), "bucket long, tkey binary, anchor long, s int, n int, off int, raw binary")
+    edges = shares.groupBy("bucket").applyInArrow(_settle(length), "tkey binary, b int, e int")
+    spans = saved(whole.unionByName(edges).distinct().groupBy("tkey").agg(F.collect_list(F.struct("b", "e")).alias("spans")))
     return spans, copies
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))
+
+
 def _keep(batches):
     """doc_id, text, copies, spans -> the contract's digest of what is kept."""
     for batch in batches:
@@ -325,7 +361,7 @@ def with_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     spans, copies = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length)
     marks = spans.join(copies, "tkey", "full").select("tkey", "copies", F.when(F.col("copies").isNull(), F.col("spans")).alias("spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text, F.octet_length(text)).alias("tkey"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(text).alias("tkey"))
     return rows.join(marks, "tkey", "left").select("doc_id", "text", "copies", "spans")
 
 
@@ -336,7 +372,8 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     else goes, overlaps and the same document included; strings are judged on
     the input.  Null texts are empty; texts shorter than length lose nothing;
     all copies of a repeated text of that length lose all; repeated rows are
-    copies of each other; an empty table gives no rows; other columns are ignored.
+    copies of each other; very long texts are read whole; null ids are kept; an
+    empty table gives no rows; other columns, whatever their names, are ignored.
     """
     return with_spans(docs, **options).mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from strandspark.llm import decontaminate, jaccard_join, lm_score, mixing, sharding, suffix_dedup
+from strandspark.llm import common, decontaminate, jaccard_join, lm_score, mixing, sharding, suffix_dedup
 
 DOCS = "doc_id long, text string"
 TABLE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,9 +39,11 @@ def slow_dedup(rows, n):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("share", [2000, 3])
-def test_suffix_dedup(spark, monkeypatch, share):
+@pytest.mark.parametrize(("share", "chunk", "hot"), [(2000, 4 << 20, 2000), (3, 500, 2)])
+def test_suffix_dedup(spark, monkeypatch, share, chunk, hot):
     monkeypatch.setattr(suffix_dedup, "SHARE", share)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(1)
     parts = ["".join(rng.choice("abé d") for _ in range(300)) for _ in range(5)]
     rows = []
@@ -52,11 +54,23 @@ def test_suffix_dedup(spark, monkeypatch, share):
             x += rng.choice(parts)[a : a + rng.randint(10, 150)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 3)))
         rows.append((i, x))
     rows += [(200, "ab" * 300), (201, "q" * 300), (202, None), (203, ""), (204, rows[5][1]), (204, rows[5][1]), (None, parts[0]), (None, None), (205, "z" * 39), (206, "z" * 40), (207, "q" * 41)]
-    got = sorted(map(tuple, suffix_dedup.dedup(spark.createDataFrame(rows, DOCS), length=40).collect()), key=repr)
+    rows += [(300, "".join(rng.choice("abcdefgh") for _ in range(4000)) + rows[3][1]), (301, parts[1] * 9)]
+    got = sorted(map(tuple, suffix_dedup.dedup(spark.createDataFrame(rows, DOCS).withColumns({"tkey": F.lit(1), "spans": F.lit("x"), "copies": F.lit(2), "run": F.lit(3)}), length=40).collect()), key=repr)
     assert got == slow_dedup(rows, 40)
     assert suffix_dedup.dedup(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_colliding_hashes_are_settled_by_bytes(monkeypatch):
+    import numpy as np
+
+    buf = np.frombuffer(b"abcdXabcdYabceZabcd", np.uint8)
+    start, group = np.array([0, 5, 10, 15]), np.zeros(4, np.int64)
+    want = [True, True, False, True]
+    assert suffix_dedup.repeated_starts(buf, start, group, 4).tolist() == want
+    monkeypatch.setattr(suffix_dedup, "extension", lambda prefix, inv, a, b, limit: np.full(len(a), limit))
+    assert suffix_dedup.repeated_starts(buf, start, group, 4).tolist() == want
+
+
 def slow_links(rows):
     n, sets, ids = len(rows), [shingle_set(t) for _, t in rows], [-1 if i is None else i for i, _ in rows]
     up, deg = list(range(n)), [0] * n
