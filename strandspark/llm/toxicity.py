@@ -57,6 +57,30 @@ def features(text: str) -> set[str]:
     return found | {f"{w[:n]}*" for w in found for n in STEMS if len(w) > n}
 
 
+#: Words whose features a worker keeps at hand, at most.
+_KEPT = 200_000
+
+
+class Finder:
+    """Which features of an index texts have; what a word comes to is looked up once."""
+
+    def __init__(self, index: dict[str, int]):
+        self.index, self.seen = index, {}
+
+    def find(self, text: str) -> set[int]:
+        """The numbers of a lower-cased text's features that are in the index."""
+        out, seen = set(), self.seen
+        for w in set(_TOKEN.findall(text)):
+            got = seen.get(w)
+            if got is None:
+                if len(seen) >= _KEPT:
+                    seen.clear()
+                got = seen[w] = frozenset(self.index[x] for x in features(w) if x in self.index)
+            if got:
+                out |= got
+        return out
+
+
 def _word_sets(batches):
     """(text, label) -> distinct words with the label, added up for the batch."""
     for batch in (piece for whole in batches for piece in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500))):
@@ -74,19 +98,20 @@ def _bags(index: dict[str, int]):
     """(text, label) -> the chosen words of each sentence that has any, and the number of sentences."""
 
     def kernel(batches):
+        finder = Finder(index)
         for batch in batches:
-            rows = [_bag(text or "", index) for text in batch.column(0).to_pylist()]
+            rows = [_bag(text or "", finder) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.list_(pa.int32()))), pa.array([r[1] for r in rows], pa.int64()), batch.column(1)], names=["bags", "n", "toxic"])
 
     return kernel
 
 
-def _bag(text: str, index: dict[str, int]) -> tuple[list[list[int]], int]:
+def _bag(text: str, finder: Finder) -> tuple[list[list[int]], int]:
     out, n = [], 0
     for s in SENTENCE.split(text.lower()):
         if s and not s.isspace():
             n += 1
-            if found := sorted({index[w] for w in features(s) if w in index}):
+            if found := sorted(finder.find(s)):
                 out.append(found)
     return out, n
 
@@ -95,12 +120,17 @@ class Model:
     """Weights of words and a bias, from documents with labels."""
 
     def __init__(self, words: list[str], weights: np.ndarray, bias: float):
-        self.weights = {w: float(x) for w, x in zip(words, weights, strict=True) if abs(x) > 1e-6}
+        kept = [(w, float(x)) for w, x in zip(words, weights, strict=True) if abs(x) > 1e-6]
+        self.words, self.weights = [w for w, _ in kept], [x for _, x in kept]
         self.bias = float(bias)
+        self.finder = Finder({w: i for i, w in enumerate(self.words)})
+
+    def __reduce__(self):
+        return Model, (self.words, self.weights, self.bias)
 
     def sentence(self, text: str) -> float:
         """The log-odds of one sentence."""
-        return self.bias + math.fsum(self.weights[w] for w in features(text.lower()) if w in self.weights)
+        return self.bias + math.fsum(self.weights[i] for i in self.finder.find(text.lower()))
 
     def document(self, text: str) -> tuple[float, int, int]:
         """(score, start, end): the noisy-or of the sentences and where the worst one stands; (0, 0, 0) for blank texts."""
@@ -150,8 +180,14 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """A model from rows with a label of 0 or 1; without both kinds of labels the bias alone is set."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = labelled.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)).alias("_h"), text.alias("text"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1)")
-    limit = int(SAMPLE / max(SAMPLE, rows.count()) * (1 << 30))
-    sample = saved(rows.filter(F.col("_h") < limit).limit(SAMPLE).select("text", "toxic") if limit < 1 << 30 else rows.select("text", "toxic"))
+    total = rows.count()
+    # a little less than SAMPLE, and less again should that be exceeded
+    limit = 1 << 30 if total <= SAMPLE else int(max(SAMPLE / 2, SAMPLE - 5 * SAMPLE**0.5) / total * (1 << 30))
+    sample = saved(rows.filter(F.col("_h") < limit))
+    while (n := sample.count()) > SAMPLE:
+        limit = limit * SAMPLE // n * 9 // 10
+        sample = saved(sample.filter(F.col("_h") < limit))
+    sample = sample.select("text", "toxic")
     total, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not total or bad in (0, total):
         return Model([], np.zeros(0), 6.0 if total and bad else -6.0)
@@ -185,9 +221,10 @@ def score(docs: DataFrame, model: Model, held_out: Column, *, id_col: str = "doc
     """One row per input row: ``doc_id, held_out, score, predicted, worst_start, worst_end``.
 
     worst: the characters of the sentence with the highest score.  Null and
-    blank texts have no sentence: score 0.  Ties go to the first sentence;
-    repeated rows get equal results; null ids are kept; an empty table gives
-    no rows; other columns are ignored.
+    blank texts have no sentence: score 0.  Very long texts are scored whole.
+    Ties go to the first sentence; repeated rows get equal results; null ids
+    are kept; an empty table gives no rows; other columns, whatever their
+    names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
