@@ -30,6 +30,37 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df, url_filter.rules_frame(spark, [])).filter("verdict <> 'allow'").count() == 0
 
 
+def test_sure_tokens_are_derived_from_expressions():
+    want = {
+        r"^(?:[^/?#]*\.)?example\.com/en/7": ("com", "en", "example"), r"^(?:[^/?#]*\.)?com/en/": ("com", "en"), r"foo": (), r"/foo/": ("foo",), r"/foo$": ("foo",), r"^foo-(bar|baz)-": ("foo",), r"^(?:a-b|b-c)-": (), r"^(?:a-b-|b-c-)": ("b",),
+        r"/x+/": (), r"/ab+c/d/": ("d",), r"/(?:top/)?end$": ("end",), r"/(top/)+end$": ("end", "top"), r"[./]ads?[./]": (), r"[^A-Za-z0-9]ad[^A-Za-z0-9]": ("ad",), r"[^a-z]ad[^a-z]": (), r"/\d+/": (), r"/A1/": ("a1",), r"(": (),
+    }
+    assert {p: url_filter.sure_tokens(p) for p in want} == want
+
+
+def test_any_expression_finds_what_it_finds_alone(spark):
+    rng = random.Random(17)
+    bits = ["ad", "ads", "top", "x1", ".", "/", "-", "com", "Z"]
+    urls = ["http://" + "".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) for _ in range(200)]
+    rules = [url_filter.Rule(p, p, "block", i) for i, p in enumerate([r"/ads?/", r"(^|[^A-Za-z0-9])ad($|[^A-Za-z0-9])", r"top.com", r"^(?:[^/?#]*\.)?x1", r"x1[-.](?:com|ad)/", r"Z"])]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["pattern"] for r in url_filter.filter_urls(df, url_filter.rules_frame(spark, rules)).collect()}
+    import re
+
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1]
+        host = rest.split("/", 1)[0]
+        key = "".join(c.lower() if "A" <= c <= "Z" else c for c in host) + rest[len(host):]
+        fits = [r.name for r in rules if re.search(r.pattern, key)]
+        assert got[i] == (fits[-1] if fits else None), u
+
+
+def test_no_row_of_the_url_filter_passes_through_python(spark):
+    plan = url_filter.op2_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    rules = url_filter.rules_frame(spark, [url_filter.word_rule("block", "x")])._jdf.queryExecution().toString()
+    assert not any(x in plan + rules for x in ("Python", "LogicalRDD", "ExistingRDD", "Arrow", "Pandas"))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div>
 <article><header><h1>A &amp; B</h1></header><p>First  line<br>second &lt;x&gt;</p><p><b>Open bold<p>Next &nbsp; one <a href="/y">link</a></p><aside>Side</aside><ul><li>one<li>two</ul><form>Mail</form>
 <!-- hidden --><div style="display: none">gone</div><div id="comments"><p>Reader says hi</p></div></article><footer>&copy; me</footer></body></html>"""
