@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_before, saved, table
+from .common import dealt_join, running_before, saved, table
 
 #: Rows in a block of the running sums, about.
-BLOCK = 4000
+BLOCK = 1000
 #: Hubs of more rows than a shard's quota over this are placed one by one, at most so many a shard.
 LARGE = 64
 #: Whole hubs of a size, and their sizes, that can change places with cut ones; cut hubs mended so, at most.
@@ -40,8 +40,9 @@ def shard(docs: DataFrame, *, shards: int = 16, rounds: int | None = None, id_co
     Law ``rows``: the shards' row counts differ by at most one.  size: UTF-8
     bytes plus 1; slot: gapless from 0 within the shard.  hub: the key that
     links documents (default: the text); null hubs link nothing.  Null texts
-    count as empty; repeated rows and ties take places in an order fixed by
-    id and hub; an empty table gives no rows; other columns are ignored unless
+    count as empty, very long ones are read whole; null ids are kept; repeated
+    rows and ties take places in an order fixed by id and hub; an empty table
+    gives no rows; other columns, whatever their names, are ignored unless
     named in ``keep``.  rounds: at most so many (default: until none moves a row).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -54,7 +55,8 @@ def shard(docs: DataFrame, *, shards: int = 16, rounds: int | None = None, id_co
     total = slim.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     members = slim.groupBy("_hub").agg(F.count("*").alias("_m"))
-    linked = slim.filter("_hub is not null").join(members.filter("_m > 1"), "_hub")
+    tagged = saved(dealt_join(slim.filter("_hub is not null"), members.filter("_m > 1"), ["_hub"], "_m", total, "left"))
+    linked = tagged.filter("_m is not null")
     order = F.pmod(F.xxhash64("_hub", "doc_id"), F.lit(1 << 40))
     place = running_before(linked, ["_hub"], F.floor(order / F.lit(float(1 << 40)) * F.ceil(F.col("_m") / BLOCK)), [order, "doc_id"], "_one", "_rank")
     linked = saved(place)
@@ -70,9 +72,9 @@ def shard(docs: DataFrame, *, shards: int = 16, rounds: int | None = None, id_co
     used = dict(cells.groupBy("shard").agg(F.sum("n")).collect())  # one row per shard
     # members of a hub fill its cells in the order of their ranks
     span = Window.partitionBy("_hub").orderBy(F.desc("n"), "shard").rowsBetween(Window.unboundedPreceding, -1)
-    spans = cells.withColumn("_lo", F.coalesce(F.sum("n").over(span), F.lit(0))).withColumn("_hi", F.col("_lo") + F.col("n"))
-    a = linked.join(spans.select("_hub", "shard", "_lo", "_hi"), "_hub").filter("_rank >= _lo and _rank < _hi").drop("_lo", "_hi", "_rank", "_m")
-    single = slim.join(members.filter("_m > 1").select("_hub"), "_hub", "left_anti")
+    spans = cells.withColumn("_lo", F.coalesce(F.sum("n").over(span), F.lit(0))).withColumns({"_hi": F.col("_lo") + F.col("n"), "_all": F.sum("n").over(Window.partitionBy("_hub"))})
+    a = dealt_join(linked, spans.select("_hub", "shard", "_lo", "_hi", "_all"), ["_hub"], "_all", total).filter("_rank >= _lo and _rank < _hi").drop("_lo", "_hi", "_rank", "_m", "_all")
+    single = tagged.filter("_m is null").drop("_m").unionByName(slim.filter("_hub is null"))
     spread = F.pmod(F.xxhash64("doc_id", "_hub"), F.lit(1 << 40))
     single = running_before(single.withColumn("_all", F.lit(0)), ["_all"], F.floor(spread / F.lit(float(1 << 40)) * F.lit(float(max(1, total // BLOCK)))), [spread, "doc_id"], "_one", "_rank")
     limits, case = 0, F.lit(shards - 1)

@@ -253,10 +253,12 @@ def test_mixing(spark):
     assert out.columns == TABLE.replace(" long", "").replace(" string", "").split(", ") and out.count() > 0
 
 
-def test_sharding(spark):
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_sharding(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(7)
     rows = [(i, rng.choice(["same text", f"t{i}", f"pair {i // 4}", f"u{i}"]), "en", "s", 0) for i in range(700)] + [(900, None, None, None, None), (901, "", None, None, None), (902, "", None, None, None), (5, "t5", "en", "s", 0)]
-    got = sharding.shard(spark.createDataFrame(rows, TABLE)).collect()
+    got = sharding.shard(spark.createDataFrame(rows, TABLE).withColumns({c: F.lit(1) for c in ("_hub", "shard", "slot", "_m", "n", "_one")})).collect()
     by, cut = defaultdict(list), defaultdict(set)
     for r in got:
         by[r["shard"]].append(r["slot"])
