@@ -9,9 +9,11 @@ threshold, under a uniform prior, is below ``TOLERANCE``.  A bucket sends on no
 pairs but a spanning forest of those that stay, so that rows grow with its
 members, not their pairs.  The candidates' components bring texts together once:
 in a component the pairs that the pruning leaves are verified on their exact
-shingle sets, and each class's links are counted where they are found.  Buckets
-and components of many classes are cut into blocks, and every pair of blocks is
-a task of its own.
+shingle sets, and each class's links are counted where they are found.  A large
+component whose members seldom share buckets, a chain say, is verified bucket by bucket instead, each
+pair in the first bucket that it shares, so that work follows the candidates and
+not the square of the component.  Buckets and components of many classes are cut
+into blocks, and every pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import dealt_join, saved, table
 from .kernels import U64, arrow_flat, mix, shingles, words
 
 SHINGLE = 5
@@ -33,7 +35,7 @@ BANDS, ROWS = 24, 4
 STEP = 16
 TOLERANCE = 1e-7
 #: Classes of a bucket that meet in one task.
-BLOCK = 1500
+BLOCK = 600
 #: Bytes of text hashed at once.
 _SLICE = 2 << 20
 
@@ -233,12 +235,16 @@ def _verify_kernel(k: int, threshold: float, every: bool):
         t = t.drop_columns(["text"]).take(pa.array(by))
         cls, copies, size = t.column("cls").to_numpy(), t.column("copies").to_numpy(), sizes.astype(np.float64)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+        keys, band = np.ascontiguousarray(sig).view(np.int64).reshape(-1, BANDS), t.column("band").to_numpy()
         a, b, sim, more = [], [], [], np.zeros(len(cls), dtype=np.int64)
         for lo, hi, second in _cells(t, "cell"):
             forest = _Forest(hi - lo)
             base = lo if second is None else second
             for row, common in _common(sh, bounds, range(lo, hi if second is None else second), base, hi):
-                other = _survivors(row, np.arange(row + 1 if second is None else second, hi), sig, size, needs, threshold)
+                other = np.arange(row + 1 if second is None else second, hi)
+                if band[row]:  # a pair counts in the first band that it shares
+                    other = other[~(keys[other, : band[row]] == keys[row, : band[row]]).any(axis=1)]
+                other = _survivors(row, other, sig, size, needs, threshold)
                 both = common[other - base]
                 j = both / (size[other] + size[row] - both)
                 ok = j >= threshold
@@ -282,9 +288,9 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """One row per document, saved: its id (null: -1), a hash of its text, ``k1, k2, n`` (keys and size of its shingle set) and its signature."""
+    """One row per document, saved: its id, a hash of its text, ``k1, k2, n`` (keys and size of its shingle set) and its signature."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     return saved(rows.mapInArrow(_class_kernel(k), "doc_id long, text_key long, k1 long, k2 long, n int, sig binary"))
 
 
@@ -295,6 +301,30 @@ def _blocked(members: DataFrame, crowd: str, name: str, key: list[str]) -> DataF
     return cut.withColumn("_cell", cell).withColumns({name: F.xxhash64(*key, "_cell.i", "_cell.j"), "side": F.col("_cell.side")}).drop("_cell", "_blocks", "_mine", crowd)
 
 
+def _cells_to_verify(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``cls, cell, side, band`` of the candidates: by component, or by bucket where that makes fewer pairs."""
+    label = label.withColumnRenamed("node", "cls")
+    total = label.count()
+    crowd = saved(label.groupBy("component").agg(F.count("*").alias("m")))
+    placed = dealt_join(label, crowd, ["component"], "m", total)
+    halves = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2
+    large = crowd.filter(F.col("m") > BLOCK)
+    if large.isEmpty():
+        return _blocked(placed, "m", "cell", ["component"]).select("cls", "cell", "side", F.lit(0).alias("band"))
+    big = placed.filter(F.col("m") > BLOCK).select("cls", "component")
+    spots = saved(rows.join(big, "cls"))
+    spot = ["component", "band", "key"]
+    per = saved(spots.groupBy(*spot).agg(F.count("*").alias("k")).filter("k > 1"))
+    work = per.groupBy("component").agg(F.sum(halves("k")).alias("w"))
+    sparse = saved(large.join(work, "component").filter(F.col("w") < halves("m")).select("component", "m"))
+    dense = placed.join(sparse.select("component"), "component", "left_anti")
+    loose = dealt_join(spots, per.join(sparse.select("component"), "component", "left_semi"), spot, "k", spots.count())
+    return (
+        _blocked(dense, "m", "cell", ["component"]).select("cls", "cell", "side", F.lit(0).alias("band"))
+        .unionByName(_blocked(loose, "k", "cell", spot).select("cls", "cell", "side", "band"))
+    )
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, marks).
 
@@ -305,22 +335,27 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     added up) and ``a, b`` of spanning forests.
     """
     members = classes(docs, id_col=id_col, text_col=text_col, k=k)
-    marks = saved(members.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("cls", F.col("k1")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key"))
+    marks = saved(
+        members.groupBy("k1", "k2", "n").agg(first.alias("_r"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+        .select("k1", "k2", "n", F.col("_r.doc_id").alias("rep"), F.col("_r.text_key").alias("rep_text"), "copies", "sig", F.col("k1").alias("cls"))
+    )
     kinds = marks.filter("n > 0")
     rows = saved(kinds.select("cls", "sig").mapInArrow(_bands, "cls long, band int, key long"))
-    crowd = rows.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1")
-    met = saved(_blocked(rows.join(crowd, ["band", "key"]), "m", "bucket", ["band", "key"]).select("cls", "band", "bucket", "side"))
+    crowd = saved(rows.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1"))
+    rows = saved(dealt_join(rows, crowd, ["band", "key"], "m", rows.count()))
+    met = saved(_blocked(rows, "m", "bucket", ["band", "key"]).select("cls", "band", "bucket", "side"))
     tasks = max(16, int(met.count() // BLOCK))
     with_sig = met.join(kinds.select("cls", "sig", "n"), "cls").withColumn("task", F.pmod("bucket", F.lit(tasks)))
     near = saved(with_sig.groupBy("task").applyInArrow(_candidate_kernel(threshold), "a long, b long").distinct())
     label = components(near, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
-    crowd = label.groupBy("component").agg(F.count("*").alias("m"))
-    cells = saved(_blocked(label.withColumnRenamed("node", "cls").join(crowd, "component"), "m", "cell", ["component"]).select("cls", "cell", "side"))
+    cells = saved(_cells_to_verify(rows.drop("m"), label))
     tasks = max(16, int(cells.count() // BLOCK))
     # one document of each class gives its text: that of the smallest id
-    asked = cells.join(kinds.select("cls", "rep", "copies", "sig"), "cls").groupBy("rep").agg(F.collect_list(F.struct("cls", "cell", "side", "copies", "sig")).alias("asks"))
-    raw = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = raw.join(asked, "rep").select("text", F.inline("asks")).withColumn("task", F.pmod("cell", F.lit(tasks)))
+    asked = cells.join(kinds.select("cls", "rep", "rep_text", "copies", "sig"), "cls")
+    raw = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_key", F.xxhash64("text"))
+    texts = raw.join(asked, F.col("_key").eqNullSafe(F.col("rep_text")) & F.col("_id").eqNullSafe(F.col("rep")))
+    texts = texts.select("text", "cls", "cell", "side", "band", "copies", "sig").withColumn("task", F.pmod("cell", F.lit(tasks)))
     out = "a long, b long, jaccard double" if every else "a long, b long, more long"
     return members, saved(texts.groupBy("task").applyInArrow(_verify_kernel(k, threshold, every), out)), marks
 
@@ -344,9 +379,10 @@ def grouped(docs: DataFrame, **options) -> DataFrame:
     group = named.join(first, "component").select("node", "component", "class_id")
     per = (
         marks.join(degree, marks.cls == degree.a, "left").join(group, marks.cls == group.node, "left")
-        .select("k1", "k2", "n", F.coalesce("component", "cls").alias("group"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"), F.col("rep").alias("copy_class"))
+        .select("k1", "k2", "n", "copies", F.coalesce("component", "cls").alias("group"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"), F.col("rep").alias("copy_class"))
     )
-    return members.select("doc_id", "text_key", "k1", "k2", "n").join(per, ["k1", "k2", "n"]).select("doc_id", "text_key", "group", "class_id", "n_links", "copy_class")
+    rows = members.select("doc_id", "text_key", "k1", "k2", "n")
+    return dealt_join(rows, saved(per), ["k1", "k2", "n"], "copies", rows.count()).select("doc_id", "text_key", "group", "class_id", "n_links", "copy_class")
 
 
 def linked(docs: DataFrame, **options) -> DataFrame:
@@ -355,21 +391,24 @@ def linked(docs: DataFrame, **options) -> DataFrame:
     class_id: the smallest id of the documents reachable over links (word
     shingle sets of Jaccard similarity ``threshold`` or more); n_links: how
     many other rows it links to, copies included; copy_class: the smallest id
-    of the rows with an equal shingle set.  Null ids come back as -1.
+    of the rows with an equal shingle set.  Null ids stay null and are no class's
+    smallest id unless it has no other.
 
     A text of fewer than k words has one shingle, of all its words.  Null and
     empty texts have none: they are copies of each other and link to nothing
-    else.  Repeated rows are copies.  An empty table gives no rows; other
-    columns are ignored.
+    else.  Very long texts are compared whole.  Repeated rows are copies.  An
+    empty table gives no rows; other columns, whatever their names, are ignored.
     """
     return grouped(docs, **options).select("doc_id", "class_id", "n_links", "copy_class")
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with one row of each class left, that of the smallest id (then text hash); all columns kept."""
-    first = grouped(docs, id_col=id_col, text_col=text_col, **options).groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("_f")).select(F.col("_f.doc_id").alias("_id"), F.col("_f.text_key").alias("_key"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    one = keyed.join(first, ["_id", "_key"]).withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0))))
+    """The documents with one row of each class left, that of the smallest id (null: largest), then text hash; all columns kept."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key"))
+    first = grouped(docs, id_col=id_col, text_col=text_col, **options).groupBy("group").agg(least.alias("_f")).select(F.col("_f.doc_id").alias("_first"), F.col("_f.text_key").alias("_first_key"))
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = keyed.join(first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_first_key")))
+    one = kept.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0))))
     return one.filter("_row = 1").select(*docs.columns)
 
 

@@ -72,7 +72,8 @@ def test_colliding_hashes_are_settled_by_bytes(monkeypatch):
 
 
 def slow_links(rows):
-    n, sets, ids = len(rows), [shingle_set(t) for _, t in rows], [-1 if i is None else i for i, _ in rows]
+    """(id, class, links, copy class, root) of each row."""
+    n, sets, ids = len(rows), [shingle_set(t) for _, t in rows], [1 << 60 if i is None else i for i, _ in rows]
     up, deg = list(range(n)), [0] * n
 
     def root(x):
@@ -87,16 +88,17 @@ def slow_links(rows):
                 deg[i] += 1
                 deg[j] += 1
                 up[root(i)] = root(j)
-    cls, copy = {}, {}
+    cls, copy, named = {}, {}, lambda x: None if x == 1 << 60 else x
     for i in range(n):
         cls[root(i)] = min(cls.get(root(i), 1 << 60), ids[i])
         copy[sets[i]] = min(copy.get(sets[i], 1 << 60), ids[i])
-    return sorted((ids[i], cls[root(i)], deg[i], copy[sets[i]]) for i in range(n))
+    return [(named(ids[i]), named(cls[root(i)]), deg[i], named(copy[sets[i]]), root(i)) for i in range(n)]
 
 
-@pytest.mark.parametrize("block", [1500, 3])
-def test_jaccard_join(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(600, 2000), (3, 2)])
+def test_jaccard_join(spark, monkeypatch, block, hot):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng, rows = random.Random(3), []
     vocabulary = [f"w{i}" for i in range(400)]
     for _ in range(12):
@@ -106,10 +108,26 @@ def test_jaccard_join(spark, monkeypatch, block):
             for _ in range(rng.randint(0, 4)):
                 x[rng.randrange(len(x))] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(x)))
-    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b\n"), (904, "a"), (None, "a b"), (905, " "), (3, rows[9][1]), (3, rows[3][1]), (3, rows[3][1])]
-    assert sorted(map(tuple, jaccard_join.linked(spark.createDataFrame(rows, DOCS)).collect())) == slow_links(rows)
-    first = jaccard_join.representatives(spark.createDataFrame(rows, DOCS)).collect()
-    assert len(first) == len({(c, frozenset()) for _, c, _, _ in slow_links(rows)}) or len(first) >= len({c for _, c, _, _ in slow_links(rows)})
+    # a chain: each text moves on by a little, so only neighbours are alike
+    long = [f"c{i}" for i in range(400)]
+    rows += [(400 + i, " ".join(long[6 * i : 6 * i + 100])) for i in range(30)]
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b\n"), (904, "a"), (None, "a b"), (905, " "), (3, rows[9][1]), (3, rows[3][1]), (3, rows[3][1]), (-1, "minus one"), (None, "no id here"), (None, "no id here"), (None, "nor one here")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("cls", "rep", "k1", "_key", "band", "m")})
+    slow = slow_links(rows)
+    assert sorted(map(tuple, jaccard_join.linked(df).collect()), key=repr) == sorted((x[:4] for x in slow), key=repr)
+    first = jaccard_join.representatives(df)
+    assert first.columns == df.columns
+    kept = [(r["doc_id"], r["text"]) for r in first.collect()]
+    roots = defaultdict(list)
+    for x, row in zip(slow, rows, strict=True):
+        roots[x[4]].append(row)
+    assert len(kept) == len(roots)
+    for group in roots.values():
+        mine = [x for x in kept if x in group]
+        assert len(mine) >= 1 and min((i for i, _ in group if i is not None), default=None) in {i for i, _ in mine}
+    links = {frozenset((a, b)) for a, b, _ in map(tuple, jaccard_join.pairs(df.filter("doc_id >= 400 and doc_id < 900")).collect())}
+    chain = rows[-44:-14]
+    assert links == {frozenset((i, j)) for i, t in chain for j, u in chain if i < j and len(shingle_set(t) & shingle_set(u)) / len(shingle_set(t) | shingle_set(u)) >= 0.8}
     assert jaccard_join.linked(spark.createDataFrame([], DOCS)).collect() == []
 
 
