@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import bh, fisher_udf, mann_whitney
 from ..model import Motif, consensus
 from .scan import unit_kernel
+from .shuffle import shuffle
 
 
 def units(seqs: DataFrame, motifs: list[Motif], *, masked: bool = False, forward: bool = False) -> DataFrame:
@@ -17,6 +18,17 @@ def units(seqs: DataFrame, motifs: list[Motif], *, masked: bool = False, forward
     return rows.mapInArrow(unit_kernel(motifs, masked, forward), "unit string, motif_id int, n_hits long, max_score long")
 
 
+def with_null(units_: DataFrame, *, k: int = 2, seed: int = 1) -> DataFrame:
+    """Positive units (``unit, seq``, optional ``strand``; parts of sequences where ranges are in use) and as many negatives, column ``positive``.
+
+    A negative is a shuffle of its unit that keeps k-mers, both strands of it count; units shorter than k are copied.
+    """
+    null = shuffle(units_.select(F.col("unit").alias("name"), "seq"), k, seed=seed, keep_short=True).withColumnRenamed("name", "unit")
+    columns = ["unit", "seq"] + [c for c in ("strand",) if c in units_.columns]
+    null = null.withColumn("strand", F.lit(".")) if "strand" in columns else null
+    return units_.select(*columns).withColumn("positive", F.lit(True)).unionByName(null.select(*columns).withColumn("positive", F.lit(False)))
+
+
 def counts(seqs: DataFrame, motifs: list[Motif], **options) -> DataFrame:
     """Per motif: units, units with a hit, hits and scored positions of each set (column ``positive``)."""
     spark = seqs.sparkSession
@@ -36,12 +48,15 @@ def counts(seqs: DataFrame, motifs: list[Motif], **options) -> DataFrame:
     return names.join(per, "motif_id").crossJoin(F.broadcast(room)).withColumns({"pos_positions": pick("p"), "neg_positions": pick("n")}).select("motif", "motif_id", "consensus", *[c for c in per.columns if c != "motif_id"], "pos_positions", "neg_positions")
 
 
-def enrich(seqs: DataFrame, motifs: list[Motif], *, test: str = "seqs", q: float = 0.1, **options) -> DataFrame:
+def enrich(seqs: DataFrame, motifs: list[Motif], *, test: str = "seqs", q: float = 0.1, shuffle_k: int = 2, seed: int = 1, **options) -> DataFrame:
     """Enrichment rows, sorted by q-value, p-value and motif, those of a q-value up to q.
 
-    test: ``seqs`` (units with hits), ``sites`` (hits over positions) or
+    seqs: units with ``positive``; without that column all are positives and
+    the negatives are shuffles of them (see ``with_null``).  test: ``seqs`` (units with hits), ``sites`` (hits over positions) or
     ``ranksum`` (largest scores; units too short rank lowest).
     """
+    if "positive" not in seqs.columns:
+        seqs = with_null(seqs, k=shuffle_k, seed=seed)
     c = counts(seqs, motifs, **options)
     if test == "ranksum":
         got = units(seqs.withColumn("unit", F.concat(F.when(F.col("positive"), "+").otherwise("-"), "unit")), motifs, **options)
