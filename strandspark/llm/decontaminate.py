@@ -75,7 +75,7 @@ def verified(docs: DataFrame, bench: DataFrame, found: DataFrame, k: int) -> Dat
     both = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}._doc") == F.col(f"{y}._doc"))
     again = docs.alias("d").join(found.select("doc_id", "_doc").distinct().alias("f"), both("d", "f"), "left_semi")
     held = again.select("doc_id", "_doc", F.explode(shingle_texts(F.col("_words"), k)).alias("s"))
-    held = held.join(bench.select("s").distinct(), "s", "left_semi").distinct()
+    held = held.join(bench.select("s"), "s", "left_semi").distinct()
     asked = found.alias("f").join(bench.alias("b"), F.col("f.item_id").eqNullSafe(F.col("b.item_id")) & (F.col("f._item") == F.col("b._item"))).select("f.*", "b.s", "b.n", "b.need")
     got = asked.alias("a").join(held.alias("h"), both("a", "h") & (F.col("a.s") == F.col("h.s"))).select("a.*")
     return got.groupBy("doc_id", "_doc", "item_id", "_item", "n", "need").agg(F.count("*").alias("n_shared")).filter("n_shared >= need")
