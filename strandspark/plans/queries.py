@@ -541,6 +541,11 @@ def background_bins(spark, d):
     return bkg.binned(seqs(spark, d)).select("name", "bin", "len", "n_fraction")
 
 
+@query(f"WITH {SEQS}, b AS (SELECT CASE WHEN length(seq) > 0 THEN least(floor((length(seq) - length(translate(seq, 'GC', '')))::DOUBLE / length(seq) / 0.05::DOUBLE)::INT, 19) ELSE 0 END AS bin FROM seqs) SELECT bin, (bin * 5) || '-' || (bin * 5 + 5) || '%' AS gc_range, count(*)::BIGINT AS n FROM b GROUP BY 1")
+def background_bin_counts(spark, d):
+    return bkg.bin_counts(seqs(spark, d))
+
+
 @query()
 def background_pool(spark, d):
     x = labelled(spark, d)

@@ -206,6 +206,57 @@ def test_background(spark):
     assert len(g) == 5 and all(r["end"] - r["start"] == 60 == len(r["seq"]) for r in g)
 
 
+def test_background_pool_by_a_slow_model(spark, monkeypatch):
+    monkeypatch.setattr(background, "_CELL", 3)
+    rng = random.Random(23)
+    text = lambda gc, n: "".join(rng.choice("GC") if i < gc * n else rng.choice("AT") for i in range(n))
+    targets = [text(rng.choice([0.3, 0.5, 0.52, 0.9]), rng.choice([40, 60, 90])) for _ in range(30)]
+    pool = [text(rng.choice([0.1, 0.3, 0.4, 0.5, 0.6]), rng.choice([38, 45, 62, 200])) for _ in range(40)]
+    t, p = make(spark, targets), make(spark, pool)
+    of = lambda s: min(19, int((s.count("G") + s.count("C")) / len(s) / 0.05))
+
+    def nearest(x, free):
+        fit = [i for i in free if abs(len(pool[i]) - len(x)) <= 5]
+        return min(((abs(of(pool[i]) - of(x)), of(pool[i]) < of(x)) for i in fit), default=None), fit
+
+    got = background.from_pool(t, p, tolerance=5, number=3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["target"], []).append(int(r["name"][1:]))
+        assert pool[int(r["name"][1:])] == r["seq"]
+    for i, x in enumerate(targets):
+        best, fit = nearest(x, range(len(pool)))
+        picks = by.get(f"s{i}", [])
+        assert len(picks) == (3 if fit else 0)
+        assert all(j in fit and (abs(of(pool[j]) - of(x)), of(pool[j]) < of(x)) == best for j in picks)
+    # without replacement nothing is used twice, and who got nothing has no unused candidate left
+    once = background.from_pool(t, p, tolerance=5, replacement=False).collect()
+    used = [int(r["name"][1:]) for r in once]
+    assert len(set(used)) == len(used) and len({r["target"] for r in once}) == len(once)
+    left = set(range(len(pool))) - set(used)
+    for i in {*range(30)} - {int(r["target"][1:]) for r in once}:
+        assert not nearest(targets[i], left)[1]
+    with pytest.raises(model.MotifError):
+        background.from_pool(make(spark, ["ACGT" * 500]), p)
+    many = background.from_pool(make(spark, [text(0.5, 60)]), make(spark, [text(0.5, 60) for _ in range(10)]), number=2000).groupBy("name").count().collect()
+    assert len(many) == 10 and min(r["count"] for r in many) > 140
+    assert {(r["bin"], r["gc_range"], r["n"]) for r in background.bin_counts(make(spark, ["GC", "AT", "NN", "ACGT"])).collect()} == {(19, "95-100%", 1), (0, "0-5%", 2), (10, "50-55%", 1)}
+
+
+def test_background_genome_does_not_depend_on_pieces(spark, monkeypatch):
+    rng = random.Random(24)
+    text = lambda gc, n: "".join(rng.choice("GC" if rng.random() < gc else "AT") for _ in range(n))
+    genome = [text(0.5, 900), text(0.3, 500), "N" * 300 + text(0.7, 400)]
+    t, g = make(spark, [text(x / 10, 50) for x in range(2, 8)]), make(spark, genome)
+    whole = sorted(map(tuple, background.from_genome(t, g, number=3, random_strand=True).collect()))
+    monkeypatch.setattr(background, "_PIECE", 10)
+    assert sorted(map(tuple, background.from_genome(t, g, number=3, random_strand=True).collect())) == whole
+    assert len(whole) == 18
+    for _, _, chrom, a, b, strand, s in whole:
+        w = genome[int(chrom[1:])][a:b]
+        assert s == (w if strand == "+" else w[::-1].translate(str.maketrans("ACGT", "TGCA"))) and w.count("N") <= 5
+
+
 def test_background_genome_draws_valid_starts_until_the_bin_is_met(spark):
     rng = random.Random(8)
     text = lambda gc, n: "".join(rng.choice("GC" if rng.random() < gc else "AT") for _ in range(n))
