@@ -20,6 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a table for each core below which its rows are dealt out anew: small files often come as one task.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out over all cores; larger ones, which come in many tasks, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and 1 << 20 < size < cores * SMALL else df
+
+
 class Written:
     """Tables of one job: written once, read from there, removed together."""
 

@@ -1,11 +1,12 @@
-"""Overlapping hits: chains by window functions, greedy picks inside chains of three or more."""
+"""Overlapping hits: chains by window functions, greedy picks inside chains by an Arrow kernel."""
 
 from __future__ import annotations
 
 import bisect
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,39 +46,79 @@ def islands(df: DataFrame, keys: list[str], *, block: int = BLOCK) -> DataFrame:
     return rows.join(found, spot).withColumn("island", island.cast("long")).drop(*spot, "_carry", "_new", "_offset")
 
 
+#: Kept ranges that stand in one list; longer ones are cut in two, so that a long chain costs no more a range than a short one.
+_RUN = 1000
+
+
 def greedy(ranges: Iterable[tuple[int, int]]) -> Iterator[int]:
     """The places of the closed ranges that overlap none kept before them."""
-    starts, ends = [], []
+    firsts, runs = [], []  # kept ranges don't overlap, so starts and ends have one order
     for i, (s, e) in enumerate(ranges):
+        c = max(0, bisect.bisect_right(firsts, s) - 1)
+        if not runs:
+            firsts, runs = [s], [([s], [e])]
+            yield i
+            continue
+        starts, ends = runs[c]
         at = bisect.bisect_left(starts, s)
-        if (at == 0 or ends[at - 1] < s) and (at == len(starts) or starts[at] > e):
+        after = starts[at] if at < len(starts) else runs[c + 1][0][0] if c + 1 < len(runs) else None
+        if (at == 0 or ends[at - 1] < s) and (after is None or after > e):
             starts.insert(at, s)
             ends.insert(at, e)
+            firsts[c] = starts[0]
+            if len(starts) > _RUN:
+                half = len(starts) // 2
+                runs[c : c + 1] = [(starts[:half], ends[:half]), (starts[half:], ends[half:])]
+                firsts[c : c + 1] = [starts[0], starts[half]]
             yield i
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one or more chains, the rows kept: by priority, then arrival, unless they overlap a kept one."""
-    keep = []
-    for _, chain in pdf.groupby("_chain", sort=False):
-        chain = chain.sort_values(["_priority", "arrival"], ascending=[False, True], kind="stable")
-        keep += [chain.index[i] for i in greedy(zip(chain["start"], chain["end"], strict=True))]
-    return pdf.loc[keep]
+def _greedy_kernel(keys: list[str]):
+    """All rows of one or more chains -> those kept: by priority, then arrival, unless they overlap a kept one."""
+
+    def kernel(t: pa.Table) -> pa.Table:
+        codes = [t.column(k).combine_chunks().dictionary_encode(null_encoding="encode") for k in keys]
+        codes = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices.to_numpy(zero_copy_only=False) for c in codes]
+        codes.append(t.column("island").to_numpy())
+        by = np.lexsort((t.column("arrival").to_numpy(), -t.column("_priority").to_numpy().astype(np.float64), *codes))
+        new = np.ones(len(by), bool)
+        new[1:] = np.any([c[by[1:]] != c[by[:-1]] for c in codes], axis=0)
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(by)))
+        # of two that make a chain only the first stays
+        keep, long = [first[size <= 2]], size > 2
+        start, end = t.column("start").to_numpy()[by], t.column("end").to_numpy()[by]
+        for lo, n in zip(first[long].tolist(), size[long].tolist(), strict=True):
+            keep.append(lo + np.fromiter(greedy(zip(start[lo : lo + n].tolist(), end[lo : lo + n].tolist(), strict=True)), np.int64))
+        return t.take(pa.array(by[np.concatenate(keep)]))
+
+    return kernel
 
 
 def dedup(df: DataFrame, how: Column, *, keys: list[str] = ("strand", "motif", "seq_name")) -> DataFrame:
-    """The rows kept (``start``, ``end`` closed, ``arrival`` the order of coming).
+    """The rows kept (``start``, ``end`` closed, ``arrival`` the order of coming): chains are dealt out by hash, some thousands to a task."""
+    keys = list(keys)
+    rows = islands(df.withColumn("_priority", how), keys)
+    buckets = F.pmod(F.xxhash64(*keys, "island"), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
+    marked = rows.withColumn("_bucket", buckets)
+    return marked.groupBy("_bucket").applyInArrow(_greedy_kernel(keys), marked.schema).select(*df.columns)
+
+
+def by_closing(df: DataFrame, keys: list[str] = ("strand", "motif", "seq_name")) -> DataFrame:
+    """The order in which a reader of sorted ranges settles chains: as a later start of its key closes each, open ones at the end by the key's first row; column ``rank`` from 0.
 
-    Chains of one row are kept and those of two decided by window functions;
-    only longer ones go to the kernel, some thousands of chains to a group.
+    A chain is closed by the arrival of its key's next chain; the key's last one
+    stays open to the end.  Within a chain rows come by arrival.  One order
+    over all rows, which is what a text file of them has.
     """
     keys = list(keys)
-    names = df.columns
-    chain = Window.partitionBy(*keys, "island")
-    rows = islands(df.withColumn("_priority", how), keys).withColumn("_n", F.count(F.lit(1)).over(chain))
-    first = F.row_number().over(chain.orderBy(F.desc("_priority"), "arrival"))
-    easy = rows.filter("_n <= 2").withColumn("_first", first).filter("_first = 1").select(*names)
-    hard = rows.filter("_n > 2").withColumn("_chain", F.xxhash64(*keys, "island")).drop("_n", "island")
-    buckets = F.pmod(F.col("_chain"), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
-    picked = hard.withColumn("_bucket", buckets).groupBy("_bucket").applyInPandas(_greedy, hard.withColumn("_bucket", buckets).schema)
-    return easy.unionByName(picked.select(*names))
+    rows = islands(df, keys)
+    key = Window.partitionBy(*keys)
+    chains = rows.groupBy(*keys, "island").agg(F.min("arrival").alias("_first")).withColumns({"_closed": F.lead("_first").over(key.orderBy("island")), "_key": F.min("_first").over(key)})
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "island"]]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    placed = rows.alias("r").join(chains.alias("c"), on).select("r.*", F.col("c._closed"), F.col("c._key"))
+    order = Window.orderBy(F.col("_closed").isNull(), "_closed", "_key", "arrival")
+    return placed.withColumn("rank", F.row_number().over(order) - 1).drop("_closed", "_key", "island")

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import spread
 from ..model import Motif
 
 _FROM, _TO = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -25,7 +26,7 @@ PVALUE = 1e-3
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def motifs() -> list[Motif]:
@@ -33,10 +34,10 @@ def motifs() -> list[Motif]:
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
-    """``seq_num, name, comment, seq`` of all documents."""
+    """``seq_num, name, comment, seq`` of all documents; the explode keeps Spark from working the sequence out at each use of it."""
     t = table(spark, d, "documents")
     seq = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), _FROM, _TO)
-    return t.select(F.col("doc_id").alias("seq_num"), F.col("doc_id").cast("string").alias("name"), F.col("lang").alias("comment"), seq.alias("seq"))
+    return t.select(F.col("doc_id").alias("seq_num"), F.col("doc_id").cast("string").alias("name"), F.col("lang").alias("comment"), F.explode(F.array(seq)).alias("seq"))
 
 
 def ranges(spark: SparkSession, d: str) -> DataFrame:

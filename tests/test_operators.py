@@ -62,6 +62,25 @@ def test_dedup_against_loop(spark):
         assert got == slow_dedup(rows)
 
 
+def test_greedy_over_many_runs(monkeypatch):
+    rng = random.Random(25)
+    rows = [(a := rng.randint(0, 3000), a + rng.randint(0, 6)) for _ in range(2000)]
+    kept = []
+    for i, (s, e) in enumerate(rows):
+        if all(s > rows[j][1] or e < rows[j][0] for j in kept):
+            kept.append(i)
+    for run in (4, 1000):
+        monkeypatch.setattr(dedup, "_RUN", run)
+        assert list(dedup.greedy(rows)) == kept
+
+
+def test_order_of_closing_chains(spark):
+    rows = [("a", 1, 5, 0), ("b", 1, 9, 1), ("a", 4, 8, 2), ("a", 20, 25, 3), ("b", 30, 31, 4), ("a", 40, 41, 5)]
+    got = dedup.by_closing(spark.createDataFrame(rows, "seq_name string, start long, end long, arrival long"), ["seq_name"]).orderBy("rank")
+    # a's first chain closes at 3, b's at 4, a's second at 5; then what is open, a before b
+    assert [r["arrival"] for r in got.collect()] == [0, 2, 1, 3, 5, 4]
+
+
 def test_islands_do_not_depend_on_blocks(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["a", "a", "a", "b", None]), a := rng.randint(-20, 900), a + rng.choice([0, 3, 10, 150]), i) for i in range(150)]
