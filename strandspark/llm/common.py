@@ -2,41 +2,34 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir, spread
+
 #: The bytes that part words, and the pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, in a local session alone, one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="strandspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 #: Paths that ``saved`` has written and ``discard`` has not removed.
 _WRITTEN: list[str] = []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(spark: SparkSession, since: int = 0) -> None:
-    """Removes what ``saved`` has written since (a former ``len(_WRITTEN)``): for when nothing that reads it is left to run."""
+    """Removes what ``saved`` has written since a former ``written()``: for when nothing that reads it is left to run."""
     for path in _WRITTEN[since:]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove(spark, path)
     del _WRITTEN[since:]
 
 

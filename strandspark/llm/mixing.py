@@ -57,8 +57,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
 
     Null or empty texts have size 0 and are never taken; null ids draw the key
     of an empty id; repeated rows are documents of their own, ties in the order
-    of (key, id, size); an empty table gives no rows; other columns are ignored
-    unless named in ``keep``.
+    of (key, id, size); very long texts are counted whole; an empty table gives
+    no rows; other columns, whatever their names, are ignored unless named in ``keep``.
     """
     text = F.col(text_col)
     slim = saved(
@@ -83,12 +83,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself, all columns kept: each document's row once for each whole copy taken, the last one if half of it or more is taken."""
     names = docs.columns
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col), F.lit(-1)), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    keyed = docs.withColumns({"_id": F.col(id_col), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     got = mix(keyed, id_col=id_col, text_col=text_col, keep=["_id", "_key"], **options).filter("size > 0")
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    total = got.groupBy("_id", "_key").agg(F.sum(copies).alias("_copies")).filter("_copies > 0")
+    total = got.groupBy(F.col("_id").alias("_doc"), F.col("_key").alias("_text")).agg(F.sum(copies).alias("_copies")).filter("_copies > 0")
     # rows of one id and text are the same document again: the first gives all of their copies
-    one = keyed.join(total, ["_id", "_key"]).withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))).filter("_row = 1")
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text"))
+    one = keyed.join(total, same).withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))).filter("_row = 1")
     return one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*names)
 
 

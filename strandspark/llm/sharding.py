@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import dealt_join, running_before, saved, table
 
 #: Rows in a block of the running sums, about.
-BLOCK = 1000
+BLOCK = 250
 #: Hubs of more rows than a shard's quota over this are placed one by one, at most so many a shard.
 LARGE = 64
 #: Whole hubs of a size, and their sizes, that can change places with cut ones; cut hubs mended so, at most.

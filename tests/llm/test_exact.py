@@ -267,6 +267,9 @@ def test_mixing(spark):
         whole = min(r["taken"] // r["size"] for r in x if r["size"]) if any(r["size"] for r in x) else 0
         assert all(r["taken"] <= (whole + 1) * r["size"] for r in x)
     assert mixing.mix(spark.createDataFrame([], TABLE)).collect() == []
+    nulls = [(None, "a b c", "en", "a", 5), (-1, "a b c", "en", "a", 5), (None, "d e", "en", "a", 3)]
+    every = mixing.mixed(spark.createDataFrame(nulls, TABLE).withColumns({"_doc": F.lit(1), "_text": F.lit("x")}), shares=(1,)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, every), key=repr) == sorted([(i, t) for i, t, *_ in nulls], key=repr)
     out = mixing.mixed(spark.createDataFrame(rows, TABLE))
     assert out.columns == TABLE.replace(" long", "").replace(" string", "").split(", ") and out.count() > 0
 

@@ -281,6 +281,165 @@ def test_neighbours_of_vectors_of_any_length_in_parts(spark, monkeypatch):
         assert [found[i][1] for i in range(1, 6)] == pytest.approx(np.sort(s)[::-1][:5])
 
 
+TABLE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def stage_rows(df):
+    return sorted(((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A small corpus with planted cases and odd rows, its folder, and what each case is."""
+    rng = random.Random(31)
+    plain = [f"word{i}" for i in range(300)]
+    prose = lambda n: " ".join(rng.choice(plain) + ("." if rng.random() < 0.1 else "") for _ in range(n))
+    rows, toxic, items = [], {}, [(i, prose(25)) for i in range(6)] + [(90, None), (91, "")]
+    add = lambda text, source=None: rows.append((len(rows), text, "en", source or rng.choice(["a", "b", "c"]), len(text or ""))) or len(rows) - 1
+    for i in range(500):
+        bad = i % 4 == 0
+        text = prose(rng.randint(20, 120))
+        if bad:
+            w = text.split()
+            w[rng.randrange(len(w))] = rng.choice(["foulness", "vilest", "vile"])
+            text = " ".join(w)
+        toxic[add(text)] = int(bad)
+    near, leaks = [], []
+    for _ in range(20):
+        text = prose(150)
+        group = [add(text), add(text)]
+        w = text.split()
+        w[70] = "changed"
+        group.append(add(" ".join(w)))
+        near.append(group)
+    for i in range(6):
+        leaks.append(add(prose(60) + " " + items[i][1] + " " + prose(40)))
+    odd = [(None, prose(30), None, None, None), (None, None, None, None, None), (2000, "", "en", "a", 0), (2001, None, "en", "b", None), (2002, " \n ", "en", None, 3), rows[7], rows[7], (2003, prose(20_000), "en", "c", 1)]
+    d = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame(rows + odd, TABLE).coalesce(1).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in toxic.items()] + [(5, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d, rows + odd, toxic, near, leaks, [t for _, t in items if t]
+
+
+def shingles5(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_stages_against_brute_force(spark, corpus):
+    import corpus_pipeline
+    from collections import Counter
+
+    from strandspark.llm import common, mixing
+
+    d, rows, toxic, near, leaks, items = corpus
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "mixing", "sharding"]
+    docs = common.table(spark, d, "documents")
+    # toxicity: the rows whose score by the sentences, one by one, is below a half; nearly all planted ones go
+    model = toxicity.trained(docs, common.table(spark, d, "labels"))
+    new = stages["toxicity"](spark, docs, d)
+    assert new.columns == docs.columns
+
+    def slow_score(text):
+        keep = 1.0
+        for a, b in toxicity.sentences(text or ""):
+            s = text[a:b].lower()
+            z = model.bias + sum(w for f, w in zip(model.words, model.weights) if f in toxicity.features(s))
+            keep *= 1 - 1 / (1 + np.exp(-z))
+        return 1 - keep
+
+    left = stage_rows(new)
+    assert left == sorted((r for r in rows if slow_score(r[1]) < 0.5), key=repr)
+    ids = {r[0] for r in left}
+    assert np.mean([i not in ids for i, t in toxic.items() if t]) > 0.9 and np.mean([i in ids for i, t in toxic.items() if not t]) > 0.97
+    # near copies: one row of each class, that of the smallest id
+    docs = spark.createDataFrame(left, TABLE)
+    got = stage_rows(stages["ngram_jaccard_join"](spark, docs, d))
+    sets, kept = [shingles5(r[1]) for r in left], []
+    up = list(range(len(left)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(left)):
+        for j in range(i):
+            if sets[i] == sets[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                up[root(i)] = root(j)
+    groups = {}
+    for i, r in enumerate(left):
+        groups.setdefault(root(i), []).append(r)
+    assert len(got) == len(groups) and all(sum(x in g for x in set(got)) == 1 for g in groups.values())
+    for g in groups.values():
+        least = min((r[0] for r in g if r[0] is not None), default=None)
+        kept += [r for r in set(got) if r in g and r[0] == least]
+    assert sorted(kept, key=repr) == got
+    assert all(sum(i in {r[0] for r in got} for i in g) == 1 for g in near if all(i in ids for i in g))
+    # decontamination: documents that hold no item go on, all others too
+    docs = spark.createDataFrame(got, TABLE)
+    new = stage_rows(stages["benchmark_decontamination"](spark, docs, d))
+    assert new == [r for r in got if not any(len(shingles5(r[1]) & shingles5(t)) >= 0.8 * len(shingles5(t)) for t in items)]
+    assert not {r[0] for r in new} & set(leaks)
+    # mixing: each row as often as the words that the mix takes of it, rounded, say
+    docs = spark.createDataFrame(new, TABLE)
+    taken = {}
+    for r in mixing.mix(docs.withColumn("_t", F.coalesce("text", F.lit(""))), keep=["_t"]).collect():
+        if r["size"]:
+            taken[r["doc_id"], r["_t"]] = (2 * r["taken"] + r["size"]) // (2 * r["size"])
+    mixed = stage_rows(stages["mixing"](spark, docs, d))
+    assert Counter((r[0], r[1]) for r in mixed) == Counter({k: n for k, n in taken.items() if n}) and set(mixed) <= set(new)
+    # shards: every row of the mix, counts at most one apart, slots gapless
+    docs = spark.createDataFrame(mixed, TABLE)
+    out = stages["sharding"](spark, docs, d).collect()
+    sizes = Counter(r["shard"] for r in out)
+    assert sorted((r["doc_id"] for r in out), key=repr) == sorted((r[0] for r in mixed), key=repr) and max(sizes.values()) - min(sizes.get(s, 0) for s in range(16)) <= 1
+    assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
+    # and the whole of it
+    whole = corpus_pipeline.run(spark, d).collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in whole if r["doc_id"] is not None) == sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in out if r["doc_id"] is not None)
+
+
+def test_pipeline_stages_over_an_empty_table(spark, corpus):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], TABLE)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, corpus[0]).count() == 0
+
+
+def test_gradient_of_the_noisy_or():
+    """The weights after one small step lie along the slopes of the likelihood, by differences."""
+    rng = np.random.default_rng(3)
+    docs = [[sorted(set(rng.integers(0, 4, rng.integers(1, 3)).tolist())) for _ in range(rng.integers(0, 3))] for _ in range(30)]
+    n = np.array([len(d) + rng.integers(0, 2) for d in docs])
+    label = rng.integers(0, 2, 30)
+    per_doc, per_sentence = np.array([len(d) for d in docs]), np.array([len(s) for d in docs for s in d])
+    col = np.array([w for d in docs for s in d for w in s])
+
+    def loss(w, b):
+        total = 0.0
+        for d, m, y in zip(docs, n, label, strict=True):
+            keep = 1.0
+            for s in d:
+                keep *= 1 - 1 / (1 + np.exp(-(b + sum(w[i] for i in s))))
+            keep *= (1 - 1 / (1 + np.exp(-b))) ** (m - len(d))
+            total += toxicity.TOXIC_WEIGHT * np.log(max(1e-12, 1 - keep)) if y else np.log(keep)
+        return total / len(docs)
+
+    w0, b0 = toxicity.fit(per_doc, per_sentence, col, n, label, 4, rounds=40, l2=0.0)
+    w1, b1 = toxicity.fit(per_doc, per_sentence, col, n, label, 4, rounds=400, l2=0.0)
+    assert loss(w1, b1) > loss(w0, b0) > loss(np.zeros(4), -6.0)
+    # at the end no small change of a weight helps
+    for i in range(4):
+        for step in (-0.05, 0.05):
+            w = w1.copy()
+            w[i] += step
+            assert loss(w, b1) < loss(w1, b1) + 1e-4
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
