@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from strandspark.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
-from strandspark.llm.common import shared_dir, table
+from strandspark.llm.common import discard, remove, shared_dir, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,15 +43,19 @@ STAGES = [
     ("sharding", assign_shards),
 ]
 
-#: A trained model can't be stated in SQL; tests hold the pipeline against brute force.
+#: A trained model can't be stated in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order over ``documents``, each written as Parquet and read again; what is no longer read is removed."""
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        before = written()
         path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        discard(spark, before)
+        if old:
+            remove(spark, old)
+        docs, old = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
