@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def boxed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as a struct ``row`` beside other columns, whose names then clash with none of its own; ``row.*`` gives it back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 #: Paths that ``saved`` has written and ``discard`` has not removed.
 _WRITTEN: list[str] = []
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import boxed, saved, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -107,7 +107,8 @@ def pairs(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that contain no item, all columns kept."""
     bad = pairs(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key")), "left_anti")
+    rows = boxed(docs, _id=F.col(id_col), _text=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_text") == F.col("_key")), "left_anti").select("row.*")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -112,11 +112,11 @@ def test_jaccard_join(spark, monkeypatch, block, hot):
     long = [f"c{i}" for i in range(400)]
     rows += [(400 + i, " ".join(long[6 * i : 6 * i + 100])) for i in range(30)]
     rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b\n"), (904, "a"), (None, "a b"), (905, " "), (3, rows[9][1]), (3, rows[3][1]), (3, rows[3][1]), (-1, "minus one"), (None, "no id here"), (None, "no id here"), (None, "nor one here")]
-    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("cls", "rep", "k1", "_key", "band", "m")})
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("cls", "rep", "k1", "_key", "band", "m", "row", "_first")})
     slow = slow_links(rows)
     assert sorted(map(tuple, jaccard_join.linked(df).collect()), key=repr) == sorted((x[:4] for x in slow), key=repr)
     first = jaccard_join.representatives(df)
-    assert first.columns == df.columns
+    assert first.columns == df.columns and first.filter("_key <> 1 or row <> 1").count() == 0
     kept = [(r["doc_id"], r["text"]) for r in first.collect()]
     roots = defaultdict(list)
     for x, row in zip(slow, rows, strict=True):
@@ -240,7 +240,7 @@ def test_decontaminate(spark):
         docs.append((i, " ".join(x + [rng.choice(vocabulary)])))
     docs += [(100, None), (101, ""), (102, "ONE\ttwo"), (103, "x " * 3000), (1, docs[2][1]), (1, docs[2][1]), (None, items[4][1])]
     want = sorted(((d, i, len(shingle_set(t) & shingle_set(u)), len(shingle_set(u))) for d, t in set(docs) for i, u in set(items) if shingle_set(u) and len(shingle_set(t) & shingle_set(u)) >= math.ceil(0.8 * len(shingle_set(u)) - 1e-9)), key=repr)
-    d, b = spark.createDataFrame(docs, DOCS + "").withColumn("item_id", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string")
+    d, b = spark.createDataFrame(docs, DOCS + "").withColumns({c: F.lit("clash") for c in ("item_id", "_bad", "_text", "_key", "h", "row")}), spark.createDataFrame(items, "item_id long, text string")
     assert sorted((tuple(r)[:4] for r in decontaminate.search(d, b).collect()), key=repr) == want
     bad = {(i, t) for i, t in docs for x in want if x[0] == i and len(shingle_set(t) & shingle_set(dict_of(items, x[1], x[3]))) >= x[2]}
     left = decontaminate.clean(d, b)
@@ -268,7 +268,9 @@ def test_mixing(spark):
         assert all(r["taken"] <= (whole + 1) * r["size"] for r in x)
     assert mixing.mix(spark.createDataFrame([], TABLE)).collect() == []
     nulls = [(None, "a b c", "en", "a", 5), (-1, "a b c", "en", "a", 5), (None, "d e", "en", "a", 3)]
-    every = mixing.mixed(spark.createDataFrame(nulls, TABLE).withColumns({"_doc": F.lit(1), "_text": F.lit("x")}), shares=(1,)).select("doc_id", "text").collect()
+    every = mixing.mixed(spark.createDataFrame(nulls, TABLE).withColumns({c: F.lit("x") for c in ("_doc", "_text", "_id", "_key", "row", "size")}), shares=(1,))
+    assert every.filter("_id = 'x' and row = 'x' and size = 'x' and _key = 'x'").count() == 3
+    every = every.select("doc_id", "text").collect()
     assert sorted(map(tuple, every), key=repr) == sorted([(i, t) for i, t, *_ in nulls], key=repr)
     out = mixing.mixed(spark.createDataFrame(rows, TABLE))
     assert out.columns == TABLE.replace(" long", "").replace(" string", "").split(", ") and out.count() > 0
