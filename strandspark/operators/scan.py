@@ -186,13 +186,13 @@ def unit_kernel(motifs: list[Motif], masked: bool, forward: bool):
 
 
 def seq_stats(seqs: DataFrame) -> DataFrame:
-    """``seq_num, seq_name, size, gc_pct, n_count``; gc_pct null where there is no standard base."""
+    """``seq_num, seq_name, size, gc_pct, n_count``; gc_pct 0 where there is no standard base."""
     s = F.col("seq")
-    return seqs.select("seq_num", F.col("name").alias("seq_name"), F.length(s).cast("long").alias("size"), (gc_fraction(s) * 100).alias("gc_pct"), n_count(s).cast("long").alias("n_count"))
+    return seqs.select("seq_num", F.col("name").alias("seq_name"), F.length(s).cast("long").alias("size"), F.coalesce(gc_fraction(s) * 100, F.lit(0.0)).alias("gc_pct"), n_count(s).cast("long").alias("n_count"))
 
 
 def range_stats(seqs: DataFrame, ranges: DataFrame) -> DataFrame:
     """The same for each range."""
     cut = ranges.join(seqs.select(F.col("name").alias("seq_name"), "seq"), "seq_name").withColumn("seq", F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
     s = F.col("seq")
-    return cut.select("range_id", "seq_name", "start", "end", F.length(s).cast("long").alias("size"), (gc_fraction(s) * 100).alias("gc_pct"), n_count(s).cast("long").alias("n_count"))
+    return cut.select("range_id", "seq_name", "start", "end", F.length(s).cast("long").alias("size"), F.coalesce(gc_fraction(s) * 100, F.lit(0.0)).alias("gc_pct"), n_count(s).cast("long").alias("n_count"))

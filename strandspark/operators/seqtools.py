@@ -41,20 +41,24 @@ def subset(seqs: DataFrame, ranges: DataFrame) -> DataFrame:
 def mask(seqs: DataFrame, ranges: DataFrame, *, hard: bool = False) -> DataFrame:
     """Ranges in lower case, or N; strands don't matter, unknown names neither."""
     got = seqs.join(grouped_ranges(ranges).withColumnRenamed("seq_name", "name"), "name", "left")
-    cut = F.transform(F.filter("ranges", lambda r: r["start"] < F.length("seq")), lambda r: F.struct(r["start"].alias("start"), F.least(r["end"], F.length("seq").cast("long")).alias("end")))
-    return got.withColumn("seq", F.when(F.col("ranges").isNull(), F.col("seq")).otherwise(masked(F.col("seq"), cut, hard=hard))).select(*seqs.columns)
+    return got.withColumn("seq", masked(F.col("seq"), F.col("ranges.start"), F.col("ranges.end"), hard=hard)).select(*seqs.columns)
+
+
+def _chance(seed: int):
+    """Twelve hexadecimal digits by seed, number and name: the same in every engine."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("seq_num").cast("string"), F.col("name"))), 1, 12)
 
 
 def reservoir(seqs: DataFrame, n: int, seed: int) -> DataFrame:
     """n sequences, each set as likely as any other; all if there are fewer."""
-    return seqs.withColumn("_r", F.xxhash64(F.lit(seed), "seq_num", "name")).orderBy("_r", "seq_num").limit(n).drop("_r")
+    return seqs.withColumn("_r", _chance(seed)).orderBy("_r", "seq_num", "name").limit(n).drop("_r")
 
 
 def bernoulli(seqs: DataFrame, share: float, seed: int) -> DataFrame:
     """Each sequence with that probability, decided by its number and name alone."""
     if not 0 < share < 1:
         raise MotifError("a share is between 0 and 1")
-    return seqs.filter(F.pmod(F.xxhash64(F.lit(seed), "seq_num", "name"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return seqs.filter(F.conv(_chance(seed), 16, 10).cast("double") < F.lit(share * (1 << 48)))
 
 
 def gc_histogram(seqs: DataFrame, step: float = 0.05) -> DataFrame:
@@ -81,6 +85,39 @@ def unknown_letters(seqs: DataFrame, share: float = 0.01) -> DataFrame:
     return other.crossJoin(F.broadcast(all_)).filter(F.col("n") > F.col("_all") * share).drop("_all")
 
 
+#: Shares of letters that are no standard bases from which on a set is warned of.
+WARNINGS = (0.9, 0.5, 0.1)
+
+
+def checked(seqs: DataFrame, what: str = "the set") -> list[str]:
+    """What is odd about a set of sequences, in words; no sequences, empty ones alone and no standard base at all are errors."""
+    r = composition(seqs).first()
+    if not r["sequences"]:
+        raise MotifError(f"{what} has no sequences")
+    if not r["bases"]:
+        raise MotifError(f"all sequences of {what} are empty")
+    if not r["standard"]:
+        raise MotifError(f"{what} has no standard bases")
+    share = r["other"] / r["bases"]
+    return [f"{share:.1%} of the letters of {what} are no standard bases"] if share >= WARNINGS[-1] else []
+
+
+def check_options(action: str, given) -> None:
+    """Whether an everyday operation can be run with these options (names): those it needs are there, and none that it doesn't know."""
+    needs = {"subset": {"ranges"}, "mask": {"ranges"}, "dup": {"n"}}
+    knows = {"subset": {"ranges"}, "mask": {"ranges", "hard"}, "dup": {"n"}, "subsample": {"n", "share", "seed"}, "hist": {"step"}, "format": {"width"}}
+    plain = {"stats", "rc", "rna", "dna", "composition"}
+    given = set(given)
+    if action not in plain | set(knows):
+        raise MotifError(f"no such operation: {action}")
+    if missing := needs.get(action, set()) - given:
+        raise MotifError(f"{action} needs {', '.join(sorted(missing))}")
+    if unknown := given - knows.get(action, set()):
+        raise MotifError(f"{action} doesn't know {', '.join(sorted(unknown))}")
+    if action == "subsample" and len(given & {"n", "share"}) != 1:
+        raise MotifError("subsample takes either n or share")
+
+
 def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
     """``name, kmer, n`` over ACGTN (upper case, U as T, all other letters N)."""
     up = F.translate(F.upper("seq"), "U", "T")

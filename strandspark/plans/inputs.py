@@ -40,6 +40,16 @@ def seqs(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("doc_id").alias("seq_num"), F.col("doc_id").cast("string").alias("name"), F.col("lang").alias("comment"), F.explode(F.array(seq)).alias("seq"))
 
 
+#: The same with unknown, ambiguous and lower-case letters and U for the rarer ones.
+_MIXED = "ACGTNcgUacNTACGTnCGTAutRaU"
+
+
+def mixed(spark: SparkSession, d: str) -> DataFrame:
+    """``seq_num, name, comment, seq`` of all documents, over more letters than ACGT; texts without letters are empty sequences."""
+    seq = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), _FROM, _MIXED)
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_num"), F.col("doc_id").cast("string").alias("name"), F.col("lang").alias("comment"), F.explode(F.array(seq)).alias("seq"))
+
+
 def ranges(spark: SparkSession, d: str) -> DataFrame:
     """A range of each sequence of one letter or more, by its number and length."""
     n = F.length("seq").cast("long")
@@ -62,6 +72,11 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
 
 SEQS = f"""seqs AS (SELECT doc_id AS seq_num, doc_id::VARCHAR AS name, lang AS comment,
   translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{_FROM}', '{_TO}') AS seq FROM documents)"""
+MIXED = f"""seqs AS (SELECT doc_id AS seq_num, doc_id::VARCHAR AS name, lang AS comment,
+  translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{_FROM}', '{_MIXED}') AS seq FROM documents)"""
+#: The same as plain letters: U as T, what is no standard base N; of a masked set lower case is N too.
+PLAIN = MIXED.replace("seqs AS", "mixed AS") + ", seqs AS (SELECT seq_num, name, comment, regexp_replace(replace(upper(seq), 'U', 'T'), '[^ACGT]', 'N', 'g') AS seq FROM mixed)"
+MASKED = MIXED.replace("seqs AS", "mixed AS") + ", seqs AS (SELECT seq_num, name, comment, regexp_replace(replace(seq, 'U', 'T'), '[^ACGT]', 'N', 'g') AS seq FROM mixed)"
 RANGES = """ranges AS (SELECT seq_num AS range_id, name AS seq_name, (seq_num * 7) % length(seq) AS start,
   least((seq_num * 7) % length(seq) + 20 + seq_num % 180, length(seq))::BIGINT AS "end",
   CASE WHEN seq_num % 2 = 0 THEN '.' ELSE 'r' || seq_num END AS name, (['+', '-', '.'])[(seq_num % 3 + 1)::INT] AS strand FROM seqs WHERE length(seq) > 0)"""
@@ -79,7 +94,7 @@ def rc_sql(x: str) -> str:
 #: Distinct windows with their scores on both strands, and where they stand.
 HITS = f"""win AS (SELECT seq_num, name, unnest(range(1, length(seq) - {WIDTH - 2})) AS start, seq FROM seqs WHERE length(seq) >= {WIDTH}),
 w AS (SELECT name AS seq_name, start, substr(seq, start, {WIDTH}) AS match FROM win),
-kinds AS (SELECT DISTINCT match FROM w),
+kinds AS (SELECT DISTINCT match FROM w WHERE NOT contains(match, 'N')),
 scored AS (SELECT k.match, c.motif, sum(CASE WHEN substr(k.match, c.pos + 1, 1) = c.base THEN c.s END)::BIGINT AS plus, sum(CASE WHEN substr({rc_sql("k.match")}, c.pos + 1, 1) = c.base THEN c.s END)::BIGINT AS minus FROM kinds k, cells c GROUP BY 1, 2),
 tops AS (SELECT motif, sum(m)::BIGINT AS top FROM (SELECT motif, pos, max(s) AS m FROM cells GROUP BY 1, 2) GROUP BY 1),
 sides AS (SELECT match, motif, '+' AS strand, plus AS s FROM scored UNION ALL SELECT match, motif, '-', minus FROM scored),

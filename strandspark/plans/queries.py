@@ -13,8 +13,8 @@ from ..operators import compare as cmp
 from ..operators import dedup, discover, enrich, post, scan, seed, seqtools, shuffle
 from ..operators.convert import convert
 from ..sources.motifs import write_meme
-from ..sources.sequences import fasta_text, hit_text
-from .inputs import CELLS, HITS, INTERVALS, PMF, PPMS, PVALUE, RANGES, SEQS, WIDTH, intervals, labelled, motifs, ranges, rc_sql, seqs, table
+from ..sources.sequences import fasta_text, hit_headers, hit_text
+from .inputs import CELLS, HITS, INTERVALS, MASKED, MIXED, PLAIN, PMF, PPMS, PVALUE, RANGES, SEQS, WIDTH, intervals, labelled, mixed, motifs, ranges, rc_sql, seqs, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -40,7 +40,7 @@ def _rounded(df: DataFrame, **digits) -> DataFrame:
 
 # sequences
 
-_GC = "CASE WHEN length(seq) > 0 THEN round(100.0 * (length(seq) - length(translate(seq, 'GC', ''))) / length(seq), 9) END AS gc_pct"
+_GC = "CASE WHEN length(seq) > 0 THEN round(100.0 * (length(seq) - length(translate(seq, 'GC', ''))) / length(seq), 9) ELSE 0.0 END AS gc_pct"
 
 
 @query(f"WITH {SEQS} SELECT seq_num, name AS seq_name, length(seq)::BIGINT AS size, {_GC}, 0::BIGINT AS n_count FROM seqs")
@@ -128,6 +128,65 @@ def range_stats(spark, d):
     return _rounded(scan.range_stats(seqs(spark, d), ranges(spark, d)), gc_pct=9)
 
 
+# sequences of more letters than ACGT
+
+_KNOWN = "(length(seq) - length(translate(seq, 'ACGTUacgtu', '')))"
+
+
+@query(f"WITH {MIXED} SELECT seq_num, name AS seq_name, length(seq)::BIGINT AS size, round(CASE WHEN {_KNOWN} > 0 THEN 100.0 * (length(seq) - length(translate(seq, 'GCgc', ''))) / {_KNOWN} ELSE 0.0 END, 9) AS gc_pct, (length(seq) - {_KNOWN})::BIGINT AS n_count FROM seqs")
+def mixed_stats(spark, d):
+    return _rounded(scan.seq_stats(mixed(spark, d)), gc_pct=9)
+
+
+@query(f"WITH {MIXED} SELECT seq_num, reverse(translate(seq, 'ACGTUacgtuRYKMBVDHrykmbvdh', 'TGCAAtgcaaYRMKVBHDyrmkvbhd')) AS seq FROM seqs")
+def mixed_rc(spark, d):
+    return seqtools.reverse_complement(mixed(spark, d)).select("seq_num", "seq")
+
+
+@query(f"WITH {MIXED} SELECT seq_num, replace(replace(seq, 'U', 'T'), 'u', 't') AS seq FROM seqs")
+def mixed_dna(spark, d):
+    return seqtools.dna(mixed(spark, d)).select("seq_num", "seq")
+
+
+@query(f"WITH {MIXED} SELECT seq_num, replace(replace(seq, 'T', 'U'), 't', 'u') AS seq FROM seqs")
+def mixed_rna(spark, d):
+    return seqtools.rna(mixed(spark, d)).select("seq_num", "seq")
+
+
+@query(f"WITH {MIXED} SELECT count(*)::BIGINT AS sequences, sum(length(seq))::BIGINT AS bases, sum({_KNOWN})::BIGINT AS standard, sum(length(seq) - {_KNOWN})::BIGINT AS other, sum(length(seq) - length(translate(seq, 'GCgc', '')))::BIGINT AS gc, sum(length(regexp_replace(seq, '[^a-z]', '', 'g')))::BIGINT AS soft_masked, sum(length(regexp_replace(seq, '[^N]', '', 'g')))::BIGINT AS hard_masked FROM seqs")
+def mixed_composition(spark, d):
+    return seqtools.composition(mixed(spark, d))
+
+
+@query(f"WITH {PLAIN} SELECT name, substr(seq, i, 3) AS kmer, count(*)::BIGINT AS n FROM (SELECT name, seq, unnest(range(1, length(seq) - 1)) AS i FROM seqs WHERE length(seq) >= 3) GROUP BY 1, 2")
+def mixed_kmer_counts(spark, d):
+    return seqtools.kmer_counts(mixed(spark, d), 3)
+
+
+@query(f"WITH {PLAIN} SELECT name, substr(seq, i, 2) AS kmer, count(*)::BIGINT AS n FROM (SELECT name, seq, unnest(range(1, length(seq))) AS i FROM seqs WHERE length(seq) >= 2) WHERE substr(seq, i, 2) NOT LIKE '%N%' GROUP BY 1, 2")
+def mixed_kmer_standard_only(spark, d):
+    return post.standard_kmers_only(seqtools.kmer_counts(mixed(spark, d), 2))
+
+
+@query(f"WITH {PLAIN} SELECT kmer, count(DISTINCT name)::BIGINT AS n_seqs FROM (SELECT name, least(substr(seq, i, 6), {rc_sql('substr(seq, i, 6)')}) AS kmer FROM (SELECT name, seq, unnest(range(1, length(seq) - 4)) AS i FROM seqs WHERE length(seq) >= 6) WHERE substr(seq, i, 6) NOT LIKE '%N%') GROUP BY 1")
+def mixed_kmer_presence(spark, d):
+    return discover.kmer_presence(mixed(spark, d), 6)
+
+
+def _mixed_hits_sql(letters):
+    return f"WITH {letters}, {CELLS}, {PMF}, {HITS} SELECT h.seq_name, h.start, h.strand, h.motif, h.score_i, substr(m.seq, h.start, 6) AS match FROM hits h JOIN mixed m ON m.name = h.seq_name"
+
+
+@query(_mixed_hits_sql(PLAIN))
+def mixed_scan_hits(spark, d):
+    return scan.scan(mixed(spark, d), _ready()).select("seq_name", "start", "strand", "motif", "score_i", "match")
+
+
+@query(_mixed_hits_sql(MASKED))
+def mixed_scan_masked(spark, d):
+    return scan.scan(mixed(spark, d), _ready(), masked=True).select("seq_name", "start", "strand", "motif", "score_i", "match")
+
+
 # motifs: small tables, computed on the driver as the operators do
 
 
@@ -310,9 +369,23 @@ _sorted("hits_sort_motif", post.sort_motif, 'motif, seq_name, start, "end", stra
 _sorted("hits_sort_pval", post.sort_pval, "pvalue, score DESC, seq_name, start, motif, strand")
 
 
-@query()
+# the percentage is left out: languages round halves to one digit in different ways
+@query(f"""WITH {SEQS}, {CELLS}, {PMF}, {HITS} SELECT concat_ws(chr(9), seq_name, start, "end", strand, motif, printf('%.9g', pvalue), printf('%.3f', score), match) AS value FROM hits""")
 def hits_text(spark, d):
-    return hit_text(scan.scan(seqs(spark, d), _ready()))
+    return hit_text(scan.scan(seqs(spark, d), _ready())).select(F.regexp_replace("value", r"\t[^\t]*(\t[^\t]*)$", "$1").alias("value"))
+
+
+_HEAD = """printf('##MotifCount=3 MotifSize=18%s SeqCount=%d SeqSize=%d GC=%.2f%% Ns=%d%s', BED, count(*), sum(length(seq))::BIGINT, 100.0 * sum(length(seq) - length(translate(seq, 'GCgc', ''))) / sum({known}), sum(length(seq) - {known})::BIGINT, ROOM)""".replace("{known}", _KNOWN)
+
+
+@query(f"WITH {MIXED}, h AS (SELECT {_HEAD.replace('BED', chr(39) * 2).replace('ROOM', chr(39) + ' MaxPossibleHits=' + chr(39) + ' || sum(6 * greatest(length(seq) - 5, 0))::BIGINT')} AS v FROM seqs) SELECT 0 AS line, '##strandspark [ ]' AS value UNION ALL SELECT 1, v FROM h UNION ALL SELECT 2, '##seq_name' || chr(9) || replace('start end strand motif pvalue score score_pct match', ' ', chr(9))")
+def hits_headers(spark, d):
+    return hit_headers(mixed(spark, d), [m.width for m in motifs()])
+
+
+@query(f"""WITH {SEQS}, {RANGES}, b AS (SELECT ' BedCount=' || count(*) || ' BedSize=' || sum("end" - start)::BIGINT AS v FROM ranges), h AS (SELECT {_HEAD.replace('BED', '(SELECT v FROM b)').replace('ROOM', chr(39) * 2)} AS v FROM seqs) SELECT 0 AS line, '##strandspark [ -x ]' AS value UNION ALL SELECT 1, v FROM h UNION ALL SELECT 2, '##bed_range' || chr(9) || replace('bed_name seq_name start end strand motif pvalue score score_pct match', ' ', chr(9))""")
+def hits_headers_ranges(spark, d):
+    return hit_headers(seqs(spark, d), [m.width for m in motifs()], ranges=ranges(spark, d), options="-x")
 
 
 # deduplication
@@ -446,7 +519,28 @@ def refine_motifs(spark, d):
 def discover_motifs(spark, d):
     x = labelled(spark, d)
     found = discover.discover(x.filter("positive"), x.filter("not positive"))
-    return discover.discovered_frame(spark, found, 0, 0)
+    return discover.discovered_frame(spark, found)
+
+
+@query()
+def discover_motifs_shuffled_null(spark, d):
+    return discover.discovered_frame(spark, discover.discover(labelled(spark, d).filter("positive")))
+
+
+@query(f"WITH {SEQS}, lab AS (SELECT s.name, s.seq FROM seqs s JOIN labels l ON l.doc_id = s.seq_num WHERE l.quality = 1) SELECT name, substr(seq, i, 2) AS kmer, count(*)::BIGINT AS n FROM (SELECT name, seq, unnest(range(1, length(seq))) AS i FROM lab WHERE length(seq) >= 2) GROUP BY 1, 2")
+def enrich_null_kmers(spark, d):
+    """The shuffled negatives have the positives' k-mers."""
+    null = enrich.with_null(labelled(spark, d).filter("positive").drop("positive")).filter("not positive")
+    return seqtools.kmer_counts(null.withColumnRenamed("unit", "name"), 2)
+
+
+@query(f"""WITH {SEQS}, {CELLS}, {PMF}, {HITS}, lab AS (SELECT s.name, s.seq FROM seqs s JOIN labels l ON l.doc_id = s.seq_num WHERE l.quality = 1)
+SELECT t.motif, count(DISTINCT h.seq_name)::BIGINT AS pos_seq_hits, count(h.start)::BIGINT AS pos_site_hits, (SELECT count(*) FROM lab)::BIGINT AS pos_n, (SELECT count(*) FROM lab)::BIGINT AS neg_n, (SELECT sum(2 * greatest(length(seq) - 5, 0)) FROM lab)::BIGINT AS neg_positions
+FROM tops t LEFT JOIN (SELECT hits.* FROM hits JOIN lab ON lab.name = hits.seq_name) h ON h.motif = t.motif GROUP BY 1""")
+def enrich_shuffled_null(spark, d):
+    """Without negatives: as many shuffles as positives, of the same sizes."""
+    e = enrich.enrich(labelled(spark, d).filter("positive").drop("positive"), _ready(), q=1.0)
+    return e.select("motif", "pos_seq_hits", "pos_site_hits", "pos_n", "neg_n", "neg_positions")
 
 
 # comparison and conversion
@@ -488,26 +582,47 @@ def convert_motifs(spark, d):
     return _frame(spark, [(f, convert(text, f)) for f in ("meme", "jaspar", "homer", "hocomoco")], "format string, text string")
 
 
-# random operators: rows only
+# random operators: what every shuffle keeps
 
-@query()
+
+def _kept_sql(head, more, source=SEQS):
+    letters = ", ".join(f"(length(seq) - length(replace(seq, '{x}', '')))::INT AS n_{x.lower()}" for x in more)
+    return f"WITH {source} SELECT name, length(seq)::INT AS n, {head}, {letters} FROM seqs WHERE length(seq) >= 6"
+
+
+def _kept(df, *columns, of):
+    return df.select("name", F.length("seq").alias("n"), *columns, *[(F.length("seq") - F.length(F.replace(F.col("seq"), F.lit(x)))).alias(f"n_{x.lower()}") for x in of])
+
+
+#: Three-letter strings that can't overlap themselves: what goes with them tells how often they occur.
+_TRIPLES = ("A", "C", "G", "T", "ACG", "CGT", "TGA", "CCT", "GTA", "AAC")
+
+
+@query(_kept_sql("substr(seq, 1, 2) AS head, right(seq, 2) AS tail", _TRIPLES))
 def shuffle_euler(spark, d):
-    return shuffle.shuffle(seqs(spark, d), 3)
+    return _kept(shuffle.shuffle(seqs(spark, d), 3), F.substring("seq", 1, 2).alias("head"), F.right("seq", F.lit(2)).alias("tail"), of=_TRIPLES)
 
 
-@query()
+@query(f"WITH {SEQS} SELECT name, length(seq)::INT AS n, substr(seq, 1, 2) AS head FROM seqs WHERE length(seq) >= 6")
 def shuffle_markov(spark, d):
-    return shuffle.shuffle(seqs(spark, d), 3, method="markov")
+    return _kept(shuffle.shuffle(seqs(spark, d), 3, method="markov"), F.substring("seq", 1, 2).alias("head"), of=())
 
 
-@query()
+@query(_kept_sql("substr(seq, length(seq) - length(seq) % 3 + 1) AS tail, md5(array_to_string(list_sort(regexp_extract_all(seq, '.{3}')), '')) AS blocks", "ACGT"))
 def shuffle_linear(spark, d):
-    return shuffle.shuffle(seqs(spark, d), 3, method="linear")
+    blocks = F.md5(F.array_join(F.array_sort(F.regexp_extract_all("seq", F.lit("(.{3})"), F.lit(1))), ""))
+    return _kept(shuffle.shuffle(seqs(spark, d), 3, method="linear"), F.expr("substring(seq, length(seq) - length(seq) % 3 + 1)").alias("tail"), blocks.alias("blocks"), of="ACGT")
 
 
-@query()
+_INSIDE = 'substr(s.seq, r.start + 1, r."end" - r.start)'
+
+
+@query(f"""WITH {SEQS}, {RANGES} SELECT s.name, md5(substr(s.seq, 1, r.start)) AS before, md5(substr(s.seq, r."end" + 1)) AS after, left({_INSIDE}, 1) AS first, right({_INSIDE}, 1) AS last, (length({_INSIDE}) - length(replace({_INSIDE}, 'CG', '')))::INT AS cg FROM seqs s JOIN ranges r ON r.seq_name = s.name""")
 def shuffle_ranges(spark, d):
-    return shuffle.shuffle(seqs(spark, d), 2, ranges=ranges(spark, d))
+    r = ranges(spark, d)
+    got = shuffle.shuffle(seqs(spark, d), 2, ranges=r).join(r.select(F.col("seq_name").alias("name"), "start", "end"), "name")
+    inside = F.expr("substring(seq, int(start) + 1, int(end - start))")
+    return got.select("name", F.md5(F.expr("substring(seq, 1, int(start))")).alias("before"), F.md5(F.expr("substring(seq, int(end) + 1)")).alias("after"), F.left(inside, F.lit(1)).alias("first"), F.right(inside, F.lit(1)).alias("last"), (F.length(inside) - F.length(F.replace(inside, F.lit("CG")))).alias("cg"))
 
 
 @query()
@@ -526,12 +641,12 @@ def seed_at_ranges(spark, d):
     return seed.truth(seed.plant_at(seqs(spark, d), named, motifs()))
 
 
-@query()
+@query(f"WITH {SEQS} SELECT seq_num, name FROM seqs ORDER BY substr(md5('4|' || seq_num || '|' || name), 1, 12), seq_num, name LIMIT 100")
 def subsample_reservoir(spark, d):
     return seqtools.reservoir(seqs(spark, d), 100, 4).select("seq_num", "name")
 
 
-@query()
+@query(f"WITH {SEQS} SELECT seq_num, name FROM seqs WHERE ('0x' || substr(md5('4|' || seq_num || '|' || name), 1, 12))::BIGINT < 0.25 * 281474976710656")
 def subsample_bernoulli(spark, d):
     return seqtools.bernoulli(seqs(spark, d), 0.25, 4).select("seq_num", "name")
 

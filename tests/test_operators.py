@@ -151,6 +151,54 @@ def test_other_shuffles(spark):
     mk = shuffle.shuffle(s, 2, method="markov").filter("name = 's0'").first()["seq"]
     assert len(mk) == 14 and mk[0] == "A"
     assert shuffle.shuffle(s, 2, repeats=2).filter("name like 's0-%'").count() == 3
+    assert shuffle.shuffle(s, 2, keep_short=True).count() == 2 and shuffle.shuffle(s, 2, rna=True).filter("seq like '%T%'").count() == 0
+    with pytest.raises(model.MotifError):
+        shuffle.shuffle(s, 10)
+
+
+def test_shuffles_draw_every_order_as_often():
+    import itertools
+
+    def counted(text, k, method, n=12_000):
+        return Counter(shuffle.shuffled([text] * n, shuffle.row_seeds(3, [str(i) for i in range(n)]), k, method))
+
+    kmers = lambda s: Counter(s[i : i + 2] for i in range(len(s) - 1))
+    paths = {"A" + "".join(p) for p in itertools.permutations("CACGAGTA") if kmers("A" + "".join(p)) == kmers("ACACGAGTA")}
+    for got, kinds in ((counted("ACACGAGTA", 2, "euler"), paths), (counted("ABCD", 1, "euler"), {"".join(p) for p in itertools.permutations("ABCD")}), (counted("AABBCCDD", 2, "linear"), None)):
+        assert kinds is None or set(got) == kinds
+        assert min(got.values()) > 0.85 * 12_000 / len(got) and max(got.values()) < 1.15 * 12_000 / len(got)
+    assert len(counted("ABCD", 1, "linear")) == 6  # cycles of four blocks
+    # after A: A or twice B, after B: A
+    drawn = counted("AABAB", 2, "markov")
+    assert drawn["ABABA"] / 12_000 == pytest.approx(4 / 9, abs=0.02) and drawn["AAAAA"] / 12_000 == pytest.approx(1 / 81, abs=0.005)
+
+
+@pytest.mark.parametrize("method", ["euler", "markov", "linear"])
+def test_a_shuffle_does_not_depend_on_its_batch(method, monkeypatch):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("ACGTNé") for _ in range(rng.randint(0, 90))) for _ in range(50)]
+    seeds = shuffle.row_seeds(4, [str(i) for i in range(50)])
+    whole = shuffle.shuffled(texts, seeds, 3, method)
+    monkeypatch.setattr(shuffle, "SLICE", 100)
+    assert shuffle.shuffled(texts, seeds, 3, method) == whole
+    assert all(len(a) == len(b) for a, b in zip(texts, whole, strict=True))
+    for a, b in zip(texts, whole, strict=True):
+        n = len(a) // 3
+        if method == "linear":
+            assert Counter(a[3 * i : 3 * i + 3] for i in range(n)) == Counter(b[3 * i : 3 * i + 3] for i in range(n)) and a[3 * n :] == b[3 * n :]
+        if method == "euler":
+            assert Counter(a[i : i + 3] for i in range(len(a) - 2)) == Counter(b[i : i + 3] for i in range(len(b) - 2))
+
+
+def test_shuffles_of_ranges_leave_the_rest(spark):
+    text = "AAAAACGTACGTACGTCCCCCGGTTGGTTGGTTAAAAA"
+    s = make(spark, [text, "TTTT"])
+    ranges = spark.createDataFrame([(0, "s0", 5, 16, ".", "."), (1, "s0", 21, 33, ".", "."), (2, "s0", 0, 2, ".", ".")], "range_id long, seq_name string, start long, end long, name string, strand string")
+    got = {r["name"]: r["seq"] for r in shuffle.shuffle(s, 2, ranges=ranges).collect()}
+    new = got["s0"]
+    assert got["s1"] == "TTTT" and new != text and new[:5] == text[:5] and new[16:21] == text[16:21] and new[33:] == text[33:]
+    for a, b in ((5, 16), (21, 33)):
+        assert Counter(text[i : i + 2] for i in range(a, b - 1)) == Counter(new[i : i + 2] for i in range(a, b - 1))
 
 
 def test_seed_truth_holds(spark):
@@ -166,7 +214,7 @@ def test_seqtools(spark):
     s = make(spark, ["ACGTNacgtn", "AUGC", ""])
     assert [r["seq"] for r in seqtools.reverse_complement(seqtools.reverse_complement(make(spark, ["ACGTRYnacgt"]))).collect()] == ["ACGTRYnacgt"]
     r = scan.seq_stats(s).orderBy("seq_num").collect()
-    assert [x["n_count"] for x in r] == [2, 0, 0] and r[2]["gc_pct"] is None
+    assert [x["n_count"] for x in r] == [2, 0, 0] and r[2]["gc_pct"] == 0
     ranges = spark.createDataFrame([(0, "s0", 2, 4, ".", "+"), (1, "s0", 8, 99, "x", "-")], "range_id long, seq_name string, start long, end long, name string, strand string")
     assert {x["name"]: x["seq"] for x in seqtools.subset(s, ranges).collect()} == {"s0:2-4": "GT", "x": "na"}
     assert seqtools.mask(s, ranges).filter("name = 's0'").first()["seq"] == "ACgtNacgtn"
@@ -190,6 +238,89 @@ def test_fasta_bed_and_hits(spark, tmp_path):
     assert [r[0] for r in got] == [f"{x:.9g}" for x in (0.0078125, 1e-12, 0.5, 1.0, 0.000244140625)]
 
 
+def test_fastq_is_numbered_over_blocks_and_files(spark, tmp_path):
+    rng = random.Random(26)
+    want = []
+    for f in "ab":
+        reads = [(f"{f}{i}", "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 60)))) for i in range(300)]
+        (tmp_path / f"{f}.fq").write_text("".join(f"@{n} c\n{s}\n+\n{'I' * len(s)}\n" for n, s in reads))
+        want += reads
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        got = sequences.read_fastq(spark, str(tmp_path / "*.fq")).orderBy("seq_num").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert [(r["name"], r["seq"]) for r in got] == want and [r["seq_num"] for r in got] == list(range(1, 601))
+    (tmp_path / "bad.fq").write_text("@a\nACG\n+\nII\n")
+    with pytest.raises(Exception, match="bad FASTQ"):
+        sequences.read_fastq(spark, str(tmp_path / "bad.fq")).collect()
+
+
+def test_gzip_is_read(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.fa.gz").write_bytes(gzip.compress(b">x y\nACGT\n>z\nAC\n"))
+    assert sorted(r["seq"] for r in sequences.read_fasta(spark, str(tmp_path / "a.fa.gz")).collect()) == ["AC", "ACGT"]
+
+
+def test_tables_of_hits_and_ranges_to_dedup(spark, tmp_path):
+    write = lambda name, text: (tmp_path / name).write_text(text) and str(tmp_path / name)
+    hits = sequences.read_hits(spark, write("h.txt", "##strandspark [ ]\n##MotifCount=1\n##seq_name\tstart\nc\t3\t8\t+\tm\t0.001\t5.5\t80.0\tCACGTG\n"))
+    r = hits.first()
+    assert (r["seq_name"], r["start"], r["end"], r["pvalue"], r["match"], r["bed_name"]) == ("c", 3, 8, 0.001, "CACGTG", None)
+    wide = sequences.read_hits(spark, write("w.txt", "##bed_range\tbed_name\tseq_name\nc:1-9(.)\tr\tc\t3\t8\t+\tm\t0.001\t5.5\t80.0\tCACGTG\n")).first()
+    assert (wide["bed_range"], wide["seq_name"], wide["start"]) == ("c:1-9(.)", "c", 3)
+    path = write("b.bed", "track x\n#c\nc\t2\t8\tm\t7\t-\nc\t8\t9\tm\t3\t+\n\n")
+    bed = sequences.read_hits(spark, path).orderBy("arrival").collect()
+    assert [(x["start"], x["end"], x["score"], x["strand"], x["motif"]) for x in bed] == [(3, 8, 7.0, "-", "m"), (9, 9, 3.0, "+", "m")]
+    assert [x["value"] for x in sequences.comments(spark, path).collect()] == ["track x", "#c"]
+    for i, (bad, why) in enumerate([("c\t2\t8\n", "number of fields"), ("c\tx\t8\tm\t1\t+\n", "start or end"), ("c\t2\t8\tm\tx\t+\n", "score"), ("c\t9\t8\tm\t1\t+\n", "start beyond"), ("c\t2\t8\tm\t1\t*\n", "strand"), ("##seq_name\tx\nc\t3\t8\t+\tm\t0\t5.5\t80.0\tC\n", "above 0")]):
+        with pytest.raises(Exception, match=why):
+            sequences.read_hits(spark, write(f"bad{i}.txt", bad)).collect()
+    s = make(spark, ["ACGTN", "GG"])
+    text = [x["value"] for x in sequences.hit_report(hits, s, [6, 2], options="-t 1").collect()]
+    assert text[:3] == ["##strandspark [ -t 1 ]", "##MotifCount=2 MotifSize=8 SeqCount=2 SeqSize=7 GC=66.67% Ns=1 MaxPossibleHits=10", "##seq_name\tstart\tend\tstrand\tmotif\tpvalue\tscore\tscore_pct\tmatch"]
+    assert text[3] == "c\t3\t8\t+\tm\t0.001\t5.500\t80.0\tCACGTG"
+
+
+def test_sets_and_options_are_checked(spark):
+    assert seqtools.checked(make(spark, ["ACGT"])) == [] and "20.0%" in seqtools.checked(make(spark, ["ACGTN"]))[0]
+    for bad in ([], ["", ""], ["NNN"]):
+        with pytest.raises(model.MotifError):
+            seqtools.checked(make(spark, bad))
+    seqtools.check_options("mask", ["ranges", "hard"])
+    seqtools.check_options("subsample", ["n", "seed"])
+    for action, given in (("mask", []), ("dup", []), ("rc", ["n"]), ("subsample", ["n", "share"]), ("subsample", []), ("format", ["hard"]), ("fly", [])):
+        with pytest.raises(model.MotifError):
+            seqtools.check_options(action, given)
+
+
+def test_masks_of_overlapping_ranges(spark):
+    rng = random.Random(27)
+    text = "".join(rng.choice("ACGTé") for _ in range(200))
+    parts = [(a := rng.randint(0, 190), a + rng.randint(1, 30)) for _ in range(25)]
+    ranges = spark.createDataFrame([(i, "s0", a, b, ".", ".") for i, (a, b) in enumerate(parts)], "range_id long, seq_name string, start long, end long, name string, strand string")
+    inside = {i for a, b in parts for i in range(a, b)}
+    got = {hard: seqtools.mask(make(spark, [text, "ACGT"]), ranges, hard=hard).orderBy("seq_num").collect() for hard in (False, True)}
+    assert got[False][0]["seq"] == "".join(c.lower() if i in inside else c for i, c in enumerate(text)) and got[False][1]["seq"] == "ACGT"
+    assert got[True][0]["seq"] == "".join("N" if i in inside else c for i, c in enumerate(text))
+
+
+def test_fisher_by_the_whole_tail():
+    import math
+
+    rng = random.Random(28)
+    for _ in range(300):
+        a, b, c, d = (rng.randint(0, rng.choice([3, 40])) for _ in range(4))
+        r1, c1, n = a + b, a + c, a + b + c + d
+        slow = sum(math.comb(r1, x) * math.comb(n - r1, c1 - x) for x in range(a, min(r1, c1) + 1) if 0 <= c1 - x <= n - r1) / math.comb(n, c1) if n else 1.0
+        assert stats.fisher_greater(a, b, c, d) == pytest.approx(slow, rel=1e-9, abs=1e-300)
+    assert 0 < stats.fisher_greater(10**8 + 50_000, 10**8, 10**8, 10**8) < 1
+
+
 def test_enrich_discover_refine_find_the_planted_motif(spark):
     rng = random.Random(9)
     letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
@@ -207,6 +338,42 @@ def test_enrich_discover_refine_find_the_planted_motif(spark):
     assert model.consensus(m.ppm) == "CACGTG"
 
 
+def test_enrichment_and_discovery_without_negatives(spark):
+    rng = random.Random(19)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    pos = [letters(40) + "CACGTG" + letters(40) for _ in range(60)] + ["A", ""]
+    units = make(spark, pos).withColumn("unit", F.col("name"))
+    null = enrich.with_null(units.withColumn("strand", F.lit("+")))
+    both = {p: {r["unit"]: r for r in null.filter(F.col("positive") == p).collect()} for p in (True, False)}
+    count = lambda s: Counter(s[i : i + 2] for i in range(len(s) - 1))
+    assert sorted(both[True]) == sorted(both[False]) and all(count(both[True][u]["seq"]) == count(both[False][u]["seq"]) for u in both[True])
+    assert {r["strand"] for r in both[False].values()} == {"."} and sum(both[True][u]["seq"] != both[False][u]["seq"] for u in both[True]) == 60
+    r = enrich.enrich(units, scan.prepare([model.Motif("e", PPM)], pvalue=1e-3)).collect()
+    assert len(r) == 1 and r[0]["pvalue"] < 1e-6 and (r[0]["pos_n"], r[0]["neg_n"]) == (62, 62)
+    found = discover.discover(make(spark, pos), widths=[6], per_width=1)
+    assert "CACGTG" in model.consensus(found[0].motif.ppm)
+    row = discover.discovered_frame(spark, found).first()
+    assert (row["n_pos"], row["n_neg"], row["seqs_pos"] >= 60) == (62, 62, True)
+
+
+def test_kmer_presence_by_loop(spark):
+    rng = random.Random(20)
+    texts = ["".join(rng.choice("ACGTacgtUuNR") if rng.random() < 0.3 else rng.choice("ACGT") for _ in range(rng.randint(0, 80))) for _ in range(40)] + ["", "ACG"]
+    for w in (1, 4, 31):
+        want = Counter()
+        for t in texts:
+            t = t.upper().replace("U", "T")
+            k = {t[i : i + w] for i in range(len(t) - w + 1)}
+            want.update({min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA"))) for x in k if set(x) <= set("ACGT")})
+        assert {r["kmer"]: r["n_seqs"] for r in discover.kmer_presence(make(spark, texts).repartition(3), w).collect()} == dict(want)
+
+
+def test_overlap_of_covered_places(spark):
+    a, b = scan.prepare([model.Motif("e", PPM), model.Motif("f", PPM[1:])], pvalue=1e-3)
+    assert discover.shared(make(spark, ["TTTCACGTGTTT"] * 3), a, a) == 1.0
+    assert discover.shared(make(spark, ["TTTTTTT"]), a, b) == 0.0
+
+
 def test_discovery_query_runs_the_operators_defaults(spark, monkeypatch):
     from strandspark.plans import queries
 
