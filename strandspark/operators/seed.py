@@ -109,6 +109,16 @@ def plant_at(seqs: DataFrame, ranges: DataFrame, motifs: list[Motif], *, seed: i
     return rows.mapInPandas(kernel, "name string, seq string, sites array<struct<start:long,end:long,motif:string,strand:string>>")
 
 
+def truth_bed(planted: DataFrame) -> DataFrame:
+    """``value``: the same as BED lines, a dot for the score."""
+    return truth(planted).select(F.concat_ws("\t", "seq_name", F.col("start").cast("string"), F.col("end").cast("string"), "motif", F.lit("."), "strand").alias("value"))
+
+
+def shortfalls(planted: DataFrame, number: int) -> DataFrame:
+    """``name, n_sites``: the sequences in which fewer sites than asked for found room."""
+    return planted.select("name", F.size("sites").alias("n_sites")).filter(F.col("n_sites") < number)
+
+
 def truth(planted: DataFrame) -> DataFrame:
     """``seq_name, start, end, motif, strand`` of what was planted."""
     return planted.select(F.col("name").alias("seq_name"), F.posexplode("sites").alias("p", "s")).select("seq_name", "s.*")

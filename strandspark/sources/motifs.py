@@ -160,10 +160,12 @@ def read_file(path: str, **options) -> list[Motif]:
         return read(f.read(), **options)
 
 
-def write_meme(motifs: list[Motif], bkg=(0.25,) * 4, nsites: int = 1000) -> str:
+def write_meme(motifs: list[Motif], bkg=(0.25,) * 4, nsites: int = 1000, *, with_consensus: bool = False) -> str:
+    """with_consensus: names are cut at the first blank and followed by the motif's consensus, as refined motifs are written."""
+    named = lambda m: f"{m.name.split(maxsplit=1)[0]} {consensus(m.ppm)}" if with_consensus else m.name
     out = ["MEME version 4", "", "ALPHABET= ACGT", "", "strands: + -", "", "Background letter frequencies", " ".join(f"{b} {x:.5f}" for b, x in zip("ACGT", bkg, strict=True)), ""]
     for m in motifs:
-        out += [f"MOTIF {m.name}", f"letter-probability matrix: alength= 4 w= {m.width} nsites= {m.nsites or nsites} E= 0", *[" ".join(f"{x:.6f}" for x in r) for r in m.ppm], ""]
+        out += [f"MOTIF {named(m)}", f"letter-probability matrix: alength= 4 w= {m.width} nsites= {m.nsites or nsites} E= 0", *[" ".join(f"{x:.6f}" for x in r) for r in m.ppm], ""]
     return "\n".join(out) + "\n"
 
 

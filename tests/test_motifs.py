@@ -41,6 +41,24 @@ def test_round_trip(fmt):
     assert convert(other, fmt) == other or fmt == "meme"
 
 
+def test_refined_motifs_are_named_with_their_consensus():
+    m = model.Motif("id1 long name", np.array([[0.97, 0.01, 0.01, 0.01], [0.01, 0.97, 0.01, 0.01], [0.01, 0.01, 0.01, 0.97]]))
+    text = src.write_meme([m], with_consensus=True)
+    assert "MOTIF id1 ACT\n" in text and "MOTIF id1 long name\n" in src.write_meme([m])
+
+
+def test_limits_of_motifs():
+    flat = model.Motif("f", np.full((51, 4), 0.25))
+    with pytest.raises(model.MotifError):
+        src.read(src.write_meme([flat]))
+    with pytest.raises(model.MotifError):
+        model.distribution(np.array([[3_000_000, 0, 0, 0]]))
+    p = np.array([0.4, 0.1995, 0.4, 0.0005])
+    assert np.allclose(model.smoothed(np.array([[1.0, 0, 0, 0]]), 9, 1), [[(9 + 0.25) / 10, 0.025, 0.025, 0.025]]) and model.background(p).min() > 0.0005
+    odd = model.from_counts("x", np.array([[1, 1, 1, 1]]), pvalue=1e-4)
+    assert odd.threshold is not None or odd.cdf is not None
+
+
 def test_bad_motifs():
     for bad in (">x\n0.1 0.2 0.3\n", ">x\nA [ 1 ]\nC [ 1 ]\nG [ 1 ]\n", "nothing", ">c\tn\t1\n0.9 0.9 0.1 0.1\n"):
         with pytest.raises(model.MotifError):

@@ -125,6 +125,91 @@ def test_statistics(spark):
     assert q == pytest.approx([0.04, 0.04, 0.04, 0.5])
 
 
+def test_splitmix_has_its_published_values():
+    from strandspark.functions.rng import splitmix64
+
+    state, out = 1234567, []
+    for _ in range(5):
+        state, x = splitmix64(state)
+        out.append(x)
+    assert out == [6457827717110365317, 3203168211198807973, 9817491932198370423, 4593380528125082431, 16408922859458223821]
+
+
+def test_mann_whitney_p_by_normal_tail(spark):
+    import math
+
+    rng = random.Random(29)
+    rows = [("k", float(rng.randint(0, 12)), i % 3 == 0) for i in range(80)]
+    r = stats.mann_whitney(spark.createDataFrame(rows, "k string, v double, p boolean"), "k", "v", F.col("p")).first()
+    x, y = [v for _, v, p in rows if p], [v for _, v, p in rows if not p]
+    u = sum((a > b) + 0.5 * (a == b) for a in x for b in y)
+    n, m = len(x), len(y)
+    ties = sum(t**3 - t for t in Counter(v for _, v, _ in rows).values())
+    z = (u - n * m / 2 - 0.5) / math.sqrt(n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1))))
+    assert (r["u"], r["z"], r["pvalue"]) == (pytest.approx(u), pytest.approx(z), pytest.approx(0.5 * math.erfc(z / math.sqrt(2))))
+
+
+def test_ranges_are_bound_and_names_told_apart(spark):
+    s = make(spark, ["ACGTACGT", "GG"])
+    r = sequences.range_from_text(spark, "s0:2-99:-")
+    assert tuple(sequences.bound(r, s).select("seq_name", "start", "end", "strand", "seq").first()) == ("s0", 2, 8, "-", "ACGTACGT")
+    assert sequences.bound(r, s, clip=False).first()["end"] == 99
+    for text in ("s9:0-2", "s1:2-4"):
+        with pytest.raises(Exception, match="outside any sequence"):
+            sequences.bound(sequences.range_from_text(spark, text), s).collect()
+        assert sequences.bound(sequences.range_from_text(spark, text), s, strict=False).count() == 0
+    for text in ("s0:4-4", "s0", "s0:1-2:x"):
+        with pytest.raises(model.MotifError):
+            sequences.range_from_text(spark, text)
+    twice = s.unionByName(s).withColumn("seq_num", F.monotonically_increasing_id())
+    with pytest.raises(Exception, match="more than once"):
+        sequences.renamed(twice, "seq_num").collect()
+    assert len({x["name"] for x in sequences.renamed(twice, "seq_num", rename=True).collect()}) == 4
+
+
+def test_strands_of_units(spark):
+    rows = [("a", "CACGTT", "+"), ("b", "AACGTG", "-"), ("c", "AACGTG", "+"), ("d", "AACGTG", ".")]
+    m = scan.exact("CACGTT")
+    got = {r["unit"]: r["n_hits"] for r in enrich.units(spark.createDataFrame(rows, "unit string, seq string, strand string"), m).collect()}
+    assert got == {"a": 1, "b": 1, "c": 0, "d": 1}
+    assert {r["unit"]: r["n_hits"] for r in enrich.units(spark.createDataFrame(rows, "unit string, seq string, strand string"), m, forward=True).collect()} == {"a": 1, "b": 0, "c": 0, "d": 0}
+
+
+def test_refining_extends_and_can_refuse(spark):
+    rng = random.Random(30)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    s = make(spark, [letters(30) + "GCACGTGC" + letters(30) for _ in range(80)])
+    core = model.Motif("core", PPM)
+    wide = discover.refine(core, s, pvalue=1e-3, extend=True)
+    assert model.consensus(wide.ppm) == "GCACGTGC"
+    assert discover.refine(core, s, pvalue=1e-3, gate=True) is not None
+    sharp = model.Motif("sharp", np.where(PPM > 0.5, 0.997, 0.001))
+    noisy = make(spark, [letters(200) + (letters(2) + "CACGT" + letters(1)) for _ in range(80)])
+    assert discover.refine(sharp, noisy, pvalue=2e-3, gate=True) is None
+    assert discover.refine(core, make(spark, ["TTTT"]), pvalue=1e-3) is None
+
+
+def test_comparison_with_columns_of_a_grid_by_slow_model(spark):
+    import itertools
+    import math
+
+    from strandspark.operators import compare
+
+    q, t = model.Motif("q", PPM[:3]), [model.Motif("same", PPM[:3]), model.Motif("rc", PPM[:3][::-1, ::-1]), model.Motif("other", PPM[3:][[2, 0, 1]])]
+    got = {r["target_id"]: r for r in compare.compare(spark, [q], t, q=1.0, min_overlap=3, enumerate_null=True).collect()}
+    cols, weight = compare.enumerated_columns((0.25,) * 4)
+    assert len(cols) == 56 and weight.sum() == pytest.approx(1) and (cols.sum(axis=1) == pytest.approx(1))
+    pick = rng_columns = list(range(56))
+    bins = [[math.floor((compare._similar(c, cols[[j]])[0] + 1) / 2 * 50 + 0.5) for j in pick] for c in q.ppm]
+    pmf = Counter()
+    for i, j, k in itertools.product(rng_columns, repeat=3):
+        pmf[bins[0][i] + bins[1][j] + bins[2][k]] += weight[i] * weight[j] * weight[k]
+    best = got["same"]
+    assert (best["offset"], best["orientation"], best["overlap"]) == (0, "+", 3) and best["score"] == pytest.approx(3)
+    assert best["p_value"] == pytest.approx(2 * sum(p for b, p in pmf.items() if b >= 150), rel=1e-6)
+    assert got["rc"]["orientation"] == "-" and got["rc"]["score"] == pytest.approx(3)
+
+
 def test_rng_is_even():
     r = Stream(1)
     n = Counter(r.below(7) for _ in range(7000))
@@ -203,6 +288,10 @@ def test_shuffles_of_ranges_leave_the_rest(spark):
 
 def test_seed_truth_holds(spark):
     m = model.Motif("e", np.array([[0, 1, 0, 0], [1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0]], float))
+    few = seed.plant(make(spark, ["T" * 80, "T" * 6]), [m], number=3, gap=1)
+    assert [(r["name"], r["n_sites"] < 3) for r in seed.shortfalls(few, 3).collect()] == [("s1", True)]
+    lines = [r["value"].split("\t") for r in seed.truth_bed(few).filter("value like 's0%'").collect()]
+    assert len(lines) == 3 and all(x[3:5] == ["e", "."] and int(x[2]) - int(x[1]) == 4 and x[5] in "+-" for x in lines)
     p = seed.plant(make(spark, ["T" * 80] * 5), [m], number=3, gap=1).collect()
     for r in p:
         assert len(r["sites"]) == 3 and len(r["seq"]) == 80
