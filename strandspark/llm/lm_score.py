@@ -7,6 +7,10 @@ q = 1 + floor(log2 c); asking for level 1, 2, ... until a level is missing
 gives q back, hence c to within a factor.  The filter is made of one piece per
 bucket, each built where its counts are, and is broadcast in segments of at
 most ``SEGMENT_BYTES``; the terms of a document's score add up over segments.
+Every segment is a pass over the documents, so where there are more than
+``PASSES`` of them the documents are read once instead: the levels of the
+``TOP_PAIRS`` most frequent bigrams are broadcast, and each document's other bigrams
+are dealt out by bucket and probe the filter where its piece is.
 
 Words: the ``TOP_WORDS`` most frequent ones (a bounded table, broadcast) have
 exact counts in the kernel; the others' exact counts come by a shuffle join.
@@ -32,6 +36,10 @@ from .kernels import U64, arrow_flat, mix, words
 TOP_WORDS = 1 << 19
 #: Bytes of the filter that are broadcast at once, at most.
 SEGMENT_BYTES = 128 << 20
+#: Segments, each a pass over the documents, up to which the filter is broadcast.
+PASSES = 4
+#: Bigrams whose levels are broadcast where the others are dealt out, at most, and the least count of such a one.
+TOP_PAIRS, PAIR_LEAST = 1 << 19, 32
 BITS_PER_ENTRY = 10
 PROBES = 5
 MU = 300.0
@@ -162,8 +170,10 @@ def _merge_kernel(table_: pa.Table) -> pa.Table:
         both[k] = _counted(h, n)
     h, n = both[1]
     piece = build_filter(*both[2]) if len(both[2][0]) else np.zeros(0, np.uint8)
+    often = both[2][1] >= PAIR_LEAST
+    pairs = both[2][0][often], levels(both[2][1][often]).astype(np.uint8)
     bucket = table_.column("bucket")[0].as_py()
-    return pa.table({"bucket": pa.array([bucket]), "h": pa.array([h.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "piece": pa.array([piece.tobytes()], pa.binary()), "words": pa.array([len(h)]), "tokens": pa.array([int(n.sum())])})
+    return pa.table({"bucket": pa.array([bucket]), "h": pa.array([h.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "piece": pa.array([piece.tobytes()], pa.binary()), "words": pa.array([len(h)]), "tokens": pa.array([int(n.sum())]), "pairs": pa.array([pairs[0].tobytes()], pa.binary()), "levels": pa.array([pairs[1].tobytes()], pa.binary())})
 
 
 def _unpack(batches):
@@ -172,6 +182,12 @@ def _unpack(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["h", "n"])
 
 
+def _unpack_pairs(batches):
+    for batch in batches:
+        for h, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(q, np.uint8).astype(np.int32))], names=["h", "q"])
+
+
 class Model:
     """Counts of a training corpus: two tables in the shared folder and bounded values on the driver."""
 
@@ -179,7 +195,7 @@ class Model:
         size = train.agg(F.coalesce(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0)).alias("b")).first()["b"]
         self.buckets = max(16, size // BUCKET_BYTES)
         sent = train.select(text_col).mapInArrow(_count_kernel(self.buckets), "bucket long, kind int, h binary, n binary")
-        merged = sent.groupBy("bucket").applyInArrow(_merge_kernel, "bucket long, h binary, n binary, piece binary, words long, tokens long")
+        merged = sent.groupBy("bucket").applyInArrow(_merge_kernel, "bucket long, h binary, n binary, piece binary, words long, tokens long, pairs binary, levels binary")
         self.table = saved(merged)
         self.words = self.table.select("h", "n").mapInArrow(_unpack, "h long, n long")
         total = self.table.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
@@ -198,6 +214,19 @@ class Model:
         self.top = (h[by].copy(), n[by].copy())
         self.whole = self.v == len(n)
 
+    def frequent_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, sorted, and levels of the bigrams of the highest levels that are TOP_PAIRS together at most."""
+        pairs = self.table.select("pairs", "levels").mapInArrow(_unpack_pairs, "h long, q int")
+        least, held = 1 << 30, 0
+        for r in sorted(pairs.groupBy("q").count().collect(), reverse=True):  # a row for each level
+            if held + r["count"] > TOP_PAIRS:
+                break
+            least, held = r["q"], held + r["count"]
+        got = pairs.filter(F.col("q") >= least).toArrow()
+        h, q = got.column("h").to_numpy().view(U64), got.column("q").to_numpy().astype(np.int64)
+        by = np.argsort(h)
+        return h[by].copy(), q[by].copy()
+
     def segments(self):
         """Parts of the filter within the bound: the first bucket, then bit offsets and bytes of the pieces."""
         sizes = {r["bucket"]: r["s"] for r in self.table.select("bucket", F.octet_length("piece").alias("s")).collect()}
@@ -246,14 +275,15 @@ def _pieces(batch, index: int):
         lo = hi
 
 
-def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool):
+def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool, dealt: bool = False):
     """(key, doc_id, held_out, text) -> the segment's terms, and the bigrams that wait for counts; in the first segment also what doesn't depend on it.
 
-    whole: words that aren't among the frequent ones have never been seen.
+    whole: words that aren't among the frequent ones have never been seen.  dealt: instead of a segment there are
+    the frequent bigrams' levels; all other bigrams are asked for.
     """
 
     def kernel(batches):
-        top, (b0, edges, data) = shared.value
+        top, part = shared.value
         for batch in (piece for whole in batches for piece in _pieces(whole, 3)):
             buf, ends = arrow_flat(batch.column(3))
             tok, bounds = tokens(buf, ends)
@@ -261,11 +291,17 @@ def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool)
             cu = _lookup(top, uniq)
             c = cu[inverse]
             two = bigrams(tok, bounds)
-            where = _bucket(two, buckets) - b0
-            mine = (where >= 0) & (where < len(edges) - 1)
-            u2, inv2 = np.unique(two[mine], return_inverse=True)
-            w2 = _bucket(u2, buckets) - b0
-            q = ask_filter(data, edges[w2], edges[w2 + 1] - edges[w2], u2)[inv2]
+            if dealt:
+                level = _lookup(part, two)
+                mine = level > 0
+                q = level[mine]
+            else:
+                b0, edges, data = part
+                where = _bucket(two, buckets) - b0
+                mine = (where >= 0) & (where < len(edges) - 1)
+                u2, inv2 = np.unique(two[mine], return_inverse=True)
+                w2 = _bucket(u2, buckets) - b0
+                q = ask_filter(data, edges[w2], edges[w2 + 1] - edges[w2], u2)[inv2]
             low = np.where(q > 0, np.ldexp(1.0, (q - 1).astype(np.int32)), 0.0)
             before = np.empty_like(c)
             before[1:] = c[:-1]
@@ -278,6 +314,7 @@ def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool)
             wait = np.zeros(len(tok), bool) if whole else mine & ((c == 0) | (before == 0))
             term[wait] = 0
             cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(_sums(term, bounds)), _waiting(tok, bounds, two, wait, c, before, q[wait[mine]])]
+            cols.append(_waiting(tok, bounds, two, ~mine, c, before, np.zeros((~mine).sum(), np.int64), buckets) if dealt else pa.nulls(batch.num_rows, _ASK_TYPE))
             if first:
                 base = _sums(np.where(c > 0, np.log10(c + 0.1), 0.0), bounds)
                 n = np.diff(bounds)
@@ -292,14 +329,16 @@ def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool)
                 cols += [pa.array(base), pa.array(n.astype(np.int64)), pa.array(_sums((c > 0).astype(np.int64), bounds).astype(np.int64)), rare]
             else:
                 cols += [pa.nulls(batch.num_rows, t) for t in (pa.float64(), pa.int64(), pa.int64(), _RARE)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "held_out", "term", "wait", "base", "n", "known", "rare"])
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "held_out", "term", "wait", "ask", "base", "n", "known", "rare"])
 
     return kernel
 
 
-def _waiting(tok: np.ndarray, bounds: np.ndarray, two: np.ndarray, wait: np.ndarray, c: np.ndarray, before: np.ndarray, q: np.ndarray) -> pa.Array:
+def _waiting(tok: np.ndarray, bounds: np.ndarray, two: np.ndarray, wait: np.ndarray, c: np.ndarray, before: np.ndarray, q: np.ndarray, buckets: int = 0) -> pa.Array:
     """Each document's different bigrams with a word whose count isn't here: both words with the counts known (else 0), level and times.
 
+    With buckets: of bigrams that are asked for, their hash and bucket as well.
+
     In place of a word whose count is known stands a number of no meaning, so that
     common words don't meet in one task of the join.
     """
@@ -313,20 +352,51 @@ def _waiting(tok: np.ndarray, bounds: np.ndarray, two: np.ndarray, wait: np.ndar
     h = np.where(np.isin(at, bounds[:-1]), END, tok[at - 1])
     none = mix(two[at] + tok[bounds[doc]] + at.astype(U64))
     cols = {"w": np.where(c[at] == 0, tok[at], none).view(np.int64), "h": np.where(before[at] == 0, h, none).view(np.int64), "cw": c[at].astype(np.int64), "ch": before[at].astype(np.int64), "q": q.astype(np.int32), "k": times.astype(np.int32)}
+    if buckets:
+        cols |= {"two": two[at].view(np.int64), "bucket": _bucket(two[at], buckets)}
     edges = np.searchsorted(doc, np.arange(len(bounds))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(x) for x in cols.values()], names=list(cols)))
 
 
 _WAIT = "array<struct<w:long,h:long,cw:long,ch:long,q:int,k:int>>"
+_ASK = "array<struct<w:long,h:long,cw:long,ch:long,q:int,k:int,two:long,bucket:long>>"
+_ASK_TYPE = pa.list_(pa.struct([*((x, pa.int64()) for x in ("w", "h", "cw", "ch")), ("q", pa.int32()), ("k", pa.int32()), ("two", pa.int64()), ("bucket", pa.int64())]))
 _RARE = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())]))
 
 
-def _waited(parts: list[DataFrame], model: Model) -> DataFrame:
+def _answer_kernel(n_tokens: int, whole: bool):
+    """A bucket's asked bigrams and its piece of the filter -> sums of terms by document, and the bigrams that wait for counts, with levels."""
+
+    def kernel(asked: pa.Table, piece: pa.Table) -> pa.Table:
+        key, two, cw, ch, k = (asked.column(c).to_numpy() for c in ("key", "two", "cw", "ch", "k"))
+        data = np.frombuffer(piece.column("piece")[0].as_py(), np.uint8) if piece.num_rows else np.zeros(0, np.uint8)
+        kinds, inverse = np.unique(two.view(U64), return_inverse=True)
+        q = ask_filter(data, np.zeros(len(kinds), np.int64), np.full(len(kinds), len(data) * 8), kinds)[inverse]
+        low, ctx = np.where(q > 0, np.ldexp(1.0, (q - 1).astype(np.int32)), 0.0), np.maximum(ch, 1)
+        term = k * np.log10((np.minimum(low, ctx) + MU * np.maximum(cw, 1) / (n_tokens + 1)) / (ctx + MU))
+        wait = np.zeros(len(q), bool) if whole else (cw == 0) | (ch == 0)
+        docs, at = np.unique(key[~wait], return_inverse=True)
+        both = lambda a, b, t: pa.concat_arrays([pa.nulls(a, t) if isinstance(a, int) else pa.array(a, t), pa.nulls(b, t) if isinstance(b, int) else pa.array(b, t)])
+        m, n = len(docs), int(wait.sum())
+        cols = {"key": both(docs, key[wait], pa.int64()), "t": both(np.bincount(at, term[~wait], minlength=m), n, pa.float64())}
+        cols |= {c: both(m, asked.column(c).to_numpy()[wait], pa.int64()) for c in ("w", "h", "cw", "ch")}
+        cols |= {"q": both(m, q[wait], pa.int32()), "k": both(m, k[wait], pa.int32())}
+        return pa.table(cols)
+
+    return kernel
+
+
+def _answered(part: DataFrame, model: Model) -> DataFrame:
+    """``key, t, w, h, cw, ch, q, k``: the dealt bigrams' sums (w null) and those that wait."""
+    asked = part.select("key", F.inline("ask"))
+    pieces = model.table.select("bucket", "piece")
+    got = asked.groupBy("bucket").cogroup(pieces.groupBy("bucket")).applyInArrow(_answer_kernel(model.n, model.whole), "key long, t double, w long, h long, cw long, ch long, q int, k int")
+    return saved(got)
+
+
+def _waited(pairs: DataFrame, model: Model) -> DataFrame:
     """``key, _t``: the terms of the bigrams that waited for counts, summed over all rows of a key."""
     counts = model.words.filter(F.col("n") < model.least)
-    pairs = parts[0].select("key", F.inline("wait"))
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p.select("key", F.inline("wait")))
     known = lambda c, n: F.when(F.col(c) > 0, F.col(c)).otherwise(F.greatest(F.coalesce(F.col(n), F.lit(0)), F.lit(1)))
     pairs = pairs.join(counts.select(F.col("h").alias("w"), F.col("n").alias("_n")), "w", "left").withColumn("cw", known("cw", "_n")).drop("w", "_n")
     pairs = pairs.join(counts.withColumnRenamed("n", "_n"), "h", "left").withColumn("ch", known("ch", "_n")).drop("h", "_n")
@@ -339,18 +409,20 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
 
     The model learns from the rows where ``held_out`` (a Column) is not true.
     Null texts are empty and have one token, their end; null ids are kept;
-    repeated rows each get their (equal) result; an empty table gives no rows,
-    and a table without training rows scores by the smoothing alone; other columns are ignored.
+    very long texts are scored whole; repeated rows each get their (equal)
+    result; an empty table gives no rows, and a table without training rows
+    scores by the smoothing alone; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(id_col), F.octet_length(text), text).alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
     model = Model(rows.filter(~F.col("held_out")))
-    parts = []
-    for i, (group, sizes) in enumerate(model.segments()):
-        shared = spark.sparkContext.broadcast((model.top, model.segment(group, sizes)))
-        kernel = _score_kernel(shared, i == 0, model.buckets, model.n, model.whole)
-        parts.append(rows.mapInArrow(kernel, f"key long, doc_id long, held_out boolean, term double, wait {_WAIT}, base double, n long, known long, rare array<struct<h:long,k:long>>"))
+    parts, segments = [], list(model.segments())
+    dealt = len(segments) > PASSES
+    for i, (group, sizes) in enumerate([(None, None)] if dealt else segments):
+        shared = spark.sparkContext.broadcast((model.top, model.frequent_pairs() if dealt else model.segment(group, sizes)))
+        kernel = _score_kernel(shared, i == 0, model.buckets, model.n, model.whole, dealt)
+        parts.append(rows.mapInArrow(kernel, f"key long, doc_id long, held_out boolean, term double, wait {_WAIT}, ask {_ASK}, base double, n long, known long, rare array<struct<h:long,k:long>>"))
         parts[-1] = saved(parts[-1])
         shared.destroy()
     first = parts[0].groupBy("key", "doc_id", "held_out").agg(F.count("*").alias("copies"), F.min("base").alias("base"), F.min("n").alias("n"), F.min("known").alias("known"), F.min("term").alias("term"))
@@ -359,8 +431,21 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
     rare = parts[0].select("key", F.explode("rare").alias("r")).select("key", "r.h", "r.k").groupBy("key", "h").agg(F.min("k").alias("k"))
     found = rare.join(model.words.filter(F.col("n") < model.least).withColumnRenamed("n", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     found = found.groupBy("key").agg(F.sum(F.col("k") * F.log10(F.col("c") + F.lit(0.1))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
+    late = None  # sums over all rows of a key
+    if not model.whole:
+        pairs = parts[0].select("key", F.inline("wait"))
+        for p in parts[1:]:
+            pairs = pairs.unionByName(p.select("key", F.inline("wait")))
+    if dealt:
+        got = _answered(parts[0], model)
+        late = got.filter("w is null").select("key", F.col("t").alias("_t"))
+        pairs = None if model.whole else pairs.unionByName(got.filter("w is not null").drop("t"))
     if not model.whole:
-        first = first.join(_waited(parts, model), "key", "left").withColumn("term", F.col("term") + F.coalesce(F.col("_t") / F.sum("copies").over(Window.partitionBy("key")), F.lit(0.0))).drop("_t")
+        waited = _waited(pairs, model)
+        late = waited if late is None else late.unionByName(waited)
+    if late is not None:
+        late = late.groupBy("key").agg(F.sum("_t").alias("_t"))
+        first = first.join(late, "key", "left").withColumn("term", F.col("term") + F.coalesce(F.col("_t") / F.sum("copies").over(Window.partitionBy("key")), F.lit(0.0))).drop("_t")
     norm = float(np.log10(model.n + 0.1 * (model.v + 1)))
     out = first.join(found, "key", "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(

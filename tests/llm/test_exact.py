@@ -159,6 +159,28 @@ def test_lm_score(spark, monkeypatch, top, segment):
     assert lm_score.score(spark.createDataFrame([], DOCS), F.lit(False)).collect() == []
 
 
+@pytest.mark.parametrize("top", [1 << 19, 40])
+def test_dealt_bigrams_give_the_scores_of_passes(spark, monkeypatch, top):
+    monkeypatch.setattr(lm_score, "TOP_WORDS", top)
+    monkeypatch.setattr(lm_score, "SEGMENT_BYTES", 500)
+    rng = random.Random(18)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    rows += [(0, rows[0][1]), (0, rows[0][1]), (200, None), (None, "w1 w2"), (202, "w1 " * 300), (203, " ".join(f"w{i % 700}" for i in range(20_000)))]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("key", "held_out", "term", "n")})
+    held = F.col("doc_id") % 10 == 0
+
+    def got():
+        return sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm_score.score(df, held).collect()), key=repr)
+
+    monkeypatch.setattr(lm_score, "PASSES", 1000)
+    whole = got()
+    for passes, pairs in ((0, 1 << 19), (0, 20), (0, 0)):
+        monkeypatch.setattr(lm_score, "PASSES", passes)
+        monkeypatch.setattr(lm_score, "TOP_PAIRS", pairs)
+        assert [x[:4] for x in got()] == [x[:4] for x in whole]
+        assert all(abs(a[4] - b[4]) < 1e-4 or pairs and b[4] <= a[4] + 1e-4 for a, b in zip(whole, got(), strict=True))
+
+
 @pytest.mark.parametrize(("top", "segment"), [(1 << 19, 128 << 20), (40, 500), (0, 128 << 20)])
 def test_lm_score_by_brute_force(spark, monkeypatch, top, segment):
     monkeypatch.setattr(lm_score, "TOP_WORDS", top)
