@@ -54,16 +54,6 @@ def kmers(seq: Column, k: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
-def standard_kmers(seq: Column, k: int) -> Column:
-    """The k-mers of upper-cased ACGT (U read as T), those with other letters left out."""
-    return F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
-
-
-def canonical(kmer: Column) -> Column:
-    """The smaller of a k-mer and its reverse complement."""
-    return F.least(kmer, F.reverse(F.translate(kmer, "ACGT", "TGCA")))
-
-
 def gc_bin(gc: Column, step: float) -> Column:
     """The bin of a GC fraction, the last one closed; floor in doubles, as it comes."""
     import math
