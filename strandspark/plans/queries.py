@@ -522,12 +522,16 @@ def discover_motifs(spark, d):
     return discover.discovered_frame(spark, found)
 
 
-@query()
-def discover_motifs_shuffled_null(spark, d):
-    return discover.discovered_frame(spark, discover.discover(labelled(spark, d).filter("positive")))
+_NULL_KMERS = f"WITH {SEQS}, lab AS (SELECT s.name, s.seq FROM seqs s JOIN labels l ON l.doc_id = s.seq_num WHERE l.quality = 1) SELECT name, substr(seq, i, 2) AS kmer, count(*)::BIGINT AS n FROM (SELECT name, seq, unnest(range(1, length(seq))) AS i FROM lab WHERE length(seq) >= 2) GROUP BY 1, 2"
+
+
+@query(_NULL_KMERS)
+def discover_null_kmers(spark, d):
+    """So have those of a search without negatives (the search itself is ``discover(pos)``)."""
+    return seqtools.kmer_counts(discover.null(labelled(spark, d).filter("positive")), 2)
 
 
-@query(f"WITH {SEQS}, lab AS (SELECT s.name, s.seq FROM seqs s JOIN labels l ON l.doc_id = s.seq_num WHERE l.quality = 1) SELECT name, substr(seq, i, 2) AS kmer, count(*)::BIGINT AS n FROM (SELECT name, seq, unnest(range(1, length(seq))) AS i FROM lab WHERE length(seq) >= 2) GROUP BY 1, 2")
+@query(_NULL_KMERS)
 def enrich_null_kmers(spark, d):
     """The shuffled negatives have the positives' k-mers."""
     null = enrich.with_null(labelled(spark, d).filter("positive").drop("positive")).filter("not positive")
