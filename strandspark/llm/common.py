@@ -22,6 +22,11 @@ def boxed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
+def id_key(id_: Column) -> dict[str, Column]:
+    """An id as two columns that are never null, ``_id`` and ``_no`` (whether it is null)."""
+    return {"_id": F.coalesce(id_.cast("long"), F.lit(0)), "_no": id_.isNull()}
+
+
 #: Paths that ``saved`` has written and ``discard`` has not removed.
 _WRITTEN: list[str] = []
 

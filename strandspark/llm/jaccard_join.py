@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, dealt_join, saved, table
+from .common import boxed, dealt_join, id_key, saved, table
 from .kernels import U64, arrow_flat, mix, shingles, words
 
 SHINGLE = 5
@@ -405,10 +405,11 @@ def linked(docs: DataFrame, **options) -> DataFrame:
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with one row of each class left, that of the smallest id (null: largest), then text hash; all columns kept."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key"))
-    first = grouped(docs, id_col=id_col, text_col=text_col, **options).groupBy("group").agg(least.alias("_f")).select(F.col("_f.doc_id").alias("_first"), F.col("_f.text_key").alias("_first_key"))
-    keyed = boxed(docs, _id=F.col(id_col).cast("long"), _key=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = keyed.join(first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_first_key")))
-    one = kept.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0))))
+    key = ["_id", "_no", "_key"]  # plain equality, so that join and window are dealt out alike
+    first = grouped(docs, id_col=id_col, text_col=text_col, **options).groupBy("group").agg(least.alias("_f"))
+    first = first.select(*[c.alias(n) for n, c in id_key(F.col("_f.doc_id")).items()], F.col("_f.text_key").alias("_key"))
+    keyed = boxed(docs, **id_key(F.col(id_col)), _key=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    one = keyed.join(first, key).withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
     return one.filter("_row = 1").select("row.*")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, boxed, running_before, saved, table, unit_hash
+from .common import WORD, boxed, id_key, running_before, saved, table, unit_hash
 
 #: ASCII signs that count against a document's quality.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
@@ -82,13 +82,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself, all columns kept: each document's row once for each whole copy taken, the last one if half of it or more is taken."""
-    keyed = boxed(docs, _id=F.col(id_col), _key=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text=F.col(text_col), source=F.col(source_col))
-    got = mix(keyed, id_col="_id", text_col="text", source_col="source", keep=["_id", "_key"], **options).filter("size > 0")
+    key = ["_id", "_no", "_key"]  # plain equality, so that join and window are dealt out alike
+    keyed = boxed(docs, doc=F.col(id_col), **id_key(F.col(id_col)), _key=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text=F.col(text_col), source=F.col(source_col))
+    got = mix(keyed, id_col="doc", text_col="text", source_col="source", keep=key, **options).filter("size > 0")
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    total = got.groupBy(F.col("_id").alias("_doc"), F.col("_key").alias("_text")).agg(F.sum(copies).alias("_copies")).filter("_copies > 0")
+    total = got.groupBy(*key).agg(F.sum(copies).alias("_copies")).filter("_copies > 0")
     # rows of one id and text are the same document again: the first gives all of their copies
-    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text"))
-    one = keyed.join(total, same).withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))).filter("_row = 1")
+    one = keyed.select("row", *key).join(total, key).withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).filter("_row = 1")
     return one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")
 
 
