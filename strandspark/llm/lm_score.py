@@ -7,23 +7,30 @@ q = 1 + floor(log2 c); asking for level 1, 2, ... until a level is missing
 gives q back, hence c to within a factor.  The filter is made of one piece per
 bucket, each built where its counts are, and is broadcast in segments of at
 most ``SEGMENT_BYTES``; the terms of a document's score add up over segments.
-Every segment is a pass over the documents, so where there are more than
-``PASSES`` of them the documents are read once instead: the levels of the
-``TOP_PAIRS`` most frequent bigrams are broadcast, and each document's other bigrams
-are dealt out by bucket and probe the filter where its piece is.
-
-Words: the ``TOP_WORDS`` most frequent ones (a bounded table, broadcast) have
-exact counts in the kernel; the others' exact counts come by a shuffle join.
+That is for small corpora, of at most ``PASSES`` buckets of text.  Larger ones are
+scored by an exchange: the documents are bundled into pages of about ``PAGE`` bytes of
+text, written once; every page sends its distinct words and bigrams, each with its count in
+the training documents, by hash bucket; each bucket's task adds the counts up, builds
+its piece of the filter, probes it for every bigram that was sent, and answers each page
+with the words' counts and the bigrams' levels, in the order in which they came; the
+page's documents are scored from its answers.  Hashes go as packed differences
+(``pack``), answers without hashes.
+
+Words have exact counts.  Where the filter is broadcast, so are the ``TOP_WORDS`` most
+frequent words' (a bounded table); the others' come by a shuffle join.
 
 The model: P(w | h) = (c~(h,w) + MU * P(w)) / (c^(h) + MU), where c~ is the
 lower end of the bigram's level, at most c^, and c^ the exact count of h, at least
 1; so the probabilities of a context add up to one at most.  P(w) is the count's
-share, for words never seen that of one token.  A bigram of two frequent words is scored in
-the kernel; the others leave it with their level, and get their counts by the join.
+share, for words never seen that of one token.  With the filter
+broadcast a bigram of two frequent words is scored in the kernel; the others leave it
+with their level, and get their counts by the join.
 """
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,15 +43,17 @@ from .kernels import U64, arrow_flat, mix, words
 TOP_WORDS = 1 << 19
 #: Bytes of the filter that are broadcast at once, at most.
 SEGMENT_BYTES = 128 << 20
-#: Segments, each a pass over the documents, up to which the filter is broadcast.
+#: Buckets of text up to which the filter is broadcast.
 PASSES = 4
-#: Bigrams whose levels are broadcast where the others are dealt out, at most, and the least count of such a one.
-TOP_PAIRS, PAIR_LEAST = 1 << 19, 32
+#: Without effect since no bigrams are broadcast beside the exchange.
+TOP_PAIRS = 1 << 19
 BITS_PER_ENTRY = 10
 PROBES = 5
 MU = 300.0
 #: Bytes of text counted together in a task before counts are sent.
 CHUNK = 24 << 20
+#: Bytes of text in a page of documents that are scored together, about.
+PAGE = 12 << 20
 #: Bytes of text for each hash bucket, about.
 BUCKET_BYTES = 8 << 20
 
@@ -61,11 +70,11 @@ def tokens(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bigrams(tok: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each token the hash of (token before it, token); an end stands before the first."""
+    """For each token the hash of (token before it, token), of 48 bits and 16 zeros; an end stands before the first."""
     before = np.empty_like(tok)
     before[1:] = tok[:-1]
     before[bounds[:-1]] = END
-    return mix(before * U64(0x9E3779B97F4A7C15) + tok)
+    return mix(before * U64(0x9E3779B97F4A7C15) + tok) >> U64(16) << U64(16)
 
 
 def _counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +179,8 @@ def _merge_kernel(table_: pa.Table) -> pa.Table:
         both[k] = _counted(h, n)
     h, n = both[1]
     piece = build_filter(*both[2]) if len(both[2][0]) else np.zeros(0, np.uint8)
-    often = both[2][1] >= PAIR_LEAST
-    pairs = both[2][0][often], levels(both[2][1][often]).astype(np.uint8)
     bucket = table_.column("bucket")[0].as_py()
-    return pa.table({"bucket": pa.array([bucket]), "h": pa.array([h.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "piece": pa.array([piece.tobytes()], pa.binary()), "words": pa.array([len(h)]), "tokens": pa.array([int(n.sum())]), "pairs": pa.array([pairs[0].tobytes()], pa.binary()), "levels": pa.array([pairs[1].tobytes()], pa.binary())})
+    return pa.table({"bucket": pa.array([bucket]), "h": pa.array([h.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "piece": pa.array([piece.tobytes()], pa.binary()), "words": pa.array([len(h)]), "tokens": pa.array([int(n.sum())])})
 
 
 def _unpack(batches):
@@ -182,20 +189,18 @@ def _unpack(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["h", "n"])
 
 
-def _unpack_pairs(batches):
-    for batch in batches:
-        for h, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(q, np.uint8).astype(np.int32))], names=["h", "q"])
+def _bytes(df: DataFrame, text_col: str) -> int:
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0)).alias("b")).first()["b"]
 
 
 class Model:
     """Counts of a training corpus: two tables in the shared folder and bounded values on the driver."""
 
     def __init__(self, train: DataFrame, text_col: str = "text"):
-        size = train.agg(F.coalesce(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0)).alias("b")).first()["b"]
+        size = _bytes(train, text_col)
         self.buckets = max(16, size // BUCKET_BYTES)
         sent = train.select(text_col).mapInArrow(_count_kernel(self.buckets), "bucket long, kind int, h binary, n binary")
-        merged = sent.groupBy("bucket").applyInArrow(_merge_kernel, "bucket long, h binary, n binary, piece binary, words long, tokens long, pairs binary, levels binary")
+        merged = sent.groupBy("bucket").applyInArrow(_merge_kernel, "bucket long, h binary, n binary, piece binary, words long, tokens long")
         self.table = saved(merged)
         self.words = self.table.select("h", "n").mapInArrow(_unpack, "h long, n long")
         total = self.table.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
@@ -214,19 +219,6 @@ class Model:
         self.top = (h[by].copy(), n[by].copy())
         self.whole = self.v == len(n)
 
-    def frequent_pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes, sorted, and levels of the bigrams of the highest levels that are TOP_PAIRS together at most."""
-        pairs = self.table.select("pairs", "levels").mapInArrow(_unpack_pairs, "h long, q int")
-        least, held = 1 << 30, 0
-        for r in sorted(pairs.groupBy("q").count().collect(), reverse=True):  # a row for each level
-            if held + r["count"] > TOP_PAIRS:
-                break
-            least, held = r["q"], held + r["count"]
-        got = pairs.filter(F.col("q") >= least).toArrow()
-        h, q = got.column("h").to_numpy().view(U64), got.column("q").to_numpy().astype(np.int64)
-        by = np.argsort(h)
-        return h[by].copy(), q[by].copy()
-
     def segments(self):
         """Parts of the filter within the bound: the first bucket, then bit offsets and bytes of the pieces."""
         sizes = {r["bucket"]: r["s"] for r in self.table.select("bucket", F.octet_length("piece").alias("s")).collect()}
@@ -275,11 +267,10 @@ def _pieces(batch, index: int):
         lo = hi
 
 
-def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool, dealt: bool = False):
+def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool):
     """(key, doc_id, held_out, text) -> the segment's terms, and the bigrams that wait for counts; in the first segment also what doesn't depend on it.
 
-    whole: words that aren't among the frequent ones have never been seen.  dealt: instead of a segment there are
-    the frequent bigrams' levels; all other bigrams are asked for.
+    whole: words that aren't among the frequent ones have never been seen.
     """
 
     def kernel(batches):
@@ -291,17 +282,12 @@ def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool,
             cu = _lookup(top, uniq)
             c = cu[inverse]
             two = bigrams(tok, bounds)
-            if dealt:
-                level = _lookup(part, two)
-                mine = level > 0
-                q = level[mine]
-            else:
-                b0, edges, data = part
-                where = _bucket(two, buckets) - b0
-                mine = (where >= 0) & (where < len(edges) - 1)
-                u2, inv2 = np.unique(two[mine], return_inverse=True)
-                w2 = _bucket(u2, buckets) - b0
-                q = ask_filter(data, edges[w2], edges[w2 + 1] - edges[w2], u2)[inv2]
+            b0, edges, data = part
+            where = _bucket(two, buckets) - b0
+            mine = (where >= 0) & (where < len(edges) - 1)
+            u2, inv2 = np.unique(two[mine], return_inverse=True)
+            w2 = _bucket(u2, buckets) - b0
+            q = ask_filter(data, edges[w2], edges[w2 + 1] - edges[w2], u2)[inv2]
             low = np.where(q > 0, np.ldexp(1.0, (q - 1).astype(np.int32)), 0.0)
             before = np.empty_like(c)
             before[1:] = c[:-1]
@@ -314,7 +300,6 @@ def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool,
             wait = np.zeros(len(tok), bool) if whole else mine & ((c == 0) | (before == 0))
             term[wait] = 0
             cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(_sums(term, bounds)), _waiting(tok, bounds, two, wait, c, before, q[wait[mine]])]
-            cols.append(_waiting(tok, bounds, two, ~mine, c, before, np.zeros((~mine).sum(), np.int64), buckets) if dealt else pa.nulls(batch.num_rows, _ASK_TYPE))
             if first:
                 base = _sums(np.where(c > 0, np.log10(c + 0.1), 0.0), bounds)
                 n = np.diff(bounds)
@@ -329,16 +314,14 @@ def _score_kernel(shared, first: bool, buckets: int, n_tokens: int, whole: bool,
                 cols += [pa.array(base), pa.array(n.astype(np.int64)), pa.array(_sums((c > 0).astype(np.int64), bounds).astype(np.int64)), rare]
             else:
                 cols += [pa.nulls(batch.num_rows, t) for t in (pa.float64(), pa.int64(), pa.int64(), _RARE)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "held_out", "term", "wait", "ask", "base", "n", "known", "rare"])
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "held_out", "term", "wait", "base", "n", "known", "rare"])
 
     return kernel
 
 
-def _waiting(tok: np.ndarray, bounds: np.ndarray, two: np.ndarray, wait: np.ndarray, c: np.ndarray, before: np.ndarray, q: np.ndarray, buckets: int = 0) -> pa.Array:
+def _waiting(tok: np.ndarray, bounds: np.ndarray, two: np.ndarray, wait: np.ndarray, c: np.ndarray, before: np.ndarray, q: np.ndarray) -> pa.Array:
     """Each document's different bigrams with a word whose count isn't here: both words with the counts known (else 0), level and times.
 
-    With buckets: of bigrams that are asked for, their hash and bucket as well.
-
     In place of a word whose count is known stands a number of no meaning, so that
     common words don't meet in one task of the join.
     """
@@ -352,46 +335,154 @@ def _waiting(tok: np.ndarray, bounds: np.ndarray, two: np.ndarray, wait: np.ndar
     h = np.where(np.isin(at, bounds[:-1]), END, tok[at - 1])
     none = mix(two[at] + tok[bounds[doc]] + at.astype(U64))
     cols = {"w": np.where(c[at] == 0, tok[at], none).view(np.int64), "h": np.where(before[at] == 0, h, none).view(np.int64), "cw": c[at].astype(np.int64), "ch": before[at].astype(np.int64), "q": q.astype(np.int32), "k": times.astype(np.int32)}
-    if buckets:
-        cols |= {"two": two[at].view(np.int64), "bucket": _bucket(two[at], buckets)}
     edges = np.searchsorted(doc, np.arange(len(bounds))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(x) for x in cols.values()], names=list(cols)))
 
 
 _WAIT = "array<struct<w:long,h:long,cw:long,ch:long,q:int,k:int>>"
-_ASK = "array<struct<w:long,h:long,cw:long,ch:long,q:int,k:int,two:long,bucket:long>>"
-_ASK_TYPE = pa.list_(pa.struct([*((x, pa.int64()) for x in ("w", "h", "cw", "ch")), ("q", pa.int32()), ("k", pa.int32()), ("two", pa.int64()), ("bucket", pa.int64())]))
 _RARE = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())]))
 
 
-def _answer_kernel(n_tokens: int, whole: bool):
-    """A bucket's asked bigrams and its piece of the filter -> sums of terms by document, and the bigrams that wait for counts, with levels."""
-
-    def kernel(asked: pa.Table, piece: pa.Table) -> pa.Table:
-        key, two, cw, ch, k = (asked.column(c).to_numpy() for c in ("key", "two", "cw", "ch", "k"))
-        data = np.frombuffer(piece.column("piece")[0].as_py(), np.uint8) if piece.num_rows else np.zeros(0, np.uint8)
-        kinds, inverse = np.unique(two.view(U64), return_inverse=True)
-        q = ask_filter(data, np.zeros(len(kinds), np.int64), np.full(len(kinds), len(data) * 8), kinds)[inverse]
-        low, ctx = np.where(q > 0, np.ldexp(1.0, (q - 1).astype(np.int32)), 0.0), np.maximum(ch, 1)
-        term = k * np.log10((np.minimum(low, ctx) + MU * np.maximum(cw, 1) / (n_tokens + 1)) / (ctx + MU))
-        wait = np.zeros(len(q), bool) if whole else (cw == 0) | (ch == 0)
-        docs, at = np.unique(key[~wait], return_inverse=True)
-        both = lambda a, b, t: pa.concat_arrays([pa.nulls(a, t) if isinstance(a, int) else pa.array(a, t), pa.nulls(b, t) if isinstance(b, int) else pa.array(b, t)])
-        m, n = len(docs), int(wait.sum())
-        cols = {"key": both(docs, key[wait], pa.int64()), "t": both(np.bincount(at, term[~wait], minlength=m), n, pa.float64())}
-        cols |= {c: both(m, asked.column(c).to_numpy()[wait], pa.int64()) for c in ("w", "h", "cw", "ch")}
-        cols |= {"q": both(m, q[wait], pa.int32()), "k": both(m, k[wait], pa.int32())}
-        return pa.table(cols)
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs, the lowest bytes of all first, compressed."""
+    if not len(x):
+        return b""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(x).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, U64)
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel().astype(U64, copy=False)
+
+
+def _least(bucket: int, buckets: int) -> np.uint64:
+    """The smallest hash of a bucket."""
+    return U64(-(-(bucket << 32) // buckets) << 32)
+
+
+#: Low bits that are zero in all hashes, of words and of bigrams.
+_ZEROS = (U64(0), U64(16))
+
+
+def _bundle_kernel(batches):
+    """(doc_id, held_out, text) -> pages: a number of their own and the rows as a compressed Arrow stream."""
+
+    def page(held):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for piece in held:
+                out.write_batch(piece)
+        return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["page", "docs"])
+
+    held, size = [], 0
+    for piece in (piece for whole in batches for piece in _pieces(whole, 2)):
+        held.append(piece)
+        size += int(arrow_flat(piece.column(2))[1][-1])
+        if size >= PAGE:
+            yield page(held)
+            held, size = [], 0
+    if held:
+        yield page(held)
+
+
+def _opened(docs: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A page's ids and marks, its tokens, their bigrams, and the documents' bounds."""
+    rows = pa.ipc.open_stream(docs).read_all()
+    tok, two, bounds, n = [], [], [np.zeros(1, np.int64)], 0
+    for piece in (piece for batch in rows.to_batches() for piece in _pieces(batch, 2)):
+        t, b = tokens(*arrow_flat(piece.column(2)))
+        tok.append(t)
+        two.append(bigrams(t, b))
+        bounds.append(b[1:] + n)
+        n += len(t)
+    return rows.select([0, 1]), np.concatenate(tok), np.concatenate(two), np.concatenate(bounds)
+
+
+def _send_kernel(buckets: int):
+    """Pages -> for each bucket the distinct words and bigrams and their counts in the training documents."""
+
+    def kernel(batches):
+        for batch in batches:
+            for page, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, tok, two, bounds = _opened(docs.as_buffer())
+                learn = np.repeat(~np.asarray(rows.column(1).combine_chunks().to_numpy(zero_copy_only=False), bool), np.diff(bounds))
+                cols = [pa.array(np.arange(buckets)), pa.array(np.full(buckets, page))]
+                for h, zeros in zip((tok, two), _ZEROS, strict=True):
+                    u, (some, times) = _counted(h)[0], _counted(h[learn])
+                    n = np.zeros(len(u), np.int64)
+                    n[np.searchsorted(u, some)] = times
+                    edges = np.searchsorted(_bucket(u, buckets), np.arange(buckets + 1))
+                    parts = list(zip(edges[:-1], edges[1:], strict=True))
+                    cols.append(pa.array([pack(np.diff(u[a:b] >> zeros, prepend=_least(i, buckets) >> zeros)) for i, (a, b) in enumerate(parts)], pa.binary()))
+                    cols.append(pa.array([pack(n[a:b]) for a, b in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "page", "h", "n", "h2", "n2"])
+
+    return kernel
+
+
+def _answer_kernel(buckets: int):
+    """What all pages sent to a bucket -> for each of them the words' counts and, by the bucket's piece of the filter, the bigrams' levels."""
+
+    def kernel(sent: pa.Table) -> pa.Table:
+        low = _least(sent.column("bucket")[0].as_py(), buckets)
+
+        def total(h, n, zeros):
+            parts = [np.cumsum(unpack(x), dtype=U64) for x in sent.column(h).to_pylist()]
+            parts = [x + (low >> zeros) << zeros for x in parts]
+            u, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+            count = np.bincount(inverse, np.concatenate([unpack(x) for x in sent.column(n).to_pylist()]).astype(np.float64), len(u)).astype(np.int64)
+            return u, count, inverse, np.cumsum([len(x) for x in parts])[:-1]
+
+        u, count, inverse, cuts = total("h2", "n2", _ZEROS[1])
+        seen = count > 0
+        piece = build_filter(u[seen], count[seen]) if seen.any() else np.zeros(0, np.uint8)
+        level = ask_filter(piece, np.zeros(len(u), np.int64), np.full(len(u), len(piece) * 8), u)
+        q = [pack(x) for x in np.split(level[inverse], cuts)]
+        u, count, inverse, cuts = total("h", "n", _ZEROS[0])
+        c = [pack(x) for x in np.split(count[inverse], cuts)]
+        once = np.arange(sent.num_rows) == 0
+        return pa.table({"page": sent.column("page"), "bucket": sent.column("bucket"), "c": pa.array(c, pa.binary()), "q": pa.array(q, pa.binary()), "words": pa.array(once * int((count > 0).sum())), "tokens": pa.array(once * int(count.sum()))})
 
     return kernel
 
 
-def _answered(part: DataFrame, model: Model) -> DataFrame:
-    """``key, t, w, h, cw, ch, q, k``: the dealt bigrams' sums (w null) and those that wait."""
-    asked = part.select("key", F.inline("ask"))
-    pieces = model.table.select("bucket", "piece")
-    got = asked.groupBy("bucket").cogroup(pieces.groupBy("bucket")).applyInArrow(_answer_kernel(model.n, model.whole), "key long, t double, w long, h long, cw long, ch long, q int, k int")
-    return saved(got)
+def _page_kernel(n_tokens: int, norm: float):
+    """A page and its answers -> its documents' scores."""
+
+    def kernel(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, tok, two, bounds = _opened(docs.column("docs")[0].as_buffer())
+        answers = answers.sort_by("bucket")
+        count, level = (np.concatenate([unpack(x) for x in answers.column(a).to_pylist()]).astype(np.int64) for a in ("c", "q"))
+        u = _counted(tok)[0]
+        c = count[np.searchsorted(u, tok)]
+        before = np.empty_like(c)
+        before[1:] = c[:-1]
+        before[bounds[:-1]] = count[np.searchsorted(u, END)]
+        q = level[np.searchsorted(_counted(two)[0], two)]
+        low, ctx = np.where(q > 0, np.ldexp(1.0, (q - 1).astype(np.int32)), 0.0), np.maximum(before, 1)
+        term = np.log10((np.minimum(low, ctx) + MU * np.maximum(c, 1) / (n_tokens + 1)) / (ctx + MU))
+        n = np.diff(bounds)
+        cols = {"doc_id": rows.column(0), "held_out": rows.column(1), "n_tokens": n, "n_known": _sums((c > 0).astype(np.int64), bounds), "train_tokens": np.full(len(n), n_tokens), "base_score": _sums(np.log10(c + 0.1), bounds) - n * norm, "score": _sums(term, bounds)}
+        return pa.table({k: x if isinstance(x, pa.ChunkedArray) else pa.array(x) for k, x in cols.items()})
+
+    return kernel
+
+
+def _exchanged(rows: DataFrame, size: int) -> DataFrame:
+    """The result by way of pages; size: bytes of all texts."""
+    buckets = max(16, size // BUCKET_BYTES)
+    pages = saved(rows.select("doc_id", "held_out", "text").mapInArrow(_bundle_kernel, "page long, docs binary"))
+    sent = pages.mapInArrow(_send_kernel(buckets), "bucket long, page long, h binary, n binary, h2 binary, n2 binary")
+    answers = saved(sent.groupBy("bucket").applyInArrow(_answer_kernel(buckets), "page long, bucket long, c binary, q binary, words long, tokens long"))
+    v, n = (int(x) for x in answers.agg(F.sum("words"), F.sum("tokens")).first())
+    kernel = _page_kernel(n, float(np.log10(n + 0.1 * (v + 1))))
+    return pages.groupBy("page").cogroup(answers.select("page", "bucket", "c", "q").groupBy("page")).applyInArrow(kernel, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _waited(pairs: DataFrame, model: Model) -> DataFrame:
@@ -416,13 +507,15 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(id_col), F.octet_length(text), text).alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
+    size = _bytes(rows, "text")
+    if size > PASSES * BUCKET_BYTES:
+        return _exchanged(rows, size)
     model = Model(rows.filter(~F.col("held_out")))
-    parts, segments = [], list(model.segments())
-    dealt = len(segments) > PASSES
-    for i, (group, sizes) in enumerate([(None, None)] if dealt else segments):
-        shared = spark.sparkContext.broadcast((model.top, model.frequent_pairs() if dealt else model.segment(group, sizes)))
-        kernel = _score_kernel(shared, i == 0, model.buckets, model.n, model.whole, dealt)
-        parts.append(rows.mapInArrow(kernel, f"key long, doc_id long, held_out boolean, term double, wait {_WAIT}, ask {_ASK}, base double, n long, known long, rare array<struct<h:long,k:long>>"))
+    parts = []
+    for i, (group, sizes) in enumerate(model.segments()):
+        shared = spark.sparkContext.broadcast((model.top, model.segment(group, sizes)))
+        kernel = _score_kernel(shared, i == 0, model.buckets, model.n, model.whole)
+        parts.append(rows.mapInArrow(kernel, f"key long, doc_id long, held_out boolean, term double, wait {_WAIT}, base double, n long, known long, rare array<struct<h:long,k:long>>"))
         parts[-1] = saved(parts[-1])
         shared.destroy()
     first = parts[0].groupBy("key", "doc_id", "held_out").agg(F.count("*").alias("copies"), F.min("base").alias("base"), F.min("n").alias("n"), F.min("known").alias("known"), F.min("term").alias("term"))
@@ -431,21 +524,11 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
     rare = parts[0].select("key", F.explode("rare").alias("r")).select("key", "r.h", "r.k").groupBy("key", "h").agg(F.min("k").alias("k"))
     found = rare.join(model.words.filter(F.col("n") < model.least).withColumnRenamed("n", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     found = found.groupBy("key").agg(F.sum(F.col("k") * F.log10(F.col("c") + F.lit(0.1))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
-    late = None  # sums over all rows of a key
     if not model.whole:
         pairs = parts[0].select("key", F.inline("wait"))
         for p in parts[1:]:
             pairs = pairs.unionByName(p.select("key", F.inline("wait")))
-    if dealt:
-        got = _answered(parts[0], model)
-        late = got.filter("w is null").select("key", F.col("t").alias("_t"))
-        pairs = None if model.whole else pairs.unionByName(got.filter("w is not null").drop("t"))
-    if not model.whole:
-        waited = _waited(pairs, model)
-        late = waited if late is None else late.unionByName(waited)
-    if late is not None:
-        late = late.groupBy("key").agg(F.sum("_t").alias("_t"))
-        first = first.join(late, "key", "left").withColumn("term", F.col("term") + F.coalesce(F.col("_t") / F.sum("copies").over(Window.partitionBy("key")), F.lit(0.0))).drop("_t")
+        first = first.join(_waited(pairs, model), "key", "left").withColumn("term", F.col("term") + F.coalesce(F.col("_t") / F.sum("copies").over(Window.partitionBy("key")), F.lit(0.0))).drop("_t")
     norm = float(np.log10(model.n + 0.1 * (model.v + 1)))
     out = first.join(found, "key", "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(

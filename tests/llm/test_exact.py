@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -213,6 +214,24 @@ def test_lm_score_by_brute_force(spark, monkeypatch, top, segment):
     assert sum(x < 1e-9 for x in off) > 0.5 * len(off) and max(off) < 2
 
 
+def test_exchange_of_counts_and_levels_stays_below_the_text(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PASSES", 0)
+    rng = random.Random(27)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 10**7}" for _ in range(1000))) for i in range(400)]
+    since = common.written()
+    got = lm_score.score(spark.createDataFrame(rows, DOCS), F.col("doc_id") % 10 == 0).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, 1001) for i in range(400)]
+    moved = sum(f.stat().st_size for path in common._WRITTEN[since:] for f in pathlib.Path(path.removeprefix("file://")).iterdir())
+    assert moved < 1.5 * sum(len(t) for _, t in rows)
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    for x in ([], [0], [5, 0, 255], [256, 1], [2**64 - 1, 0], range(1000)):
+        assert lm_score.unpack(lm_score.pack(np.array(x, dtype=np.uint64))).tolist() == list(x)
+
+
 def test_log_frequency_filter_gives_levels():
     import numpy as np
 
