@@ -72,6 +72,40 @@ def test_colliding_hashes_are_settled_by_bytes(monkeypatch):
     assert suffix_dedup.repeated_starts(buf, start, group, 4).tolist() == want
 
 
+@pytest.mark.parametrize("sizes", [[2000] * 4000, [8_000_000], [500, 3_000_000, 600]])
+def test_suffix_kernels_hold_little(sizes):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    raw = np.random.default_rng(1).integers(97, 123, sum(sizes), dtype=np.uint8).tobytes().decode()
+    at = [sum(sizes[:i]) for i in range(len(sizes))] if len(sizes) < 10 else range(0, len(raw), sizes[0])
+    texts = [raw[a : a + n] for a, n in zip(at, sizes, strict=True)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    found = pa.RecordBatch.from_arrays([pa.array([b"%d" % i for i in range(len(texts))]), ids, pa.array(texts)], names=["tkey", "doc", "text"])
+    spans = pa.array([[{"b": 0, "e": 400}]] * len(texts), pa.list_(pa.struct({"b": pa.int32(), "e": pa.int32()})))
+    marked = pa.RecordBatch.from_arrays([ids, pa.array(texts), pa.nulls(len(texts), pa.int64()), spans], names=["doc_id", "text", "copies", "spans"])
+    windows, kept = Counter(), []
+    tracemalloc.start()
+    try:
+        for out in suffix_dedup._emit_runs(400, 200, suffix_dedup.CHUNK)(iter([found])):
+            for doc, n in zip(out.column("doc").to_pylist(), out.column("n").to_pylist(), strict=True):
+                windows[doc] += n
+        found_peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        for out in suffix_dedup._keep(iter([marked])):
+            kept += out.column("n_removed").to_pylist()
+        kept_peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert windows == {i: n - 399 for i, n in enumerate(sizes)}
+    assert kept == [400] * len(sizes)
+    assert found_peak < 140e6
+    assert kept_peak < max(6e6, 5 * max(sizes))  # a text four times: as str, as bytes, its kept parts, these joined
+
+
 def slow_links(rows):
     """(id, class, links, copy class, root) of each row."""
     n, sets, ids = len(rows), [shingle_set(t) for _, t in rows], [1 << 60 if i is None else i for i, _ in rows]
