@@ -30,6 +30,14 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df, url_filter.rules_frame(spark, [])).filter("verdict <> 'allow'").count() == 0
 
 
+def test_the_url_filter_has_the_words_of_its_contract(spark, tmp_path):
+    urls = ["http://com/en/1", "http://a.com/en/7", "http://example.com/en/7", "http://b.example.com/en/70", "http://net/de/1", "http://cheap-pills.net/de/8", "http://example.net/de/7", "http://example.net/de/8", "http://m.example.net/de/81", "http://org/es/", "http://x.org/es/9"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r["rule"], r["verdict"]) for r in url_filter.op2_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()]
+    block, allow = [("com/en/", "block")] * 2, [("example.com/en/7", "allow")] * 2
+    assert got == [*block, *allow, *[("net/de/", "allow")] * 3, *[("example.net/de/8", "block")] * 2, *[("org/es/", "block")] * 2]
+
+
 def test_sure_tokens_are_derived_from_expressions():
     want = {
         r"^(?:[^/?#]*\.)?example\.com/en/7": ("com", "en", "example"), r"^(?:[^/?#]*\.)?com/en/": ("com", "en"), r"foo": (), r"/foo/": ("foo",), r"/foo$": ("foo",), r"^foo-(bar|baz)-": ("foo",), r"^(?:a-b|b-c)-": (), r"^(?:a-b-|b-c-)": ("b",),
