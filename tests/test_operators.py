@@ -553,3 +553,12 @@ def test_post(spark):
     assert post.flip_rc(h).orderBy("start").first()["match"] == "AACGTG"
     assert [round(r["qvalue"], 6) for r in post.add_qvalues(h, 100).orderBy("start").collect()] == [0.01, 0.05]
     assert post.to_bed(h).orderBy("chrom_start").first()["bed_score"] == 40
+
+
+def test_seeds_break_ties_of_rounded_p_values_by_kmer(spark):
+    # both p values are below 1e-12, that of TTTTAA the smaller one
+    pos = ["TTTTAA"] * 60 + ["ACCCCC"] * 50
+    neg = make(spark, ["G" * 8] * 100)
+    got = [discover.seeds(make(spark, pos), neg, 6, digits=d).collect() for d in (None, 12)]
+    assert [r["kmer"] for r in got[0]] == ["TTAAAA", "ACCCCC"] and got[0][0]["pvalue"] < got[0][1]["pvalue"] < 1e-12
+    assert [r["kmer"] for r in got[1]] == ["ACCCCC", "TTAAAA"]
