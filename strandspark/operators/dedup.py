@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import parts
+
 #: Positions of a key that one task looks at.
 BLOCK = 1 << 20
 
@@ -33,17 +35,27 @@ def islands(df: DataFrame, keys: list[str], *, block: int = BLOCK) -> DataFrame:
     A key's rows are shared out by blocks of starts; what a block needs of the
     earlier ones, their largest end and their number of islands, is summed up per
     block first, so that a key that holds most of all rows isn't left to one task.
+    It stands in a row of its own before the block's, so that each of both passes
+    is one exchange and one sort, in tasks whose number grows with the table.
     """
-    spot = ["_key", "_block"]
-    rows = df.withColumns({"_key": F.struct(*keys), "_block": F.coalesce(F.floor(F.col("start") / block), F.lit(-1))})
-    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    inner = Window.partitionBy(*spot).orderBy("start", "arrival")
-    tops = rows.groupBy(*spot).agg(F.max("end").alias("_top")).select(*spot, F.max("_top").over(earlier).alias("_carry"))
-    top = F.greatest("_carry", F.max("end").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.join(tops, spot).withColumn("_new", F.when(top.isNull() | (F.col("start") > top), 1).otherwise(0))
-    found = rows.groupBy(*spot).agg(F.sum("_new").alias("_m")).select(*spot, F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_offset"))
-    island = F.col("_offset") + F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(found, spot).withColumn("island", island.cast("long")).drop(*spot, "_carry", "_new", "_offset")
+    spot, n = [*keys, "_block"], parts(df)
+    rows = df.withColumns({"_block": F.coalesce(F.floor(F.col("start") / block), F.lit(-1)), "_mark": F.lit(1), "_new": F.lit(0).cast("long")})
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*spot).orderBy("_mark", "start", "arrival")
+
+    def marked(x: DataFrame, marks: DataFrame) -> DataFrame:
+        """The rows after their block's mark (``end``: the largest end before, ``_new``: the islands before), with ``_new``: whether a row starts one."""
+        first = marks.withColumn("_mark", F.lit(0)).select(*[c if c in (*spot, "end", "_mark", "_new") else F.lit(None).cast(x.schema[c].dataType).alias(c) for c in x.columns])
+        both = x.unionByName(first)
+        both = both.repartition(n, *spot) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else both
+        top = F.max("end").over(inner.rowsBetween(Window.unboundedPreceding, -1))
+        return both.withColumn("_new", F.when(F.col("_mark") == 0, F.col("_new")).when(top.isNull() | (F.col("start") > top), 1).otherwise(0))
+
+    tops = rows.groupBy(*spot).agg(F.max("end").alias("_top")).select(*spot, F.max("_top").over(earlier).alias("end"), F.lit(0).cast("long").alias("_new"))
+    found = marked(rows.select(*spot, "start", "end", "arrival", "_mark", "_new"), tops).groupBy(*spot).agg(F.sum("_new").alias("_m"), F.max(F.when(F.col("_mark") == 0, F.col("end"))).alias("end"))
+    found = found.select(*spot, "end", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).cast("long").alias("_new"))
+    island = F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return marked(rows, found).withColumn("island", island.cast("long")).filter("_mark = 1").drop("_block", "_mark", "_new")
 
 
 #: Kept ranges that stand in one list; longer ones are cut in two, so that a long chain costs no more a range than a short one.
@@ -98,9 +110,9 @@ def _greedy_kernel(keys: list[str]):
 def dedup(df: DataFrame, how: Column, *, keys: list[str] = ("strand", "motif", "seq_name")) -> DataFrame:
     """The rows kept (``start``, ``end`` closed, ``arrival`` the order of coming): chains are dealt out by hash, some thousands to a task."""
     keys = list(keys)
-    rows = islands(df.withColumn("_priority", how), keys)
-    buckets = F.pmod(F.xxhash64(*keys, "island"), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
-    marked = rows.withColumn("_bucket", buckets)
+    rows, n = islands(df.withColumn("_priority", how), keys), parts(df)
+    marked = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys, "island"), F.lit(n * 4)))
+    marked = marked.repartition(n, "_bucket") if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else marked
     return marked.groupBy("_bucket").applyInArrow(_greedy_kernel(keys), marked.schema).select(*df.columns)
 
 

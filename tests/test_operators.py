@@ -562,3 +562,21 @@ def test_seeds_break_ties_of_rounded_p_values_by_kmer(spark):
     got = [discover.seeds(make(spark, pos), neg, 6, digits=d).collect() for d in (None, 12)]
     assert [r["kmer"] for r in got[0]] == ["TTAAAA", "ACCCCC"] and got[0][0]["pvalue"] < got[0][1]["pvalue"] < 1e-12
     assert [r["kmer"] for r in got[1]] == ["ACCCCC", "TTAAAA"]
+
+
+def test_islands_are_dealt_out_by_size(spark, monkeypatch):
+    from strandspark.functions import tables
+
+    rng = random.Random(33)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(300)]) if i % 9 == 0 else rng.randint(0, 300), i) for i in range(400)]
+    df = spark.createDataFrame([(k, s, None if s is None else s + rng.randint(0, 9), i, float(rng.randint(0, 5))) for k, s, i in rows], "seq_name string, start long, end long, arrival long, score double")
+    whole = sorted(dedup.islands(df, ["seq_name"]).select("arrival", "island").collect())
+    some = df.filter("start is not null and seq_name is not null")
+    kept = sorted(r["arrival"] for r in dedup.dedup(some, F.col("score"), keys=["seq_name"]).collect())
+    monkeypatch.setattr(tables, "PART", 64)
+    assert tables.parts(df) > 4
+    got = dedup.islands(df, ["seq_name"], block=50)
+    assert got.rdd.getNumPartitions() == tables.parts(df)
+    assert sorted(got.select("arrival", "island").collect()) == whole
+    assert sorted(r["arrival"] for r in dedup.dedup(some, F.col("score"), keys=["seq_name"]).collect()) == kept
+    assert got.columns == [*df.columns, "island"]
