@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ _CODE_MASKED = _CODE.copy()
 _CODE_MASKED[97:123] = 4
 #: Bytes of sequence scored at once, at most; longer sequences are cut, with an overlap of the widest motif.
 CHUNK = 1 << 22
+#: Letters of a batch, and starts of windows, that a kernel looks at together: what it holds doesn't grow with a batch's rows or texts.
+PORTION = 1 << 18
 
 
 def prepare(motifs: list[Motif], *, pvalue: float | None = 1e-4, bkg=UNIFORM, pseudo: float = 1, nsites: float = 1000) -> list[Motif]:
@@ -42,6 +45,15 @@ def exact(consensus: str) -> list[Motif]:
     return prepare([from_consensus(consensus)])
 
 
+def portions(batch: pa.RecordBatch, column: int, letters: int | None = None):
+    """The batch in slices of about PORTION letters in that column; a longer text ends its slice."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // (letters or PORTION)
+    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield batch.slice(a, b - a)
+
+
 def encode(texts: list[str], masked: bool) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all texts with a 4 after each, and each text's start."""
     raw = [t.encode("latin-1", "replace") for t in texts]
@@ -49,8 +61,14 @@ def encode(texts: list[str], masked: bool) -> tuple[np.ndarray, np.ndarray]:
     return (_CODE_MASKED if masked else _CODE)[flat], np.append(0, np.cumsum([len(r) + 1 for r in raw]))
 
 
-def window_scores(codes: np.ndarray, pwm: np.ndarray) -> np.ndarray:
-    """The score at every offset; windows with an unknown base score far below any threshold."""
+def triples(codes: np.ndarray) -> np.ndarray:
+    """Every three letters from each place on as one number."""
+    codes = np.concatenate([codes, np.full(2, 4, np.uint8)])
+    return codes[:-2] * np.uint8(25) + codes[1:-1] * np.uint8(5) + codes[2:]
+
+
+def window_scores(codes: np.ndarray, pwm: np.ndarray, triple: np.ndarray | None = None) -> np.ndarray:
+    """The score at every offset; windows with an unknown base score far below any threshold.  triple: of the codes, where they are known."""
     w = len(pwm)
     n = len(codes) - w + 1
     if n <= 0:
@@ -58,8 +76,7 @@ def window_scores(codes: np.ndarray, pwm: np.ndarray) -> np.ndarray:
     # three columns at a time: one look-up in a table of all three-letter codes; sums of 50 columns stay within 32 bits
     columns = np.concatenate([pwm, np.full((w, 1), AMBIGUOUS)], axis=1).astype(np.int32)
     columns = np.concatenate([columns, np.zeros((-w % 3, 5), np.int32)])
-    codes = np.concatenate([codes, np.full(2, 4, np.uint8)])
-    triple = codes[:-2] * np.uint8(25) + codes[1:-1] * np.uint8(5) + codes[2:]
+    triple = triples(codes) if triple is None else triple
     out = np.zeros(n, np.int32)
     for i in range(0, len(columns), 3):
         a, b, c = columns[i : i + 3]
@@ -67,43 +84,65 @@ def window_scores(codes: np.ndarray, pwm: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(codes: np.ndarray, halo: int):
+    """The first start of every PORTION starts of windows of up to halo + 1 letters, their codes and triples."""
+    for lo in range(0, len(codes), PORTION):
+        part = codes[lo : lo + PORTION + halo]
+        yield lo, part, triples(part)
+
+
+def window_hits(part: np.ndarray, triple: np.ndarray, pwm: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts within a piece whose windows reach the threshold, and their scores."""
+    s = window_scores(part[: PORTION + len(pwm) - 1], pwm, triple)
+    at = np.flatnonzero(s >= threshold)
+    return at, s[at]
+
+
 def _kernel(motifs: list[Motif], masked: bool, forward: bool):
     live = [m for m in motifs if m.threshold is not None]
+    halo = max([m.width for m in live], default=1) - 1
 
     def kernel(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                yield from one(batch.slice(i, 2000))
+            for part in portions(batch, 1):
+                yield from one(part)
 
     def one(batch):
         # key, seq, offset, plus (scan the forward strand), minus
         texts = [t or "" for t in batch.column(1).to_pylist()]
         codes, starts = encode(texts, masked)
+        flat = np.frombuffer("\n".join([*texts, ""]).encode(), np.uint8) if all(t.isascii() for t in texts) else None
         plus, minus = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
         offset = batch.column(2).to_numpy(zero_copy_only=False)
-        got = [[] for _ in range(5)]
-        for j, m in enumerate(live):
-            for strand, pwm in enumerate((m.pwm, reverse_complement(m.pwm))):
-                if strand and forward:
-                    continue
-                s = window_scores(codes, pwm)
-                at = np.flatnonzero(s >= m.threshold)
-                row = np.searchsorted(starts, at, side="right") - 1
-                ok = (minus if strand else plus)[row]
-                at, row = at[ok], row[ok]
-                for g, x in zip(got, (row, at - starts[row], np.full(len(at), j), np.full(len(at), strand), s[at]), strict=True):
-                    g.append(x)
-        row, at, j, strand, s = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
-        widths = np.array([m.width for m in live] or [0])
-        p = np.concatenate([m.pvalue(s[j == i]) for i, m in enumerate(live)] or [np.zeros(0)])
-        order = np.concatenate([np.flatnonzero(j == i) for i in range(len(live))] or [np.zeros(0, np.int64)]).astype(np.int64)
-        pv = np.empty(len(s))
-        pv[order] = p
-        top = np.array([m.max_score for m in live] or [1])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(row)), pa.array(offset[row] + at + 1), pa.array(offset[row] + at + widths[j]), pa.array(np.where(strand == 1, "-", "+").tolist(), pa.string()), pa.array([live[x].name for x in j], pa.string()), pa.array(pv), pa.array(s.astype(np.int64)), pa.array(100.0 * s / np.where(top[j] == 0, 1, top[j])), pa.array([texts[r][a : a + w] for r, a, w in zip(row, at, widths[j], strict=True)], pa.string())],
-            names=["key", "start", "end", "strand", "motif", "pvalue", "score_i", "score_pct", "match"],
-        )
+        widths, top = np.array([m.width for m in live] or [0]), np.array([m.max_score for m in live] or [1])
+        names, signs = pa.array([m.name for m in live], pa.string()), pa.array(["+", "-"])
+        for lo, part, triple in pieces(codes, halo):
+            got, pv, match = [[] for _ in range(5)], [], []
+            for j, m in enumerate(live):
+                for strand, pwm in enumerate((m.pwm, reverse_complement(m.pwm))):
+                    if strand and forward:
+                        continue
+                    at, s = window_hits(part, triple, pwm, m.threshold)
+                    at += lo
+                    row = np.searchsorted(starts, at, side="right") - 1
+                    ok = (minus if strand else plus)[row]
+                    at, row, s = at[ok], row[ok], s[ok]
+                    for g, x in zip(got, (row, at - starts[row], np.full(len(at), j), np.full(len(at), strand), s), strict=True):
+                        g.append(x)
+                    pv.append(m.pvalue(s))
+                    if flat is not None:
+                        match.append(flat[at[:, None] + np.arange(m.width)].ravel())
+            row, at, j, strand, s = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
+            width = widths[j]
+            if flat is None:
+                match = pa.array([texts[r][a : a + w] for r, a, w in zip(row, at, width, strict=True)], pa.string())
+            else:
+                ends = np.append(0, np.cumsum(width)).astype(np.int32)
+                match = pa.Array.from_buffers(pa.string(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(match) if match else np.zeros(0, np.uint8))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(offset[row] + at + 1), pa.array(offset[row] + at + width), signs.take(pa.array(strand)), names.take(pa.array(j)), pa.array(np.concatenate(pv) if pv else np.zeros(0)), pa.array(s.astype(np.int64)), pa.array(100.0 * s / np.where(top[j] == 0, 1, top[j])), match],
+                names=["key", "start", "end", "strand", "motif", "pvalue", "score_i", "score_pct", "match"],
+            )
 
     return kernel
 
@@ -159,35 +198,38 @@ def max_possible_hits(seqs: DataFrame, widths: list[int], *, strands: int = 2) -
 def unit_kernel(motifs: list[Motif], masked: bool, forward: bool):
     """(unit, seq, plus, minus) -> unit, motif number, hits and largest score (null: shorter than the motif)."""
 
+    low = np.iinfo(np.int32).min
+
     def kernel(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for part in portions(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 codes, starts = encode(texts, masked)
-                n = len(texts)
+                triple = triples(codes)
+                n, first = len(texts), starts[:-1]
                 sides = [part.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)]
                 out = [[] for _ in range(4)]
                 for j, m in enumerate(motifs):
-                    hits, best = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).min)
-                    room = np.diff(starts) - 1 >= m.width
+                    hits, best = np.zeros(n, np.int64), np.full(n, low)
+                    # windows that hold a text's end
+                    across = (starts[1:, None] - np.arange(1, m.width + 1)).ravel()
+                    across = across[across >= 0]
                     for strand, pwm in enumerate((m.pwm, reverse_complement(m.pwm))):
                         if strand and forward:
                             continue
-                        s = window_scores(codes, pwm)
-                        row = np.repeat(np.arange(n), np.diff(starts))[: len(s)]
-                        inside = np.arange(len(s)) + m.width <= starts[row + 1] - 1 if len(s) else np.zeros(0, bool)
-                        inside &= sides[strand][row] if len(s) else inside
+                        s = np.full(len(codes), low)
+                        found = window_scores(codes, pwm, triple)
+                        s[: len(found)] = found
+                        s[across] = low
                         if m.threshold is not None:
-                            hits += np.bincount(row[inside & (s >= m.threshold)], minlength=n)
-                        np.maximum.at(best, row[inside], s[inside])
+                            hits += np.where(sides[strand], np.add.reduceat(s >= m.threshold, first, dtype=np.int64), 0)
+                        best = np.maximum(best, np.where(sides[strand], np.maximum.reduceat(s, first), low))
                     out[0].append(np.arange(n))
                     out[1].append(np.full(n, j))
                     out[2].append(hits)
-                    out[3].append(np.where(room & (best > np.iinfo(np.int64).min), best, np.iinfo(np.int64).min))
-                row, j, h, b = (np.concatenate(x) for x in out)
-                low = b == np.iinfo(np.int64).min
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(j.astype(np.int32)), pa.array(h), pa.array(b, mask=low)], names=["unit", "motif_id", "n_hits", "max_score"])
+                    out[3].append(best)
+                row, j, h, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(j.astype(np.int32)), pa.array(h), pa.array(b.astype(np.int64), mask=b == low)], names=["unit", "motif_id", "n_hits", "max_score"])
 
     return kernel
 

@@ -555,6 +555,58 @@ def test_post(spark):
     assert post.to_bed(h).orderBy("chrom_start").first()["bed_score"] == 40
 
 
+def _batch(texts, units=False):
+    import pyarrow as pa
+
+    n = len(texts)
+    sides = [pa.array([True] * n)] * 2
+    return pa.RecordBatch.from_arrays([pa.array([f"s{i}" for i in range(n)]), pa.array(texts, pa.string()), *([] if units else [pa.array([0] * n, pa.int64())]), *sides], names=["key", "seq", *([] if units else ["offset"]), "plus", "minus"])
+
+
+def test_kernels_do_not_depend_on_portions(monkeypatch):
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("ACGTacgtNU") if rng.random() < 0.2 else rng.choice("ACGT") for _ in range(rng.choice([0, 3, 5, 6, 40, 300]))) for _ in range(60)] + [None, "ACGTé" * 9]
+    motifs = scan.prepare([model.Motif("e", PPM), model.Motif("f", PPM[:4])], pvalue=None)
+
+    def all_of():
+        hits = sorted(tuple(r.values()) for b in scan._kernel(motifs, False, False)([_batch(texts)]) for r in b.to_pylist())
+        units = sorted(tuple(str(x) for x in r.values()) for b in scan.unit_kernel(motifs, True, False)([_batch(texts, True)]) for r in b.to_pylist())
+        kinds = {}
+        for w in (1, 3, 7, 31):
+            for b in discover._presence_kernel(w)([_batch(texts).select(["seq"])]):
+                for r in b.to_pylist():
+                    kinds[w, r["code"]] = kinds.get((w, r["code"]), 0) + r["n"]
+        return hits, units, kinds
+
+    whole = all_of()
+    m, want = motifs[0], []
+    for i, t in enumerate(texts):
+        for a in range(len(t or "") - m.width + 1):
+            if set(w := t[a : a + m.width]) <= set("ACGTUacgtu"):
+                codes = ["ACGT".index(c.upper().replace("U", "T")) for c in w]
+                want += [(f"s{i}", a + 1, strand, w, s) for strand, pwm in (("+", m.pwm), ("-", m.pwm[::-1, ::-1])) if (s := sum(int(pwm[j][c]) for j, c in enumerate(codes))) >= m.threshold]
+    assert sorted((h[0], h[1], h[3], h[8], h[6]) for h in whole[0] if h[4] == "e") == sorted(want) and want
+    for size in (1, 50, 1000):
+        monkeypatch.setattr(scan, "PORTION", size)
+        assert all_of() == whole
+
+
+def test_kernels_hold_no_more_for_larger_batches():
+    import tracemalloc
+
+    rng = np.random.default_rng(32)
+    one = lambda n: "".join("ACGT"[i] for i in rng.integers(0, 4, n))
+    batch, text = _batch([one(2000)] * 2000), _batch([one(4_000_000)])
+    motifs = scan.prepare([model.Motif(n, PPM) for n in "abc"], pvalue=None)
+    for kernel, given in ((scan._kernel(motifs, False, False), [batch, text]),):
+        for b in given:
+            tracemalloc.start()
+            assert sum(x.num_rows for x in kernel([b]))
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < 100e6
+
+
 def test_seeds_break_ties_of_rounded_p_values_by_kmer(spark):
     # both p values are below 1e-12, that of TTTTAA the smaller one
     pos = ["TTTTAA"] * 60 + ["ACCCCC"] * 50
