@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,23 +60,17 @@ def gc_bin(gc: Column, step: float) -> Column:
     return F.least(F.floor(gc / F.lit(step)).cast("int"), F.lit(math.ceil(1 / step) - 1))
 
 
-def masked(seq: Column, starts: Column, ends: Column, *, hard: bool = False) -> Column:
-    """The sequence with its ranges (arrays of starts and ends) in lower case, or N: cut at their merged ends and joined once."""
-    def one(text, a, b):
-        if text is None or a is None or len(a) == 0:
-            return text
-        out, at = [], 0
-        for x, y in sorted(zip(a.tolist(), b.tolist(), strict=True)):
-            x, y = max(x, at), min(y, len(text))
-            if x < y:
-                out += [text[at:x], "N" * (y - x) if hard else text[x:y].lower()]
-                at = y
-        return "".join([*out, text[at:]])
-
-    def kernel(texts: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one(*x) for x in zip(texts, a, b, strict=True)])
-
-    return F.pandas_udf(kernel, "string")(seq, starts, ends)
+def masked(text: str | None, starts: list | None, ends: list | None, hard: bool = False) -> str | None:
+    """A text with its ranges in lower case, or N: cut at their merged ends and joined once."""
+    if text is None or not starts:
+        return text
+    out, at = [], 0
+    for x, y in sorted(zip(starts, ends, strict=True)):
+        x, y = max(x, at), min(y, len(text))
+        if x < y:
+            out += [text[at:x], "N" * (y - x) if hard else text[x:y].lower()]
+            at = y
+    return "".join([*out, text[at:]])
 
 
 def wrapped(seq: Column, width: int = 60) -> Column:

@@ -1,14 +1,16 @@
-"""Everyday operations over sequences (``seq_num, name, comment, seq``); all native but the k-mer matrix."""
+"""Everyday operations over sequences (``seq_num, name, comment, seq``); all native but masks and the k-mer matrix."""
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import gc_bin, gc_count, gc_fraction, grouped_ranges, kmers, masked, rc, standard_count, to_dna, to_rna
 from ..model import MotifError
+from .scan import portions
 
 
 def reverse_complement(seqs: DataFrame) -> DataFrame:
@@ -40,8 +42,16 @@ def subset(seqs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def mask(seqs: DataFrame, ranges: DataFrame, *, hard: bool = False) -> DataFrame:
     """Ranges in lower case, or N; strands don't matter, unknown names neither."""
-    got = seqs.join(grouped_ranges(ranges).withColumnRenamed("seq_name", "name"), "name", "left")
-    return got.withColumn("seq", masked(F.col("seq"), F.col("ranges.start"), F.col("ranges.end"), hard=hard)).select(*seqs.columns)
+    names, n, at = seqs.columns, len(seqs.columns), seqs.columns.index("seq")
+    got = seqs.join(grouped_ranges(ranges).withColumnRenamed("seq_name", "name"), "name", "left").select(*names, F.col("ranges.start").alias("_starts"), F.col("ranges.end").alias("_ends"))
+
+    def kernel(batches):
+        for batch in batches:
+            for part in portions(batch, at):
+                new = pa.array([masked(*x, hard) for x in zip(*(part.column(c).to_pylist() for c in (at, n, n + 1)), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([new if c == at else part.column(c) for c in range(n)], names=names)
+
+    return got.mapInArrow(kernel, seqs.schema)
 
 
 def _chance(seed: int):

@@ -616,6 +616,13 @@ def test_seeds_break_ties_of_rounded_p_values_by_kmer(spark):
     assert [r["kmer"] for r in got[1]] == ["ACCCCC", "TTAAAA"]
 
 
+def test_masks_need_no_whole_batches(spark):
+    ranges = spark.createDataFrame([(0, "s0", 1, 3, ".", ".")], "range_id long, seq_name string, start long, end long, name string, strand string")
+    got = seqtools.mask(make(spark, ["ACGTAC", ""]), ranges)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.orderBy("seq_num").collect()] == [(0, "s0", "", "AcgTAC"), (1, "s1", "", "")]
+
+
 def test_islands_are_dealt_out_by_size(spark, monkeypatch):
     from strandspark.functions import tables
 
