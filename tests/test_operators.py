@@ -598,7 +598,7 @@ def test_kernels_hold_no_more_for_larger_batches():
     one = lambda n: "".join("ACGT"[i] for i in rng.integers(0, 4, n))
     batch, text = _batch([one(2000)] * 2000), _batch([one(4_000_000)])
     motifs = scan.prepare([model.Motif(n, PPM) for n in "abc"], pvalue=None)
-    for kernel, given in ((scan._kernel(motifs, False, False), [batch, text]),):
+    for kernel, given in ((scan._kernel(motifs, False, False), [batch, text]), (discover._presence_kernel(6), [batch.select(["seq"]), text.select(["seq"])])):
         for b in given:
             tracemalloc.start()
             assert sum(x.num_rows for x in kernel([b]))
