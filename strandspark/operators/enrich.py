@@ -12,10 +12,10 @@ from .shuffle import shuffle
 
 
 def units(seqs: DataFrame, motifs: list[Motif], *, masked: bool = False, forward: bool = False) -> DataFrame:
-    """``unit, motif_id, n_hits, max_score`` for every unit (column ``unit``, ``seq``, optional ``strand``) and motif."""
+    """``unit, motif_id, n_hits, max_score, positions`` for every unit (column ``unit``, ``seq``, optional ``strand``) and motif."""
     strand = F.col("strand") if "strand" in seqs.columns else F.lit(".")
     rows = seqs.select("unit", "seq", (strand != "-").alias("plus"), ((strand != "+") & F.lit(not forward)).alias("minus"))
-    return rows.mapInArrow(unit_kernel(motifs, masked, forward), "unit string, motif_id int, n_hits long, max_score long")
+    return rows.mapInArrow(unit_kernel(motifs, masked, forward), "unit string, motif_id int, n_hits long, max_score long, positions long")
 
 
 def with_null(units_: DataFrame, *, k: int = 2, seed: int = 1) -> DataFrame:
@@ -38,14 +38,10 @@ def counts(seqs: DataFrame, motifs: list[Motif], **options) -> DataFrame:
     per = got.groupBy("motif_id").agg(
         side(F.lit(1), pos).alias("pos_n"), side((F.col("n_hits") > 0).cast("long"), pos).alias("pos_seq_hits"), side(F.col("n_hits"), pos).alias("pos_site_hits"),
         side(F.lit(1), ~pos).alias("neg_n"), side((F.col("n_hits") > 0).cast("long"), ~pos).alias("neg_seq_hits"), side(F.col("n_hits"), ~pos).alias("neg_site_hits"),
+        side(F.col("positions"), pos).alias("pos_positions"), side(F.col("positions"), ~pos).alias("neg_positions"),
     )
-    both = 1 if options.get("forward") else 2
-    widths = {m.width for m in motifs}
-    strand = F.when(F.col("strand") == ".", both).otherwise(1) if "strand" in seqs.columns else F.lit(both)
-    room = seqs.groupBy().agg(*[F.sum(F.when(F.col("positive") == p, F.greatest(F.length("seq").cast("long") - w + 1, F.lit(0)) * strand).otherwise(0)).alias(f"{s}_{w}") for w in widths for p, s in ((True, "p"), (False, "n"))])
-    names = spark.createDataFrame([(i, m.name, consensus(m.ppm), m.width) for i, m in enumerate(motifs)], "motif_id int, motif string, consensus string, width int")
-    pick = lambda s: F.coalesce(*[F.when(F.col("width") == w, F.col(f"{s}_{w}")) for w in widths])
-    return names.join(per, "motif_id").crossJoin(F.broadcast(room)).withColumns({"pos_positions": pick("p"), "neg_positions": pick("n")}).select("motif", "motif_id", "consensus", *[c for c in per.columns if c != "motif_id"], "pos_positions", "neg_positions")
+    names = spark.createDataFrame([(i, m.name, consensus(m.ppm)) for i, m in enumerate(motifs)], "motif_id int, motif string, consensus string")
+    return names.join(per, "motif_id").select("motif", "motif_id", "consensus", *[c for c in per.columns if c != "motif_id"])
 
 
 def enrich(seqs: DataFrame, motifs: list[Motif], *, test: str = "seqs", q: float = 0.1, shuffle_k: int = 2, seed: int = 1, **options) -> DataFrame:

@@ -196,7 +196,7 @@ def max_possible_hits(seqs: DataFrame, widths: list[int], *, strands: int = 2) -
 
 
 def unit_kernel(motifs: list[Motif], masked: bool, forward: bool):
-    """(unit, seq, plus, minus) -> unit, motif number, hits and largest score (null: shorter than the motif)."""
+    """(unit, seq, plus, minus) -> unit, motif number, hits, largest score (null: shorter than the motif) and positions: windows on the strands looked at, one strand at least."""
 
     low = np.iinfo(np.int32).min
 
@@ -208,7 +208,7 @@ def unit_kernel(motifs: list[Motif], masked: bool, forward: bool):
                 triple = triples(codes)
                 n, first = len(texts), starts[:-1]
                 sides = [part.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)]
-                out = [[] for _ in range(4)]
+                strands, out = np.maximum(1, sides[0].astype(np.int64) + sides[1]), [[] for _ in range(5)]
                 for j, m in enumerate(motifs):
                     hits, best = np.zeros(n, np.int64), np.full(n, low)
                     # windows that hold a text's end
@@ -228,8 +228,9 @@ def unit_kernel(motifs: list[Motif], masked: bool, forward: bool):
                     out[1].append(np.full(n, j))
                     out[2].append(hits)
                     out[3].append(best)
-                row, j, h, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(j.astype(np.int32)), pa.array(h), pa.array(b.astype(np.int64), mask=b == low)], names=["unit", "motif_id", "n_hits", "max_score"])
+                    out[4].append(np.maximum(0, np.diff(starts) - m.width) * strands)
+                row, j, h, b, room = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(j.astype(np.int32)), pa.array(h), pa.array(b.astype(np.int64), mask=b == low), pa.array(room.astype(np.int64))], names=["unit", "motif_id", "n_hits", "max_score", "positions"])
 
     return kernel
 

@@ -623,6 +623,13 @@ def test_masks_need_no_whole_batches(spark):
     assert [tuple(r) for r in got.orderBy("seq_num").collect()] == [(0, "s0", "", "AcgTAC"), (1, "s1", "", "")]
 
 
+def test_enrichment_shuffles_once(spark):
+    units = make(spark, ["ACGTAACCGGTTTCAG" * 3, "ACG", ""]).select(F.col("name").alias("unit"), "seq")
+    got = enrich.counts(enrich.with_null(units), scan.prepare([model.Motif("e", PPM), model.Motif("f", PPM[:4])], pvalue=1e-2))
+    assert got._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 2
+    assert sorted((r["motif"], r["pos_n"], r["neg_n"], r["pos_positions"], r["neg_positions"]) for r in got.collect()) == [("e", 3, 3, 86, 86), ("f", 3, 3, 90, 90)]
+
+
 def test_islands_are_dealt_out_by_size(spark, monkeypatch):
     from strandspark.functions import tables
 
