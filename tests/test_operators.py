@@ -646,3 +646,15 @@ def test_islands_are_dealt_out_by_size(spark, monkeypatch):
     assert sorted(got.select("arrival", "island").collect()) == whole
     assert sorted(r["arrival"] for r in dedup.dedup(some, F.col("score"), keys=["seq_name"]).collect()) == kept
     assert got.columns == [*df.columns, "island"]
+
+
+def test_background_genome_is_worked_out_once(spark):
+    seen, genome = spark.sparkContext.accumulator(0), make(spark, ["ACGT" * 40] * 3)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    assert background.from_genome(make(spark, ["ACGT" * 5]), genome.mapInArrow(counted, genome.schema)).count() == 1
+    assert seen.value == 3
