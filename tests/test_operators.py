@@ -648,6 +648,30 @@ def test_islands_are_dealt_out_by_size(spark, monkeypatch):
     assert got.columns == [*df.columns, "island"]
 
 
+def test_seeds_keep_the_smallest_kmers_of_each_pair_of_counts(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(34)
+    rows = [(rng.randint(0, 10**6), rng.randint(1, 3), rng.randint(0, 2)) for _ in range(500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + 60])], names=["code", "pos_n", "neg_n"]) for i in range(0, 500, 60)]
+    got = sorted((r["pos_n"], r["neg_n"], r["code"]) for b in discover._smallest(4, rows=100)(batches) for r in b.to_pylist())
+    want = [(a, b, c) for a in (1, 2, 3) for b in (0, 1, 2) for c in sorted(c for c, x, y in rows if (x, y) == (a, b))[:4]]
+    assert got == want
+    # by a slow model, ties by k-mer; no list of all k-mers of a pair of counts is made
+    sets = [["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(12)] for _ in range(2)]
+    word = lambda t, i: min(t[i : i + 9], t[i : i + 9][::-1].translate(str.maketrans("ACGT", "TGCA")))
+    pos_n, neg_n = (Counter(k for t in x for k in {word(t, i) for i in range(32)}) for x in sets)
+    slow = sorted((stats.fisher_greater(n, neg_n[k], 12 - n, 12 - neg_n[k]), k) for k, n in pos_n.items() if n > neg_n[k])[:4]
+    found = discover.seeds(*(make(spark, x) for x in sets), 9)
+    assert [r["kmer"] for r in found.collect()] == [k for _, k in slow]
+    monkeypatch.setattr(discover, "_POOL", 5)
+    whole = Counter()
+    for b in discover._presence_kernel(9)([_batch(sets[0]).select(["seq"])]):
+        for r in b.to_pylist():
+            whole[r["code"]] += r["n"]
+    assert {"".join("ACGT"[c >> 2 * (8 - j) & 3] for j in range(9)): n for c, n in whole.items()} == dict(pos_n)
+
+
 def test_background_genome_is_worked_out_once(spark):
     seen, genome = spark.sparkContext.accumulator(0), make(spark, ["ACGT" * 40] * 3)
 
